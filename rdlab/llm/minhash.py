@@ -2,7 +2,8 @@
 
 A document's path in a tree picks positions of its signature, the same ones for all documents of a node;
 documents that agree there share the child. Small nodes are compared exhaustively, large ones branch on,
-and independent trees repeat this to the target recall. Every link is confirmed on the full sets.
+and independent trees repeat this to the target recall. A node's documents whose signatures look similar form
+clusters, the same ones in many trees; each cluster is then compared once, all pairs of it, on the full sets.
 """
 
 from __future__ import annotations
@@ -116,49 +117,101 @@ def _sketch(trees: int, size: int):
     return run
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, signatures, components) of each node, from rows sorted by key; a node may begin in one batch and end in a later one."""
-    held: list = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], read) -> Iterator[list]:
+    """The rows of each key, as lists of read(batch)'s columns joined, from rows sorted by the keys; a group may begin in one batch and end in a later one."""
+    held, of = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        key, block = b.column("key").to_numpy(), b.column("block").to_numpy()
-        rows = [b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH), b.column("comp").to_numpy()]
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(key)], strict=True)):
-            if held and (i or held[0] != (key[0], block[0])):
-                yield tuple(np.concatenate(x) for x in zip(*held[1], strict=True))
+        names = [b.column(k).to_numpy() for k in keys]
+        columns = read(b)
+        cuts = np.flatnonzero(np.any([n[1:] != n[:-1] for n in names], axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            key = tuple(n[lo] for n in names)
+            if held and key != of:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
                 held = []
-            held = held or [(key[lo], block[lo]), []]
-            held[1].append([x[lo:hi] for x in rows])
+            of = key
+            held.append([c[lo:hi] for c in columns])
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held[1], strict=True))
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _pairs(cut: float, every: bool):
-    """Pairs to confirm. every: all pairs of unlike components that look similar; else each document's best partner and its leader."""
+def _reached(row, n: int) -> Iterator[list[int]]:
+    """Connected groups of 0..n-1; row(i) is the boolean row of what i touches."""
+    left = np.ones(n, bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start] = False
+        group, todo = [start], [start]
+        while todo:
+            new = np.flatnonzero(row(todo.pop()) & left)
+            left[new] = False
+            group += new.tolist()
+            todo += new.tolist()
+        yield sorted(group)
+
+
+def _clusters(cut: float):
+    """Of each node the groups of documents that chains of similar signatures connect, as sorted ids."""
+
+    def read(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, ...]] = set()
+        for ids, sigs in _groups(batches, ["key", "block"], read):
+            ids, first = np.unique(ids, return_index=True)
+            sigs = sigs[first]
+            for group in _reached(lambda i, sigs=sigs: (sigs == sigs[i]).mean(1) >= cut, len(ids)):
+                if len(group) > 1:
+                    out.add(tuple(ids[group].tolist()))
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array([*out], pa.list_(pa.int64()))], ["ids"])
+                out = set()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([*out], pa.list_(pa.int64()))], ["ids"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: the product of the 0/1 matrix of shingles found in two sets or more with its transpose."""
+    n, flat = len(sets), np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    kinds, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[at] > 1
+    place = np.cumsum(times > 1) - 1
+    owner, at = owner[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out, width = np.zeros((n, n)), max(64, 4_000_000 // n)
+    for lo in range(0, int((times > 1).sum()), width):
+        a, b = np.searchsorted(at, [lo, lo + width])
+        m = np.zeros((n, width), np.float32)
+        m[owner[a:b], at[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _links(percent: int):
+    """Links (member, smallest id) of the groups that confirmed pairs connect within each cluster. A document with several texts comes as several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(b: pa.RecordBatch) -> list[np.ndarray]:
+            sets = np.empty(b.num_rows, object)
+            sets[:] = [np.frombuffer(x, np.uint64) for x in b.column("found").to_pylist()]
+            return [b.column("id").to_numpy(), sets]
+
         out: set[tuple[int, int]] = set()
-        for ids, sigs, comp in _nodes(batches):
-            order = np.argsort(ids, kind="stable")
-            ids, sigs, comp = ids[order], sigs[order], comp[order]
-            leaders: list[int] = []
-            for i in range(len(ids)):
-                like = (sigs[i + 1 :] == sigs[i]).mean(1) if every else (sigs == sigs[i]).mean(1)
-                if every:
-                    at = np.flatnonzero((like >= cut) & (comp[i + 1 :] != comp[i])) + i + 1
-                    out.update((int(ids[i]), int(ids[j])) for j in at if ids[j] != ids[i])
-                    continue
-                like[ids == ids[i]] = 0
-                if (like >= cut).any():
-                    j = int(np.argmax(like))
-                    out.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-                if leaders and (near := like[leaders]).max() >= cut:
-                    j = leaders[int(np.argmax(near >= cut))]
-                    out.add((int(ids[j]), int(ids[i])))
-                else:
-                    leaders.append(i)
+        for ids, sets in _groups(batches, ["cluster"], read):
+            size = np.array([len(x) for x in sets])
+            both = _shared(list(sets))
+            linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) | (ids[:, None] == ids[None, :])
+            for group in _reached(lambda i, linked=linked: linked[i], len(ids)):
+                lowest = int(ids[group].min())
+                out.update((int(x), lowest) for x in ids[group] if x != lowest)
             if len(out) > 20_000:
                 yield _batch(out)
                 out = set()
@@ -173,6 +226,17 @@ def _batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, words, size).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["id", "found"])
+
+    return run
+
+
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -181,36 +245,6 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column("id").to_numpy()[rows])], ["key", "id"])
 
 
-def _confirm(size: int, percent: int):
-    """Rows come by (a, salt), texts of a (b null) before those of its partners."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, sets = _Words(), None, []
-        for batch in batches:
-            out = []
-            for a, salt, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text")), strict=True):
-                if held != (a, salt):
-                    held, sets = (a, salt), []
-                s = shingles(text, words, size)
-                if b is None:
-                    sets.append(s)
-                elif len(s) and any(len(o) and 100 * (both := len(np.intersect1d(s, o, assume_unique=True))) >= percent * (len(s) + len(o) - both) for o in sets):
-                    out.append((a, b))
-            if out:
-                yield _batch({*out})
-
-    return run
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; a document with many partners is spread over salts."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
-    others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b").join(texts.withColumnRenamed("id", "b"), "b")
-    firsts = salts.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    rows = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_confirm(size, percent), "a long, b long")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, recall: float = 0.99999) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row for each row of df.
 
@@ -247,22 +281,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             active = large.join(sigs.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(_children, "key long, id long")
 
-    def look(rows: DataFrame, every: bool) -> DataFrame:
-        full = rows.join(sigs.select("id", "sig"), "id").repartition("key", "block").sortWithinPartitions("key", "block")
-        return written(full.mapInArrow(_pairs(cut, every), "a long, b long").distinct(), "pairs")
-
-    first = look(done.withColumn("comp", F.col("id")), False)
-    ids = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.join(ids, "id", "left_semi"), "texts")
-    links = written(_linked(first, texts, size, percent), "links")
+    nodes = done.join(sigs.select("id", "sig"), "id").repartition("key", "block").sortWithinPartitions("key", "block")
+    clusters = written(nodes.select("key", "block", "id", "sig").mapInArrow(_clusters(cut), "ids array<long>").distinct(), "clusters")
+    members = clusters.select(F.xxhash64("ids").alias("cluster"), F.explode("ids").alias("id"))
+    # the same plan at every size: the number of candidates has no bound, so neither side is broadcast
+    near = docs.hint("merge").join(members.select("id").distinct(), "id", "left_semi")
+    found = written(near.mapInArrow(_sets(size), "id long, found binary").where("octet_length(found) > 0"), "found")
+    sets = members.join(found, "id").select("cluster", "id", "found").repartition("cluster").sortWithinPartitions("cluster")
+    links = written(sets.mapInArrow(_links(percent), "a long, b long").distinct(), "links")
     groups = written(components(links), "groups")
-    comp = done.join(groups, done["id"] == groups["node"], "left").select("key", "block", done["id"], F.coalesce("component", done["id"]).alias("comp"))
-    comp = comp.join(ids, "id", "left_semi")
-    mixed = comp.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "block")
-    rest = look(comp.join(mixed, ["key", "block"]), True).join(first, ["a", "b"], "left_anti")
-    more = written(_linked(rest, texts, size, percent), "links")
-    if not more.isEmpty():
-        groups = written(components(links.union(more)), "groups")
 
     known = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     rows = sketch.select("id", "n", "same").join(known, "same", "left")
