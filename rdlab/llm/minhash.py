@@ -293,5 +293,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     known = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     rows = sketch.select("id", "n", "same").join(known, "same", "left")
-    lowest = F.coalesce("component_id", "id")
+    lowest = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lowest.alias("component_id"), F.coalesce(F.col("id") == lowest, F.lit(True)).alias("kept"))
