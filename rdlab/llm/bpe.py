@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -78,56 +79,81 @@ class Bpe:
     def __init__(self, vocab: list[bytes], pattern: str):
         self.vocab, self.pattern, self.table = vocab, pattern, PerfectHash(vocab)
 
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("vocab", "pattern", "table")}
+
     def rank(self, piece: bytes) -> int:
         """The id of piece, -1 if it isn't in the vocabulary."""
         i = self.table.find(piece)
         return i if self.vocab[i] == piece else -1
 
+    @cached_property
+    def ranks(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.vocab)}
+
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece that isn't a token: the pair of least rank, the leftmost first, merges until none is left."""
-        n, rank = len(piece), self.rank
-        after, before, end = [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
+        """Ids of a piece that isn't a token: the pair of least rank, the leftmost first, merges until none is left.
+
+        A node is known by its first byte; end links it to the next node (0: merged away), before to the last one.
+        A heap entry packs rank, first byte and end of a pair, and is stale when the pair no longer ends there.
+        """
+        n, get, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
+        s = n.bit_length()
+        mask = (1 << s) - 1
+        end, before = [*range(1, n + 1), 0], [*range(-1, n)]
+        heap = []
+        for i in range(n - 1):
+            r = get(piece[i : i + 2])
+            if r is not None:
+                heap.append(((r << s) | i) << s | (i + 2))
         heapq.heapify(heap)
-        alive = [True] * n
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or end[j] != stop:
+            top = pop(heap)
+            stop, i = top & mask, (top >> s) & mask
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
                 continue
-            alive[j], end[i], after[i] = False, stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank(piece[i : end[after[i]]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if before[i] >= 0 and (r := rank(piece[before[i] : stop])) >= 0:
-                heapq.heappush(heap, (r, before[i], stop))
+            end[i], end[j], before[stop] = stop, 0, i
+            if stop < n:
+                r = get(piece[i : end[stop]])
+                if r is not None:
+                    push(heap, ((r << s) | i) << s | end[stop])
+            p = before[i]
+            if p >= 0:
+                r = get(piece[p:stop])
+                if r is not None:
+                    push(heap, ((r << s) | p) << s | stop)
         out, i = [], 0
         while i < n:
-            out.append(rank(piece[i : end[i]]))
-            i = after[i]
+            out.append(get(piece[i : end[i]]))
+            i = end[i]
         return out
 
-    def piece(self, token: str) -> tuple[int, ...]:
+    def piece(self, token: str) -> list[int]:
         raw = token.encode()
         r = self.rank(raw)
-        return (r,) if r >= 0 else tuple(self.merge(raw))
+        return [r] if r >= 0 else self.merge(raw)
 
-    def encoder(self):
-        """A function from text to ids, with a bounded memo of its own."""
+    @cached_property
+    def memo(self) -> dict[str, bytes]:
+        """Ids of pre-tokens as the bytes of int32; one bounded memo for each Python worker."""
         limit, piece = self.MEMO, self.piece
 
         class Memo(dict):
-            def __missing__(self, token: str) -> tuple[int, ...]:
+            def __missing__(self, token: str) -> bytes:
                 if len(self) >= limit:
                     self.clear()
-                out = piece(token)
+                out = array("i", piece(token)).tobytes()
                 if len(token) <= 64:
                     self[token] = out
                 return out
 
-        get, split = Memo().__getitem__, regex.compile(self.pattern).findall
-        return lambda text: np.fromiter(chain.from_iterable(map(get, split(text))), np.int32)
+        return Memo()
+
+    def encoder(self):
+        """A function from text to the bytes of its int32 ids."""
+        get, split = self.memo.__getitem__, regex.compile(self.pattern).findall
+        return lambda text: b"".join(map(get, split(text)))
 
 
 def load(spark: SparkSession, path: str, pattern: str):
@@ -135,18 +161,15 @@ def load(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Bpe(read_ranks(path), pattern))
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts]), pa.int32()))
-
-
 def encode(text: str | Column, model) -> Column:
     """array<int>: the ids of a text, each match of the pattern on its own, no special tokens. A null or empty text has no ids."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = model.value.encoder()
         for b in batches:
-            yield _lists([ids(x) if x else np.empty(0, np.int32) for x in b.to_pylist()])
+            parts = [ids(x.as_py()) if x.is_valid else b"" for x in b]
+            ends = np.cumsum([0, *map(len, parts)]) // 4
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
     return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
 
@@ -157,10 +180,13 @@ def decode(ids: str | Column, model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = model.value.vocab.__getitem__
         for b in batches:
-            flat, ends = b.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.fromiter(((len(x) if x.is_valid else 0) for x in b), np.int64, len(b)))
+            out, flat = [], b.values.to_numpy(zero_copy_only=False)
+            starts = b.offsets.to_numpy()
             if len(flat) and flat.min() < 0:
                 raise ValueError("an id outside the vocabulary")
-            yield pa.array([b"".join(map(get, part.tolist())) for part in np.split(flat, ends[:-1])][: len(b)], pa.binary())
+            for i, lo, hi in zip(range(len(b)), starts[:-1], starts[1:], strict=True):
+                out.append(b"".join(map(get, flat[lo:hi].tolist())) if b[i].is_valid else b"")
+            yield pa.array(out, pa.binary())
 
     return F.arrow_udf(run, "binary")(ids)
 
