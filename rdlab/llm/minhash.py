@@ -21,7 +21,7 @@ from rdlab.llm.common import components, written
 
 WIDTH = 128  #: positions of a signature
 START = 2  #: levels walked before nodes are counted
-LEAF = 1024  #: documents of a node that one task compares
+LEAF = 2048  #: documents of a node that one task compares
 DEPTH = 14  #: levels after which a large node is compared in blocks
 _RNG = np.random.default_rng(20)
 _MUL = (_RNG.integers(1, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
