@@ -744,10 +744,9 @@ def curve_overlap(spark, sf_dir):
 
 @query(PCHIP + f" SELECT {KEY}, i::INTEGER AS seq, round(h, 6) AS h, round(dl, 6) AS delta, round(d, 6) AS d, round(c, 5) + 0e0 AS c, round(b, 4) + 0e0 AS b FROM seg WHERE metric IN ('vmaf', 'psnr_avg')")
 def pchip_slopes(spark, sf_dir):
-    curves = bdrate.checked(bdrate.curves(_long(spark, sf_dir).where("metric in ('vmaf', 'psnr_avg')")))
-    parts = bdrate.pchip(curves.withColumn("good", F.expr("enough and monotonic and rates_ok")))
-    # the outer form, as an inner explode infers a filter that repeats the whole expression
-    rows = parts.select(*bdrate.CURVE, F.posexplode_outer("parts").alias("at", "p")).where("p is not null")
+    # the join in paired() keeps the pieces one column; an inner explode would infer a filter that repeats their expression
+    pairs = bdrate.paired(_long(spark, sf_dir).where("metric in ('vmaf', 'psnr_avg')"))
+    rows = pairs.select(*bdrate.CURVE, F.posexplode_outer("parts").alias("at", "p")).where("p is not null")
     return rows.select(*bdrate.CURVE, (F.col("at") + 1).alias("seq"), r6("p.h").alias("h"), r6("p.delta").alias("delta"), r6("p.d").alias("d"), (F.round("p.c", 5) + 0.0).alias("c"), (F.round("p.b", 4) + 0.0).alias("b"))
 
 
