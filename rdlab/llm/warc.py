@@ -22,9 +22,11 @@ READ = "file string, offset long, length long, kind string, headers map<string,s
 
 def base32_sha1(data: str | Column) -> Column:
     """Upper-case base32 of the SHA-1 of bytes, without padding; null stays null."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha1(data), i, 10), 16, 2), 40, "0") for i in (1, 11, 21, 31)])
     digits = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.concat(*[F.substring(digits, F.conv(F.substring(bits, 1 + 5 * i, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(32)])
+    # lambda variables hold the hash and its bits, which are else computed again for each digit
+    bits = F.transform(F.array(F.sha1(data)), lambda h: F.concat(*[F.lpad(F.conv(F.substring(h, i, 10), 16, 2), 40, "0") for i in (1, 11, 21, 31)]))
+    out = F.transform(bits, lambda x: F.concat(*[F.substring(digits, F.conv(F.substring(x, 1 + 5 * i, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(32)]))
+    return F.get(out, 0)
 
 
 def with_revisits(df: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
