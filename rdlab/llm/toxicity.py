@@ -24,6 +24,8 @@ NOISE = frozenset(".-_*~'`^#,/\\:;\"")
 EDGE = ".,!?*&%#$:;\"'()[]{}<>|-_/\\`~^"
 SWAP, SKIP, AGAIN = -1.0, -0.7, -0.5  #: log costs of a sign for a letter, a noise sign, a dropped repeat
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
+LETTERS = re.compile(r"[^\W\d_]+")
+LONG = 64  #: longer tokens are split into words, and not kept in memos
 REPEAT = re.compile(r"(.)\1\1")
 MIN_DOCS, MIN_ODDS, MAX_TERMS = 4, 2.0, 50_000
 
@@ -66,26 +68,64 @@ def suspicious(token: str) -> bool:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The best reading of a token's lattice; states are the last two letters written."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    before = ""
+    """The best reading of a token's lattice, in linear time; states are the last two letters written."""
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # a reading is a chain (chain before, letter)
+    before, done = "", []
     for c in token:
         ways = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple | None]] = {}
 
-        def put(state: str, score: float, text: str, after=after) -> None:
+        def put(state: str, score: float, text: tuple | None, after=after) -> None:
             if state not in after or after[state][0] < score:
                 after[state] = (score, text)
 
         for state, (score, text) in states.items():
             for x, cost in ways:
-                put(state[1] + x, score + cost + model(state, x), text + x)
+                put(state[1] + x, score + cost + model(state, x), (text, x))
             if c in NOISE or not ways:
                 put(state, score + SKIP, text)
             if c == before:
                 put(state, score + AGAIN, text)
         states, before = after, c
-    return max((s + model(state, "$"), text) for state, (s, text) in states.items())[1]
+        if len(states) == 1 and len(token) > LONG:  # all readings agree so far
+            ((state, (score, text)),) = states.items()
+            done.append(_letters(text))
+            states = {state: (score, None)}
+    return "".join(done) + max((s + model(state, "$"), _letters(text)) for state, (s, text) in states.items())[1]
+
+
+def _letters(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def split(letters: str, model: CharModel) -> list[str]:
+    """The words of a run of letters with the best sum of the character model, in linear time."""
+    n = len(letters)
+    if not n:
+        return []
+    # at each letter: a word began with it, or goes on; ends[i] and goes[i] tell whether the letter before had begun its word
+    began, on = model("^^", letters[0]), -math.inf
+    ends, goes = bytearray(n), bytearray(n)
+    for i in range(1, n):
+        a, x = letters[i - 1], letters[i]
+        pair = letters[i - 2 : i] if i > 1 else "^" + a
+        ended = (began + model("^" + a, "$"), on + model(pair, "$"))
+        more = (began + model("^" + a, x), on + model(pair, x))
+        ends[i], goes[i] = ended[0] >= ended[1], more[0] >= more[1]
+        began, on = max(ended) + model("^^", x), max(more)
+    first = began + model("^" + letters[-1], "$") >= on + model(letters[-2:], "$")
+    out, end = [], n
+    for i in range(n - 1, -1, -1):
+        if first:
+            out.append(letters[i:end])
+            end, first = i, bool(ends[i])
+        else:
+            first = bool(goes[i])
+    return out[::-1]
 
 
 def words_of(text: str) -> set[str]:
@@ -98,7 +138,7 @@ def words_of(text: str) -> set[str]:
 
 
 class Reader:
-    """Terms of a token: the restored word and its 4-grams, with a bounded memo."""
+    """Terms of a token, with a bounded memo."""
 
     def __init__(self, chars: CharModel):
         self.chars = chars
@@ -106,14 +146,33 @@ class Reader:
     def word(self, token: str) -> str:
         if " " in token:
             token = token.replace(" ", ".")
-        return restore(token, self.chars) if len(token) <= 64 and suspicious(token) else token
+        return restore(token, self.chars) if suspicious(token) else token
 
-    def terms(self, token: str) -> list[str]:
+    def terms(self, token: str) -> list[set[str]]:
+        """Terms of each word of a token: the restored word and its 4-grams.
+
+        A long token is split into words; a 4-gram over their borders goes to the word that it begins in, so all 4-grams are there.
+        """
         w = self.word(token)
-        if not w or len(w) > 64:
+        if not w:
             return []
-        x = f"^{w}$"
-        return [w, *{"#" + x[i : i + 4] for i in range(len(x) - 3)}]
+        if len(token) <= LONG:
+            return [_grams(w)]
+        out: dict[str, set[str]] = {}
+        for run in LETTERS.finditer(w):
+            at = run.start()
+            for x in split(run.group(), self.chars):
+                found = out.setdefault(x, _grams(x))
+                found.update("#" + w[i : i + 4] for i in range(at, min(at + len(x), len(w) - 3)))
+                at += len(x)
+        # 4-grams that begin with a sign
+        rest = {"#" + w[i : i + 4] for i in range(len(w) - 3) if not LETTERS.match(w[i])}
+        return [*out.values(), *([rest] if rest else [])]
+
+
+def _grams(word: str) -> set[str]:
+    x = f"^{word}$"
+    return {word, *("#" + x[i : i + 4] for i in range(len(x) - 3))}
 
 
 def char_counts(df: DataFrame, text_col: str = "text") -> dict[str, int]:
@@ -124,7 +183,7 @@ def char_counts(df: DataFrame, text_col: str = "text") -> dict[str, int]:
             words: Counter = Counter()
             for t in b.column(0).to_pylist():
                 if t:
-                    words.update(w for w in map(str.strip, t.lower().split()) if w.isalpha() and len(w) <= 64)
+                    words.update(w for w in map(str.strip, t.lower().split()) if w.isalpha())
             out: Counter = Counter()
             for w, n in words.items():
                 x = f"^^{w}$"
@@ -143,26 +202,28 @@ class Toxicity:
     def __init__(self, chars: CharModel, odds: dict[str, float], model: np.ndarray):
         self.chars, self.odds, self.model = chars, odds, model
 
-    def evidence(self, text: str | None, memo: dict[str, float], reader: Reader) -> tuple[float, ...]:
+    def evidence(self, text: str | None, memo: dict[str, list[float]], reader: Reader) -> tuple[float, ...]:
         """Sum, largest and number of the positive word odds of a text, damped by its length."""
         total = most = 0.0
         n = many = 0
         for w in words_of(text or ""):
-            got = memo.get(w)
-            if got is None:
-                if len(memo) > 400_000:
-                    memo.clear()
-                terms = [self.odds[t] for t in reader.terms(w) if t in self.odds]
-                got = memo[w] = max(terms, default=0.0)
-            n += 1
-            if got:
-                total += got
-                many += 1
-                most = max(most, got)
+            found = memo.get(w)
+            if found is None:
+                found = [max((self.odds[t] for t in terms if t in self.odds), default=0.0) for terms in reader.terms(w)] or [0.0]
+                if len(w) <= LONG:
+                    if len(memo) > 400_000:
+                        memo.clear()
+                    memo[w] = found
+            for got in found:
+                n += 1
+                if got:
+                    total += got
+                    many += 1
+                    most = max(most, got)
         return (1.0, math.log1p(total), most, math.log1p(many), total / (n + 5))
 
     def scorer(self):
-        memo: dict[str, float] = {}
+        memo: dict[str, list[float]] = {}
         reader = Reader(self.chars)
         return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.model, self.evidence(text, memo, reader)))))))
 
@@ -197,10 +258,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for w in words_of(text):
                     got = memo.get(w)
                     if got is None:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        got = memo[w] = reader.terms(w)
-                    terms.update(got)
+                        got = reader.terms(w)
+                        if len(w) <= LONG:
+                            if len(memo) > 100_000:
+                                memo.clear()
+                            memo[w] = got
+                    terms.update(*got)
                 seen[int(label == 1)].update(terms)
                 seen[int(label == 1)][""] += 1  # the texts themselves
                 if len(seen[0]) + len(seen[1]) > 400_000:
@@ -269,11 +332,14 @@ def restored(text: str | Column, model) -> Column:
                     t = SPACED.sub(lambda m: re.sub(r"\s+", ".", m.group()), t.lower())
                     parts = []
                     for w in t.split():
-                        if w not in memo:
-                            if len(memo) > 100_000:
-                                memo.clear()
-                            memo[w] = reader.word(w.strip(EDGE)) or w
-                        parts.append(memo[w])
+                        got = memo.get(w)
+                        if got is None:
+                            got = reader.word(w.strip(EDGE)) or w
+                            if len(w) <= LONG:
+                                if len(memo) > 100_000:
+                                    memo.clear()
+                                memo[w] = got
+                        parts.append(got)
                     t = " ".join(parts)
                 out.append(t)
             yield pa.array(out, pa.string())

@@ -76,6 +76,27 @@ def test_toxicity_restores_and_scores(spark):
     assert "idiot" in seen.where("doc_id = 0").select(toxicity.restored("text", model).alias("t")).first()["t"]
 
 
+def test_toxicity_reads_long_tokens_whole(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["ba", "lo", "mi", "ter", "en"]) for _ in range(3)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=30)) + (" idiot scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = spark.sparkContext.broadcast(toxicity.train(df, df))
+    fine, bad = words[:12], [*words[:6], "idiot", "scum", *words[6:12]]
+    texts = [" ".join("".join(fine)), " ".join("".join(bad)), ".".join(fine), ".".join(bad), "".join(fine), "".join(bad), ".".join([*fine * 40, "1d10t", "5cum"])]
+    assert all(len(t) > 64 for t in texts)
+    seen = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in seen.select("doc_id", toxicity.score("text", model).alias("s")).collect()}
+    assert all(got[i] > 0.5 for i in (1, 3, 5)) and all(got[i] < 0.5 for i in (0, 2, 4))
+    assert got[6] > got[2]
+
+
+def test_restored_run_of_letters_is_split():
+    chars = toxicity.CharModel({x[i : i + 3]: 50 for w in ("you", "idiot") for x in [f"^^{w}$"] for i in range(len(x) - 2)})
+    assert toxicity.split("youidiotyou", chars) == ["you", "idiot", "you"]
+    assert toxicity.restore("y.0.u." * 20_000 + "1d1ot", chars) == "you" * 20_000 + "idiot"
+
+
 def test_packing_respects_capacity_and_conflicts(spark):
     rng = random.Random(2)
     rows = [(i, rng.randint(0, 250), f"s{i % 7}" if i % 5 else None, f"c{i % 40}") for i in range(400)] + [(None, 10, "s1", None), (None, 10, "s1", None)]
