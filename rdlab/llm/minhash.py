@@ -22,6 +22,7 @@ from rdlab.llm.common import components, written
 WIDTH = 128  #: positions of a signature
 START = 2  #: levels walked before nodes are counted
 LEAF = 2048  #: documents of a node that one task compares
+DEEP = 4  #: levels after which documents of large nodes get more trees
 DEPTH = 14  #: levels after which a large node is compared in blocks
 _RNG = np.random.default_rng(20)
 _MUL = (_RNG.integers(1, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -88,8 +89,45 @@ def lost(similarity: float, depth: int) -> float:
     return s
 
 
-def trees_for(recall: float, similarity: float, depth: int = 6) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost(similarity, depth))))
+def _agreeing(similarity: float) -> list[float]:
+    """The chance of each number of agreeing positions of a signature."""
+    return [math.comb(WIDTH, k) * similarity**k * (1 - similarity) ** (WIDTH - k) for k in range(WIDTH + 1)]
+
+
+def cut_for(loss: float, similarity: float) -> int:
+    """The largest number of agreeing positions that a pair of this similarity stays below with a chance of at most `loss`."""
+    below, k = 0.0, 0
+    for p in _agreeing(similarity):
+        below += p
+        if below > loss:
+            break
+        k += 1
+    return k
+
+
+def missed(trees: int, similarity: float, depth: int) -> float:
+    """The chance that a pair shares no node of `depth` levels in any tree. All trees read the same signature, so they are independent only given its agreeing positions."""
+    return sum(p * lost(k / WIDTH, depth) ** trees for k, p in enumerate(_agreeing(similarity)))
+
+
+def trees_for(loss: float, similarity: float, depth: int) -> int:
+    """The least number of trees for a chance of at most `loss`."""
+    high = 1
+    while missed(high, similarity, depth) > loss:
+        high *= 2
+        if high > 1 << 20:
+            raise ValueError(f"no number of trees finds pairs of similarity {similarity} so surely")
+    return next(n for n in range(high // 2, high + 1) if n and missed(n, similarity, depth) <= loss)
+
+
+def _started(sig: np.ndarray, first: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the trees first to trees - 1, after START levels, for the documents with signatures sig: (row, key)."""
+    many = len(sig)
+    rows, keys = np.tile(np.arange(many), trees - first), np.repeat(_mix(np.arange(first + 1, trees + 1, dtype=np.uint64)), many)
+    for _ in range(START):
+        r, keys = branch(keys, sig[rows])
+        rows = rows[r]
+    return rows, keys
 
 
 def _sketch(trees: int, size: int):
@@ -105,10 +143,7 @@ def _sketch(trees: int, size: int):
                     sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sigs.append(signature(s))
                 sig, many = np.stack(sigs), len(n)
-                rows, keys = np.tile(np.arange(many), trees), np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64)), many)
-                for _ in range(START):
-                    r, keys = branch(keys, sig[rows])
-                    rows = rows[r]
+                rows, keys = _started(sig, 0, trees)
                 order = np.argsort(rows, kind="stable")
                 ends = np.searchsorted(rows[order], np.arange(many + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
@@ -153,7 +188,7 @@ def _reached(row, n: int) -> Iterator[list[int]]:
         yield sorted(group)
 
 
-def _clusters(cut: float):
+def _clusters(cut: int):
     """Of each node the groups of documents that chains of similar signatures connect, as sorted ids."""
 
     def read(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -164,7 +199,7 @@ def _clusters(cut: float):
         for ids, sigs in _groups(batches, ["key", "block"], read):
             ids, first = np.unique(ids, return_index=True)
             sigs = sigs[first]
-            for group in _reached(lambda i, sigs=sigs: (sigs == sigs[i]).mean(1) >= cut, len(ids)):
+            for group in _reached(lambda i, sigs=sigs: (sigs == sigs[i]).sum(1) >= cut, len(ids)):
                 if len(group) > 1:
                     out.add(tuple(ids[group].tolist()))
             if len(out) > 5000:
@@ -237,6 +272,17 @@ def _sets(size: int):
     return run
 
 
+def _more(first: int, trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                rows, keys = _started(np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH), first, trees)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part.column("id").to_numpy()[rows])], ["key", "id"])
+
+    return run
+
+
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -245,6 +291,29 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column("id").to_numpy()[rows])], ["key", "id"])
 
 
+def _walk(sigs: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Small nodes (key, block, id) below the nodes `active` of START levels, and the rows of large nodes of DEEP levels, if there are any."""
+    done = deep = None
+    for depth in range(START, DEPTH + 1):
+        counts = active.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        node = written(active.join(counts, "key").select("key", "id", "m"), "nodes")
+        small = node.where(F.col("m") <= LEAF).select("key", F.lit(0).alias("block"), "id")
+        done = small if done is None else done.union(small)
+        large = node.where(F.col("m") > LEAF)
+        if large.isEmpty():
+            break
+        if depth == DEEP:
+            deep = large
+        if depth == DEPTH:  # a node that no position splits further: every pair of its blocks
+            blocks = F.ceil(F.col("m") * 2 / LEAF).cast("int")
+            own = F.pmod(F.hash("id"), F.col("blocks"))
+            spread = large.withColumn("blocks", blocks).withColumn("own", own).select("key", "id", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            done = done.union(spread.select("key", (F.greatest("own", "other") * F.col("blocks") + F.least("own", "other")).cast("int").alias("block"), "id"))
+        else:
+            active = large.join(sigs.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(_children, "key long, id long")
+    return done, deep
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, recall: float = 0.99999) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row for each row of df.
 
@@ -253,33 +322,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     100 * intersection >= percent * union. component_id is the smallest id reachable over links, kept tells
     whether it is the row's own. Rows that repeat an id are one document, linked by any of its texts. A row
     with a null id links with nothing, has a null component and stays. Links are exact; of true links each is
-    examined with a chance of at least `recall` by itself.
+    examined with a chance of at least `recall` by itself. A tenth of what may be lost goes to the cut of similar
+    signatures, four tenths to the trees of pairs whose nodes are small by DEEP levels, and half to those of
+    deeper nodes: documents found in one there are walked through more trees, enough at DEPTH levels.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = max(0.0, percent / 100 - 3.5 * math.sqrt(percent / 100 * (1 - percent / 100) / WIDTH))
-    sketch = written(docs.mapInArrow(_sketch(trees_for(recall, percent / 100), size), "id long, n long, same binary, sig binary, keys array<long>"), "sketch")
+    loss = 1 - recall
+    cut = cut_for(0.1 * loss, percent / 100)
+    few, many = trees_for(0.4 * loss, percent / 100, DEEP), trees_for(0.5 * loss, percent / 100, DEPTH)
+    sketch = written(docs.mapInArrow(_sketch(few, size), "id long, n long, same binary, sig binary, keys array<long>"), "sketch")
     valid = sketch.where("id is not null and n > 0")
     classes = written(valid.groupBy("same").agg(F.min("id").alias("rep")), "classes")
     reps = valid.join(classes, (valid["same"] == classes["same"]) & (valid["id"] == classes["rep"]), "left_semi").dropDuplicates(["id", "same"])
     sigs = written(reps.select("id", "sig", "keys"), "sigs")
     spark = df.sparkSession
 
-    active, done = sigs.select("id", F.explode("keys").alias("key")), None
-    for depth in range(START, DEPTH + 1):
-        counts = active.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        node = written(active.join(counts, "key").select("key", "id", "m"), "nodes")
-        small = node.where(F.col("m") <= LEAF).select("key", F.lit(0).alias("block"), "id")
-        done = small if done is None else done.union(small)
-        large = node.where(F.col("m") > LEAF)
-        if large.isEmpty():
-            break
-        if depth == DEPTH:  # a node that no position splits further: every pair of its blocks
-            blocks = F.ceil(F.col("m") * 2 / LEAF).cast("int")
-            own = F.pmod(F.hash("id"), F.col("blocks"))
-            spread = large.withColumn("blocks", blocks).withColumn("own", own).select("key", "id", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            done = done.union(spread.select("key", (F.greatest("own", "other") * F.col("blocks") + F.least("own", "other")).cast("int").alias("block"), "id"))
-        else:
-            active = large.join(sigs.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(_children, "key long, id long")
+    done, deep = _walk(sigs, sigs.select("id", F.explode("keys").alias("key")))
+    if deep is not None:
+        again = sigs.join(deep.select("id").distinct(), "id", "left_semi").select("id", "sig")
+        done = done.union(_walk(sigs, again.mapInArrow(_more(few, many), "key long, id long"))[0])
 
     nodes = done.join(sigs.select("id", "sig"), "id").repartition("key", "block").sortWithinPartitions("key", "block")
     clusters = written(nodes.select("key", "block", "id", "sig").mapInArrow(_clusters(cut), "ids array<long>").distinct(), "clusters")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -177,6 +178,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (len(sets[i]), up[i], up[i] == i) for i in up}
 
 
+def test_true_links_are_lost_as_seldom_as_said():
+    few, many = minhash.trees_for(4e-6, 0.75, minhash.DEEP), minhash.trees_for(5e-6, 0.75, minhash.DEPTH)
+    chances = lambda k: math.comb(128, k) * 0.75**k * 0.25 ** (128 - k)
+    gone = sum(chances(k) for k in range(minhash.cut_for(1e-6, 0.75)))
+    gone += sum(chances(k) * (minhash.lost(k / 128, 4) ** few + minhash.lost(k / 128, 14) ** many) for k in range(129))
+    assert gone <= 1e-5
+
+
+def test_pair_of_unlucky_signatures_links(spark):
+    # similarity 0.75 or more, but a share of equal positions below 3.5 sigma
+    words, rng = minhash._Words(), random.Random(0)
+    for _ in range(20_000):
+        a = [f"w{rng.getrandbits(40)}" for _ in range(74)]
+        b = a[:64] + [f"w{rng.getrandbits(40)}" for _ in range(10)]
+        sets = [minhash.shingles(" ".join(x), words) for x in (a, b)]
+        if (minhash.signature(sets[0]) == minhash.signature(sets[1])).mean() < 0.616:
+            break
+    same = len(np.intersect1d(*sets))
+    assert 100 * same >= 75 * (len(sets[0]) + len(sets[1]) - same)
+    got = minhash.near_duplicates(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
+def test_documents_of_deep_nodes_get_more_trees(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(100)]
+    texts = [" ".join([*base[:96], *(f"x{rng.getrandbits(40)}" for _ in range(4))]) for _ in range(12)]
+    monkeypatch.setattr(minhash, "LEAF", 2)
+    monkeypatch.setattr(minhash, "DEPTH", 5)
+    walked = []
+    monkeypatch.setattr(minhash, "_more", lambda first, trees, f=minhash._more: walked.append((first, trees)) or f(first, trees))
+    got = minhash.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and len(walked) == 1 and walked[0][0] < walked[0][1]
+
+
 def test_simhash_order_and_copies(spark):
     rows = [(1, "one two three four five six seven eight"), (5, "one two three four five six seven eight"), (3, None), (9, "alpha beta gamma"), (9, "alpha beta gamma")]
     out = simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
