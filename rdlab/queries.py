@@ -750,6 +750,13 @@ def pchip_slopes(spark, sf_dir):
     return rows.select(*bdrate.CURVE, (F.col("at") + 1).alias("seq"), r6("p.h").alias("h"), r6("p.delta").alias("delta"), r6("p.d").alias("d"), (F.round("p.c", 5) + 0.0).alias("c"), (F.round("p.b", 4) + 0.0).alias("b"))
 
 
+@query(PCHIP + f" SELECT {KEY}, i::INTEGER AS seq, " + ", ".join(f"printf('%.5e', {x} + 0e0) AS {c}" for x, c in (("h", "h"), ("dl", "delta"), ("d", "d"), ("c", "c"), ("b", "b"))) + " FROM seg")
+def pchip_slopes_all(spark, sf_dir):
+    # all metrics; steps differ by orders of magnitude between them, so values are compared by significant digits
+    rows = bdrate.paired(_long(spark, sf_dir)).select(*bdrate.CURVE, F.posexplode_outer("parts").alias("at", "p")).where("p is not null")
+    return rows.select(*bdrate.CURVE, (F.col("at") + 1).alias("seq"), *[F.format_string("%.5e", F.col(f"p.{c}") + 0.0).alias(c) for c in ("h", "delta", "d", "c", "b")])
+
+
 @query(BD + f" SELECT {KEY}, round(va, 6) AS area FROM pair JOIN area USING ({KEY}) WHERE fit AND lo < hi")
 def clipped_integral(spark, sf_dir):
     rows = bdrate.paired(_long(spark, sf_dir)).where("fit and lo < hi")

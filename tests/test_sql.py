@@ -29,3 +29,10 @@ def test_same_rows(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, map(tuple, got.collect())) == rows(names, want.fetchall())
+
+
+@pytest.mark.skipif(not Path(DIR).is_dir(), reason="no test tables")
+def test_slopes_of_all_metrics(spark):
+    test_same_rows(spark, "pchip_slopes_all")
+    seen = {r["metric"] for r in queries.QUERIES["pchip_slopes_all"](spark, DIR).select("metric").distinct().collect()}
+    assert seen == set(queries.BD_METRICS)
