@@ -1,6 +1,7 @@
 """Language ID by a linear-chain conditional random field over the words of a line.
 
-Emission features of a word are its affixes, inner n-grams and lexicon entries; transitions are learned.
+Emission features of a word are its affixes, inner n-grams and the word itself, hashed, which stands for lexicon
+entries; transitions are learned.
 Forward-backward labels each word, so code-switched text gets more than one language.
 """
 
@@ -18,14 +19,15 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15  #: hashed emission features
 MEMO = 300_000  #: words whose scores a worker keeps
+MEMO_CHARS = 20_000_000  #: and their characters
 CHUNK = 4000  #: texts tagged at once; many together share the steps of long lines
 NONE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word, over its UTF-8 bytes: prefixes and suffixes of 1 to 4, inner 2- and 3-grams, the word itself."""
-    w = word.encode()[:64]
+    """Hashed features of a lower-cased word, over all its UTF-8 bytes: prefixes and suffixes of 1 to 4, inner 2- and 3-grams, the word itself."""
+    w = word.encode()
     n, last = len(w), BUCKETS - 1
     out = [crc32(w[:i], i) & last for i in range(1, min(4, n) + 1)] + [crc32(w[-i:], 10 + i) & last for i in range(1, min(4, n) + 1)]
     out += [crc32(w[i : i + 2], 21) & last for i in range(n - 1)] + [crc32(w[i : i + 3], 22) & last for i in range(n - 2)]
@@ -49,6 +51,7 @@ class Known:
         self.places: dict[str, int] = {}
         self.words: dict[str, int] = {"": -1}
         self.rows = np.empty((0, labels))
+        self.chars = 0
 
 
 class Crf:
@@ -59,10 +62,18 @@ class Crf:
         self.emit, self.move, self.start = np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Emission scores, a row for each word."""
-        found = [features(w) for w in words]
-        starts = np.cumsum([0, *map(len, found[:-1])])
-        return np.add.reduceat(self.emit[np.fromiter(chain.from_iterable(found), np.int64)], starts, axis=0)
+        """Emission scores, a row for each word; long words are summed by themselves, in pieces."""
+        out = np.zeros((len(words), self.emit.shape[1]))
+        short = np.array([len(w) <= 64 for w in words], bool)
+        found = [features(w) for w in words if len(w) <= 64]
+        if found:
+            starts = np.cumsum([0, *map(len, found[:-1])])
+            out[short] = np.add.reduceat(self.emit[np.fromiter(chain.from_iterable(found), np.int64)], starts, axis=0)
+        for i in np.flatnonzero(~short):
+            f = np.array(features(words[i]))
+            for lo in range(0, len(f), 100_000):
+                out[i] += self.emit[f[lo : lo + 100_000]].sum(0)
+        return out
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward over chains padded to one length: scores is (chain, place, label). Gives the marginals and the summed expected transitions."""
@@ -137,7 +148,7 @@ class Crf:
     def tag(self, texts: list[str | None], known: Known) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the places of its words with letters among its tokens, and their marginals."""
         lines, owner, new = [], [], []
-        if len(known.rows) > MEMO or len(known.places) > 2 * MEMO:
+        if len(known.rows) > MEMO or len(known.places) > 2 * MEMO or known.chars > MEMO_CHARS:
             known.clear(len(self.labels))
         memo, words, n = known.places, known.words, len(known.rows)
         for i, text in enumerate(texts):
@@ -152,6 +163,7 @@ class Crf:
                             at = words[word] = n + len(new)
                             new.append(word)
                         memo[token] = at
+                        known.chars += len(token)
                     ids.append(at)
                 if ids:
                     lines.append(np.array(ids))

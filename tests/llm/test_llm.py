@@ -243,6 +243,15 @@ def test_language_id_labels_code_switched_words(spark):
     assert [got[i]["lang"] for i in (1, 2, 3)] == ["und"] * 3
 
 
+def test_language_id_reads_long_words_whole(spark):
+    rng = random.Random(6)
+    kinds = {"aa": ["ba", "lo", "mi"], "bb": ["zur", "kek", "xon"]}
+    rows = [(i, "\n".join(" ".join("".join(rng.choices(kinds[k], k=3)) for _ in range(20)) for _ in range(3)), k) for i in range(60) for k in kinds]
+    model = spark.sparkContext.broadcast(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    seen = spark.createDataFrame([(0, "balomi" * 11 + "zurkek" * 100)], "doc_id long, text string")
+    assert seen.select(langid.detect("text", model).alias("x")).first()["x"]["lang"] == "bb"
+
+
 def test_components_are_least_ids(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 75), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
