@@ -22,10 +22,10 @@ def sizes(docs: DataFrame) -> list:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in none of the learned languages, go."""
+    """Documents without a letter, or whose words can't be labelled surely, go; those that switch languages stay."""
     model = spark.sparkContext.broadcast(langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
     found = docs.withColumn("__found", langid.detect_document("text", model))
-    return found.where((F.col("__found.lang") != langid.NONE) & (F.col("__found.score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return found.where((F.col("__found.lang") != langid.NONE) & (F.col("__found.sure") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

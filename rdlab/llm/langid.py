@@ -270,7 +270,7 @@ def _structs(rows: list, labels: list[str]) -> pa.Array:
 
 
 def detect_document(text: str | Column, model) -> Column:
-    """struct(lang, score) of a text, as detect() without the words."""
+    """struct(lang, score, sure) of a text: lang and score as detect() without the words, sure the mean over the words of each one's largest marginal."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
@@ -280,10 +280,10 @@ def detect_document(text: str | Column, model) -> Column:
             for lo in range(0, len(b), CHUNK):
                 for _, p in m.tag(b.slice(lo, CHUNK).to_pylist(), known):
                     mean = p.mean(0) if len(p) else None
-                    out.append((NONE, 0.0) if mean is None else (m.labels[int(mean.argmax())], min(1.0, float(mean.max()))))
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang", "score"])
+                    out.append((NONE, 0.0, 0.0) if mean is None else (m.labels[int(mean.argmax())], min(1.0, float(mean.max())), min(1.0, float(p.max(1).mean()))))
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), *[pa.array([x[i] for x in out], pa.float64()) for i in (1, 2)]], ["lang", "score", "sure"])
 
-    return F.arrow_udf(run, "struct<lang:string,score:double>")(text)
+    return F.arrow_udf(run, "struct<lang:string,score:double,sure:double>")(text)
 
 
 def held_out(id_col: Column, parts: int = 4, part: int = 2) -> Column:

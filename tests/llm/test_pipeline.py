@@ -40,3 +40,13 @@ def test_stages_decide_as_planted(spark, tmp_path):
     assert all("Read more" not in r["text"] for r in kept["lines"].values()) and kept["lines"].keys() == kept["toxicity"].keys()
     assert kept["lines"].keys() - kept["near_duplicates"].keys() == {300, 301, 302}
     assert kept["packing"].keys() == kept["near_duplicates"].keys()
+
+
+def test_text_that_switches_languages_stays(spark):
+    rng = random.Random(12)
+    kinds = KINDS | {"cc": ["qui", "vosh", "dje", "fy"]}
+    text = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=4)) for _ in range(n))
+    docs = [(i, text(k, 60), k) for i in range(60) for k in kinds]
+    docs.append((100, "\n".join(text(k, 20) for k in kinds), None))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert 100 in {r["doc_id"] for r in corpus_pipeline.language(spark, rows, "").collect()}
