@@ -118,35 +118,49 @@ def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
     return (len(data) - len(z.unused_data), out) if z.eof else "member cut short"
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | None, str | None]]:
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str, dict[str, str] | None, bytes | None, str | None]]:
     """(offset, length, kind, headers, payload, reason): records in order, and a row of kind gap for each run of bytes that was given up.
 
     A record that fails a check (version line, lengths, line ends, payload digest, gzip checksum) is left, and the
-    search goes on at the next version line or gzip member behind its first byte.
+    search goes on at the next version line or gzip member behind its first byte. A member may hold several
+    records, searched in the same way: its records and gaps all have its offset, the first of them its length, the
+    others length 0. A member without any record is a gap. With members false no gzip members are looked for.
     """
     at, gap, why, n = 0, None, "", len(data)
     while at < n:
-        got: tuple | str = "no record"
-        if data.startswith(_MEMBER, at):
+        got: str | list = "no record"
+        end = None
+        if members and data.startswith(_MEMBER, at):
             m = _member(data, at)
             if isinstance(m, str):
                 got = m
             else:
-                inner = _record(m[1] if m[1].endswith(b"\r\n\r\n") else m[1] + b"\r\n\r\n", 0)
-                got = inner if isinstance(inner, str) else (m[0], inner[1], inner[2])
+                end = m[0]
+                inner = [*salvage(m[1] if m[1].endswith(b"\r\n\r\n") else m[1] + b"\r\n\r\n", False)]
+                if any(x[2] == "record" for x in inner):
+                    got = [(at, 0 if i else end - at, *x[2:]) for i, x in enumerate(inner)]
+                else:
+                    got = inner[0][5]
         elif data.startswith(b"WARC/", at):
-            got = _record(data, at)
+            r = _record(data, at)
+            if isinstance(r, str):
+                got = r
+            else:
+                end = r[0]
+                got = [(at, end - at, "record", r[1], r[2], None)]
         if isinstance(got, str):
             if gap is None:
                 gap, why = at, got
-            a, b = _START.search(data, at + 1), data.find(_MEMBER, at + 1)
-            at = min([x for x in (a.start() if a else -1, b) if x > 0], default=n)
+            if end is None:
+                a, b = _START.search(data, at + 1), data.find(_MEMBER, at + 1) if members else -1
+                end = min([x for x in (a.start() if a else -1, b) if x > 0], default=n)
+            at = end
             continue
         if gap is not None:
             yield gap, at - gap, "gap", None, None, why
             gap = None
-        yield at, got[0] - at, "record", got[1], got[2], None
-        at = got[0]
+        yield from got
+        at = end
     if gap is not None:
         yield gap, n - gap, "gap", None, None, why
 
@@ -160,7 +174,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, size = [], 0
                 for x in salvage(data.as_py()):
                     rows.append((name, *x))
-                    size += x[1]
+                    size += max(x[1], len(x[4] or b""))
                     if size > 8_000_000:
                         yield _rows(rows)
                         rows, size = [], 0

@@ -139,6 +139,19 @@ def test_salvage_finds_later_records_and_gaps():
     assert sum(x[1] for x in got) == len(data)
 
 
+def test_salvage_reads_all_records_of_a_member():
+    def record(body):
+        d = base64.b32encode(hashlib.sha1(body).digest())
+        return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (d, len(body), body)
+
+    bad = record(b"hello").replace(b"hello", b"hellO")
+    members = [gzip.compress(x) for x in (record(b"one") + record(b"two"), bad + record(b"three") + bad + record(b"four"), bad)]
+    got = list(warc.salvage(members[0] + members[1] + members[2] + record(b"five")))
+    second, third = len(members[0]), len(members[0]) + len(members[1])
+    assert [(x[0], x[4] or x[5]) for x in got[:-1]] == [(0, b"one"), (0, b"two"), (second, "wrong digest"), (second, b"three"), (second, "wrong digest"), (second, b"four"), (third, "wrong digest")]
+    assert got[-1][4] == b"five" and sum(x[1] for x in got) == sum(map(len, members)) + len(record(b"five"))
+
+
 def test_digest_is_base32(spark):
     got = spark.createDataFrame([(b"abc",)], "b binary").select(warc.base32_sha1("b")).first()[0]
     assert got == base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
