@@ -27,7 +27,7 @@ SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 64  #: longer tokens are split into words, and not kept in memos
 REPEAT = re.compile(r"(.)\1\1")
-MIN_DOCS, MIN_ODDS, MAX_TERMS = 4, 2.0, 50_000
+MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 1e-4, 2.0  #: a term's toxic texts, their share of all toxic texts, its log odds
 
 
 class CharModel:
@@ -176,7 +176,7 @@ def _grams(word: str) -> set[str]:
 
 
 def char_counts(df: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Counts of character trigrams in the alphabetic words of all texts; at most 200,000 kinds, the most frequent, come back."""
+    """Counts of character trigrams in the alphabetic words of all texts, of every kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +193,7 @@ def char_counts(df: DataFrame, text_col: str = "text") -> dict[str, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([*out]), pa.array([*out.values()], pa.int64())], ["g", "n"])
 
     rows = df.select(F.col(text_col)).mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    return {r["g"]: r["n"] for r in rows.orderBy(F.desc("n"), "g").limit(200_000).collect()}
+    return {r["g"]: r["n"] for r in rows.orderBy(F.desc("n"), "g").collect()}
 
 
 class Toxicity:
@@ -232,8 +232,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from all texts of df (characters) and the labelled ones (terms).
 
     df and labels hold what may be learned from; they join on id_col. Rows with a null id, text or label give no label;
-    repeated rows count as often as they occur. Term counts cover all labelled rows; at most MAX_TERMS terms with
-    odds of at least MIN_ODDS in MIN_DOCS toxic texts are kept. The logistic model is fitted on about `sample` labelled
+    repeated rows count as often as they occur. Term counts cover all labelled rows; all terms with odds of at
+    least MIN_ODDS in MIN_DOCS toxic texts and a share MIN_SHARE of them are kept, so the support grows with the labels. The logistic model is fitted on about `sample` labelled
     rows, picked by a hash of the text. With no labels every score is below 0.5.
     """
     chars = CharModel(char_counts(df, text_col))
@@ -278,7 +278,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counts.unpersist()
         return Toxicity(chars, {}, model)
     odds = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("fine") + 0.5) / (whole["fine"] + 1))
-    kept = counts.where("term <> ''").select("term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
+    kept = counts.where("term <> ''").where(F.col("bad") >= MIN_SHARE * whole["bad"]).select("term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "term").collect()
     counts.unpersist()
     out = Toxicity(chars, {r["term"]: r["odds"] for r in kept}, model)
     n = whole["bad"] + whole["fine"]

@@ -92,6 +92,18 @@ def test_toxicity_reads_long_tokens_whole(spark):
     assert got[6] > got[2]
 
 
+def test_toxicity_keeps_all_terms_and_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 1, raising=False)
+    rows = [(i, "fine words" + (" idiot scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {"idiot", "scum", "#diot"} <= toxicity.train(df, df).odds.keys()
+    rng = random.Random(7)
+    words = {"".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(3)) for _ in range(90_000)}
+    want = {x[i : i + 3] for w in words for x in [f"^^{w}$"] for i in range(4)}
+    assert len(want) > 200_000
+    assert toxicity.char_counts(spark.createDataFrame([(" ".join(words),)], "text string")).keys() == want
+
+
 def test_restored_run_of_letters_is_split():
     chars = toxicity.CharModel({x[i : i + 3]: 50 for w in ("you", "idiot") for x in [f"^^{w}$"] for i in range(len(x) - 2)})
     assert toxicity.split("youidiotyou", chars) == ["you", "idiot", "you"]
