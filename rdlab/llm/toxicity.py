@@ -1,8 +1,9 @@
 """Toxicity by a noisy channel: restore obfuscated words, then score the restored text.
 
-A suspicious token becomes a lattice: each character may stand for letters (leetspeak), be noise, or repeat.
-Viterbi picks the reading with the best sum of channel costs and a character trigram model. The score is a
-logistic model over evidence from words and n-grams learned from labels.
+A suspicious token, or a run of single characters, becomes a lattice: each sign or run of signs may stand for letters
+(leetspeak), be noise, or repeat, and in a run words may end at any gap. Viterbi picks the reading with the best sum
+of channel costs and a character trigram model. The score is a logistic model over evidence from words and n-grams
+learned from labels.
 """
 
 from __future__ import annotations
@@ -14,19 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rdlab.llm.common import new_path, remove
+
 #: Letters that a sign is used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Letters written with several signs or letters.
+SEVERAL = {"vv": "w", "ph": "f", "\\/": "v", "/\\": "a", "()": "o", "|<": "k", "|)": "d", "|-|": "h", "|\\|": "n"}
 NOISE = frozenset(".-_*~'`^#,/\\:;\"")
-EDGE = ".,!?*&%#$:;\"'()[]{}<>|-_/\\`~^"
-SWAP, SKIP, AGAIN = -1.0, -0.7, -0.5  #: log costs of a sign for a letter, a noise sign, a dropped repeat
-SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
+EDGE = ".,?*&%#:;\"')[]{}<>-_/\\`~^"  #: signs at the ends of a token that stand for no letter by themselves
+OPENS, CLOSES = frozenset("(|"), frozenset("!|")  #: signs with letters that are punctuation before or after a word
+SWAP, SEVERAL_SWAP, SKIP, ODD_SKIP, AGAIN, JOIN = -1.0, -1.5, -0.7, -6.0, -0.5, -3.0  #: log costs: a sign for a letter, several for one, a dropped punctuation mark, a dropped sign elsewhere at an end, a dropped repeat, no word end at a wide gap
+_SIGN = r"(?:[^\W_]|[$@!|(+€£])"
+SPACED = re.compile(rf"(?<!\S)(?:{_SIGN}[\s.\-_*]+){{3,}}{_SIGN}(?!\w)")
+GAP = re.compile(r"[\s.\-_*]+")
+SIGNS = re.compile("|".join(re.escape(x) for x in sorted(SEVERAL, key=len, reverse=True) if not x.isalpha()))
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 64  #: longer tokens are split into words, and not kept in memos
-REPEAT = re.compile(r"(.)\1\1")
+ODD = re.compile(r"(.)\1\1|vv|ph")
+_SEVERAL = {c: [(x, to) for x, to in SEVERAL.items() if x[0] == c] for c in {x[0] for x in SEVERAL}}
 MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 1e-4, 2.0  #: a term's toxic texts, their share of all toxic texts, its log odds
 
 
@@ -60,38 +69,66 @@ class CharModel:
         return got
 
 
+def stripped(token: str) -> str:
+    """A token without the signs at its ends that can't be letters, alone or with their neighbours."""
+    return token if SIGNS.search(token) else token.strip(EDGE)
+
+
 def suspicious(token: str) -> bool:
-    """Whether a stripped token mixes letters with signs or repeats a character three times."""
+    """Whether a stripped token mixes letters with signs, repeats a character three times or may write one letter as two."""
     if token.isalpha():
-        return REPEAT.search(token) is not None
+        return ODD.search(token) is not None
     return any(c.isalpha() for c in token) and any(c in LEET or c in NOISE for c in token)
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The best reading of a token's lattice, in linear time; states are the last two letters written."""
-    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # a reading is a chain (chain before, letter)
-    before, done = "", []
-    for c in token:
-        ways = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
-        after: dict[str, tuple[float, tuple | None]] = {}
+def restore(token: str, model: CharModel, wide: list[bool] | None = None) -> str:
+    """The best reading of a token's lattice, in linear time; states are the last two letters written.
 
-        def put(state: str, score: float, text: tuple | None, after=after) -> None:
-            if state not in after or after[state][0] < score:
-                after[state] = (score, text)
+    Signs at the ends may be letters or punctuation. With `wide`, which tells whether a wide gap stands before each
+    character, words may end before any character: the reading has a space there.
+    """
+    # the states before a character and before the three after it; a reading is a chain (chain before, letter)
+    ahead: list[dict[str, tuple[float, tuple | None]]] = [{"^^": (0.0, None)}, {}, {}, {}]
+    core = [i for i, c in enumerate(token) if c.isalnum()]
+    first, last = (core[0], core[-1]) if core else (0, len(token))
+    before, done = "", []
 
+    def put(after: dict, state: str, score: float, text: tuple | None) -> None:
+        if state not in after or after[state][0] < score:
+            after[state] = (score, text)
+
+    for i, c in enumerate(token):
+        states = ahead.pop(0)
+        ahead.append({})
+        if wide is not None and i:
+            ended = [(score + model(state, "$"), (text, " ")) for state, (score, text) in states.items() if state != "^^"]
+            if wide[i]:
+                states = {state: (score + JOIN, text) for state, (score, text) in states.items()}
+            for score, text in ended:
+                put(states, "^^", score, text)
+        ways = [(1, c, 0.0)] if c.isalpha() else [(1, x, SWAP) for x in LEET.get(c, "")]
+        ways += [(len(x), to, SEVERAL_SWAP) for x, to in _SEVERAL.get(c, ()) if token.startswith(x, i)]
+        skip = SKIP if c in NOISE or not ways or i < first and c in OPENS or i > last and c in CLOSES else ODD_SKIP if not first <= i <= last else None
         for state, (score, text) in states.items():
-            for x, cost in ways:
-                put(state[1] + x, score + cost + model(state, x), (text, x))
-            if c in NOISE or not ways:
-                put(state, score + SKIP, text)
+            for width, x, cost in ways:
+                put(ahead[width - 1], state[1] + x, score + cost + model(state, x), (text, x))
+            if skip is not None:
+                put(ahead[0], state, score + skip, text)
             if c == before:
-                put(state, score + AGAIN, text)
-        states, before = after, c
-        if len(states) == 1 and len(token) > LONG:  # all readings agree so far
-            ((state, (score, text)),) = states.items()
+                put(ahead[0], state, score + AGAIN, text)
+        before = c
+        if len(token) > LONG and len(ahead[0]) == 1 and not ahead[1] and not ahead[2]:  # all readings agree so far
+            ((state, (score, text)),) = ahead[0].items()
             done.append(_letters(text))
-            states = {state: (score, None)}
-    return "".join(done) + max((s + model(state, "$"), _letters(text)) for state, (s, text) in states.items())[1]
+            ahead[0] = {state: (score, None)}
+    return "".join(done) + max((s + model(state, "$"), _letters(text)) for state, (s, text) in ahead[0].items())[1]
+
+
+def unspaced(run: str, model: CharModel) -> str:
+    """The words of a run of single characters with gaps between them, which may be of any width."""
+    gaps = [len(x) for x in GAP.findall(run)]
+    usual = Counter(gaps).most_common(1)[0][0]
+    return restore(GAP.sub("", run), model, [False, *(x > usual for x in gaps)])
 
 
 def _letters(chain: tuple | None) -> str:
@@ -129,11 +166,10 @@ def split(letters: str, model: CharModel) -> list[str]:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct stripped tokens of a text, lower-cased, with spaced-out letters joined."""
+    """Distinct stripped tokens of a text, lower-cased, and its runs of single characters."""
     text = text.lower()
-    out = {w.strip(EDGE) for w in text.split()}
-    out.update(m.group() for m in SPACED.finditer(text))
-    out.discard("")
+    out = set(map(stripped, text.split()))
+    out.update(x for x in map(re.Match.group, SPACED.finditer(text)) if len(x.split()) > 1 and any(c.isalpha() for c in x))
     return out
 
 
@@ -144,27 +180,30 @@ class Reader:
         self.chars = chars
 
     def word(self, token: str) -> str:
-        if " " in token:
-            token = token.replace(" ", ".")
+        """The reading of a stripped token; that of a run of characters may be several words."""
+        if len(token.split()) > 1:
+            return unspaced(token, self.chars)
         return restore(token, self.chars) if suspicious(token) else token
 
     def terms(self, token: str) -> list[set[str]]:
         """Terms of each word of a token: the restored word and its 4-grams.
 
-        A long token is split into words; a 4-gram over their borders goes to the word that it begins in, so all 4-grams are there.
+        A long token is split into words, a run has its own; a 4-gram over their borders goes to the word that it begins in, so all 4-grams are there.
         """
         w = self.word(token)
         if not w:
             return []
-        if len(token) <= LONG:
+        if " " not in w and len(token) <= LONG:
             return [_grams(w)]
+        parts = [x for run in LETTERS.finditer(w) for x in ([run.group()] if " " in w else split(run.group(), self.chars))]
+        w = w.replace(" ", "")
         out: dict[str, set[str]] = {}
-        for run in LETTERS.finditer(w):
-            at = run.start()
-            for x in split(run.group(), self.chars):
-                found = out.setdefault(x, _grams(x))
-                found.update("#" + w[i : i + 4] for i in range(at, min(at + len(x), len(w) - 3)))
-                at += len(x)
+        at = 0
+        for x in parts:
+            at = w.index(x, at)
+            found = out.setdefault(x, _grams(x))
+            found.update("#" + w[i : i + 4] for i in range(at, min(at + len(x), len(w) - 3)))
+            at += len(x)
         # 4-grams that begin with a sign
         rest = {"#" + w[i : i + 4] for i in range(len(w) - 3) if not LETTERS.match(w[i])}
         return [*out.values(), *([rest] if rest else [])]
@@ -233,12 +272,15 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     df and labels hold what may be learned from; they join on id_col. Rows with a null id, text or label give no label;
     repeated rows count as often as they occur. Term counts cover all labelled rows; all terms with odds of at
-    least MIN_ODDS in MIN_DOCS toxic texts and a share MIN_SHARE of them are kept, so the support grows with the labels. The logistic model is fitted on about `sample` labelled
-    rows, picked by a hash of the text. With no labels every score is below 0.5.
+    least MIN_ODDS in MIN_DOCS toxic texts and a share MIN_SHARE of them are kept, so the support grows with the labels and
+    the kept terms stay below 1 / MIN_SHARE times the mean number of terms of a toxic text. The logistic model is fitted on at
+    most 2 * sample rows with the `sample` labels picked by a hash of the id. With no labels, or none of one kind, every score is below 0.5.
+    Labelled texts are shuffled once, by the same plan at every size.
     """
     chars = CharModel(char_counts(df, text_col))
     given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
-    rows = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(given, id_col).select("text", "label")
+    texts = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
+    rows = texts.hint("merge").join(given, id_col).select("text", "label")
     shared = df.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +313,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield flush()
 
     counts = rows.mapInArrow(run, "term string, bad long, fine long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-    counts = counts.where(F.col("bad") >= MIN_DOCS).persist()
+    path = new_path(df.sparkSession, "terms")
+    counts.where(F.col("bad") >= MIN_DOCS).write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
     whole = counts.where("term = ''").first()
     model = np.array([-4.0, 0.0, 0.0, 0.0, 0.0])
     if whole is None or not whole["fine"]:
-        counts.unpersist()
+        remove(df.sparkSession, path)
         return Toxicity(chars, {}, model)
     odds = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("fine") + 0.5) / (whole["fine"] + 1))
     kept = counts.where("term <> ''").where(F.col("bad") >= MIN_SHARE * whole["bad"]).select("term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "term").collect()
-    counts.unpersist()
+    remove(df.sparkSession, path)
     out = Toxicity(chars, {r["term"]: r["odds"] for r in kept}, model)
-    n = whole["bad"] + whole["fine"]
-    place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    picked = given.orderBy(F.xxhash64(id_col, F.lit(5)), id_col, "label").limit(sample)
     held = df.sparkSession.sparkContext.broadcast(out)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +334,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [held.value.evidence(t, memo, reader) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b.column("label")], ["x", "label"])
 
-    seen = rows.where(place < sample / n).mapInArrow(look, "x array<double>, label int").limit(2 * sample + 1000).collect()
+    # at most `sample` rows are broadcast, and twice as many come back
+    near = texts.join(F.broadcast(picked), id_col).select("text", "label")
+    seen = near.mapInArrow(look, "x array<double>, label int").orderBy(F.xxhash64("x", "label")).limit(2 * sample).collect()
     if seen:
         out.model = logistic(np.array([r["x"] for r in seen]), np.array([float(r["label"] == 1) for r in seen]))
     return out
@@ -329,12 +374,12 @@ def restored(text: str | Column, model) -> Column:
             out = []
             for t in b.to_pylist():
                 if t is not None:
-                    t = SPACED.sub(lambda m: re.sub(r"\s+", ".", m.group()), t.lower())
+                    t = SPACED.sub(lambda m: reader.word(m.group()) if any(c.isalpha() for c in m.group()) else m.group(), t.lower())
                     parts = []
                     for w in t.split():
                         got = memo.get(w)
                         if got is None:
-                            got = reader.word(w.strip(EDGE)) or w
+                            got = reader.word(stripped(w)) or w
                             if len(w) <= LONG:
                                 if len(memo) > 100_000:
                                     memo.clear()
