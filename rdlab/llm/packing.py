@@ -69,6 +69,11 @@ def _pack_shards(capacity: int):
     return run
 
 
+def sizes(docs: DataFrame, text_col: str = "text") -> list:
+    """length, in words, and cluster, by equal text, of documents to be packed; a null text has length 0 and no cluster."""
+    return [F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("length"), F.md5(F.col(text_col).cast("binary")).alias("cluster")]
+
+
 def best_fit_packing(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id", length_col: str = "length", source_col: str = "source", cluster_col: str = "cluster", shard_rows: int = 2000) -> DataFrame:
     """(bin_id string, doc_id, piece, length, place, bin_used): one row for each piece of each row of df.
 
@@ -76,7 +81,8 @@ def best_fit_packing(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id"
     longer than a bin is cut: its full pieces fill bins of their own, the rest is packed like a short row. A row of length 0
     or null takes part as a piece of length 0. Null sources and clusters conflict with nothing. Rows are dealt to shards
     of about shard_rows by a hash of id and cluster, each packed longest first, ties by id; equal rows
-    are separate pieces. place is the piece's offset in its bin.
+    are separate pieces; an empty table gives no rows, and other columns are not read. place is the piece's offset in its bin. The session says how many
+    tasks share the shards.
     """
     n = df.count()
     shards = max(1, -(-n // shard_rows))
@@ -87,6 +93,6 @@ def best_fit_packing(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id"
     full = rows.where(F.col("length") >= capacity).select("shard", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"), F.lit(capacity).cast("long").alias("length"), "cluster")
     full = full.select(F.concat(F.lit("f"), "shard", F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), "piece", F.lit("-"), F.monotonically_increasing_id()).alias("bin_id"), "doc_id", "piece", "length", F.lit(0).cast("long").alias("place"))
     rest = rows.where((F.col("length") % capacity > 0) | (F.col("length") == 0)).select("shard", "doc_id", whole.alias("piece"), (F.col("length") % capacity).alias("length"), "source", "cluster")
-    packed = rest.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(_pack_shards(capacity), OUT)
+    packed = rest.repartition("shard").sortWithinPartitions("shard").mapInPandas(_pack_shards(capacity), OUT)
     packed = packed.select(F.concat(F.lit("p"), "shard", F.lit("-"), "bin").alias("bin_id"), "doc_id", "piece", "length", "place")
     return full.union(packed).withColumnRenamed("doc_id", id_col)
