@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rdlab.plans.grid import numbered
+
 SLICE = ["sub_sampling", "codec", "target_metric", "target_value"]
 
 
@@ -17,6 +19,12 @@ def distinct_sorted(encodes: DataFrame, *columns: str) -> DataFrame:
     return seen.select("name", F.row_number().over(order).alias("seq"), "value")
 
 
+def distinct_ranked(encodes: DataFrame, column: str) -> DataFrame:
+    """(name, seq, value) of one column with any number of distinct values: they are numbered over range partitions, not in one task. Nulls are left out."""
+    values = encodes.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return numbered(values, "value", "at").select(F.lit(column).alias("name"), (F.col("at") + 1).cast("int").alias("seq"), "value")
+
+
 def codecs_in_subsampling(encodes: DataFrame) -> DataFrame:
     """Distinct (sub_sampling, codec)."""
     return encodes.select("sub_sampling", "codec").distinct()
@@ -73,10 +81,14 @@ def avg_reduction(means: DataFrame, baseline: str = "jpeg") -> DataFrame:
 
 
 def image_reduction(encodes: DataFrame, baseline: str = "jpeg") -> DataFrame:
-    """The same for each source, with its compression ratio."""
+    """The same for each source, with its compression ratio. One shuffle: the baseline's bytes (the largest, if it has several trials) come by a window.
+
+    Trials without a baseline trial, or with a null in the keys, are left out.
+    """
     keys = ["sub_sampling", "target_metric", "target_value", "source"]
-    base = encodes.where(F.col("codec") == baseline).select(*keys, F.col("file_size_bytes").alias("base_bytes"))
-    return encodes.select(*SLICE, "source", "file_size_bytes", "compress_rate").join(base, keys).select(*SLICE, "source", "compress_rate", ((F.col("file_size_bytes") - F.col("base_bytes")) / F.col("base_bytes") * 100).alias("reduction"))
+    base = F.max(F.when(F.col("codec") == baseline, F.col("file_size_bytes"))).over(Window.partitionBy(*keys))
+    rows = encodes.select(*SLICE, "source", "file_size_bytes", "compress_rate").dropna(subset=keys).withColumn("base", base).where("base is not null")
+    return rows.select(*SLICE, "source", "compress_rate", ((F.col("file_size_bytes") - F.col("base")) / F.col("base") * 100).alias("reduction"))
 
 
 def source_alignment(encodes: DataFrame, baseline: str = "jpeg") -> DataFrame:

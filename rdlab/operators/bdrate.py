@@ -1,19 +1,21 @@
 """Bjontegaard-delta rates: curves, their checks, and the areas between them.
 
-A curve is one array of (rate, quality) points, so one shuffle by (sub_sampling, metric, codec, source) gathers it and
-all later steps are expressions on arrays; only the baseline join moves rows again.
+A curve is one array of (rate, quality) points. One shuffle by (sub_sampling, metric, source) brings together the curves of
+all codecs, the baseline's among them; all later steps are expressions on arrays and one window over the same keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rdlab.schema import BD_METRICS
 
 NO_OVERLAP = -10000.0
 MIN_POINTS = 4
 CURVE = ["sub_sampling", "metric", "codec", "source"]
+PAIR = ["sub_sampling", "metric", "source"]
 
 
 def rd_points(encodes: DataFrame, total_pixels: Column | None = None, metrics: tuple[str, ...] = BD_METRICS) -> DataFrame:
@@ -111,14 +113,14 @@ def paired(long: DataFrame, baseline: str = "jpeg") -> DataFrame:
 
     A curve without a baseline curve is kept and isn't fit.
     """
-    all_curves = checked(curves(long))
-    good = F.col("enough") & F.col("monotonic") & F.col("rates_ok")
-    shaped = pchip(all_curves.withColumn("good", good))
+    all_curves = checked(curves(long.repartition(*PAIR)))
+    shaped = pchip(all_curves.withColumn("good", F.col("enough") & F.col("monotonic") & F.col("rates_ok")))
     ends = shaped.select(*CURVE, "good", "parts", F.element_at("points", 1)["quality"].alias("q0"), F.element_at("points", -1)["quality"].alias("q1"))
-    base = ends.where(F.col("codec") == baseline).select("sub_sampling", "metric", "source", F.col("good").alias("base_good"), F.col("parts").alias("base_parts"), F.col("q0").alias("b0"), F.col("q1").alias("b1"))
-    both = ends.join(base, ["sub_sampling", "metric", "source"], "left")
-    fit = F.coalesce(F.col("good") & F.col("base_good"), F.lit(False))
-    return both.select(*CURVE, fit.alias("fit"), F.when(fit, F.greatest("q0", "b0")).alias("lo"), F.when(fit, F.least("q1", "b1")).alias("hi"), "parts", "base_parts")
+    known = F.col("source").isNotNull() & F.col("sub_sampling").isNotNull() & F.col("metric").isNotNull()
+    base = F.first(F.when(known & (F.col("codec") == baseline), F.struct("good", "parts", "q0", "q1")), ignorenulls=True).over(Window.partitionBy(*PAIR))
+    both = ends.withColumn("base", base)
+    fit = F.coalesce(F.col("good") & F.col("base.good"), F.lit(False))
+    return both.select(*CURVE, fit.alias("fit"), F.when(fit, F.greatest("q0", "base.q0")).alias("lo"), F.when(fit, F.least("q1", "base.q1")).alias("hi"), "parts", F.col("base.parts").alias("base_parts"))
 
 
 def bd_rate(long: DataFrame, baseline: str = "jpeg", strict: bool = False) -> DataFrame:
@@ -141,6 +143,13 @@ def blacklist(rates: DataFrame) -> DataFrame:
     return rates.where("status = 'exception'").select("sub_sampling", "metric", "source").distinct()
 
 
+def blacklist_lines(rates: DataFrame) -> DataFrame:
+    """(sub_sampling, metric, line): the blacklisted sources of a metric, in order; no line where there are none."""
+    sources = F.array_join(F.array_sort(F.collect_set("source")), ", ")
+    line = F.concat(F.rpad("sub_sampling", 5, " "), F.lit(" black list "), F.rpad(F.upper("metric"), 8, " "), F.lit(" BD RATE "), "sources")
+    return blacklist(rates).groupBy("sub_sampling", "metric").agg(sources.alias("sources")).select("sub_sampling", "metric", line.alias("line"))
+
+
 def bd_mean(rates: DataFrame, strict: bool = False) -> DataFrame:
     """Mean per (sub_sampling, metric, codec) over the sources not on the blacklist; null if none is left."""
     kept = rates.join(blacklist(rates).withColumn("out", F.lit(True)), ["sub_sampling", "metric", "source"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rdlab.functions.paths import extension, stem
+from rdlab.sources.scratch import written
 
 MAX_ID = 255
 
@@ -52,7 +53,7 @@ def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
     A range partitioning sorts; each partition's count gives the offset of the next. Only one count per partition comes to the driver.
     """
     parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33))
-    parts = parts.persist()
+    parts = written(parts, "numbered")  # the places that were counted are the ones that are read
     offset, total = {}, 0
     for r in parts.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
         offset[r["__part"]] = total

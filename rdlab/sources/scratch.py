@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _OWN: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or where that is unset (tests on one machine) in a temporary one."""
+    """A new path in the folder of spark.checkpoint.dir; where that is unset in a temporary one, on one machine only: executors of a cluster could not share it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="spark-"))
         root = _OWN[0]
