@@ -35,6 +35,11 @@ def payload_report(catalog: DataFrame, sums: DataFrame) -> DataFrame:
     return catalog.join(got, KEYS, "left").select(*KEYS, (F.coalesce("total_bytes", F.lit(0)) / 1000.0).alias("payload_kb"))
 
 
+def payload_lossless(done: DataFrame) -> DataFrame:
+    """kB of each codec and subsampling over all its targets, as lossless trials have none; 0 where every trial failed."""
+    return done.groupBy("codec", "sub_sampling").agg((F.sum(F.when(F.col("status") == "ok", F.col("bytes")).otherwise(0)) / 1000.0).alias("payload_kb"))
+
+
 def metric_over_images(catalog: DataFrame, sums: DataFrame, errors: DataFrame, images: DataFrame, video: bool = False) -> DataFrame:
     """The metric's sum over the number of all images; the video form divides by it only where there were errors, else by 1."""
     n = F.broadcast(images.agg(F.count("*").alias("images")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import bz2
 import lzma
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +108,39 @@ def pack_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "codec", "param", "source_bytes", "file_size_bytes", "status", "error"]).astype({"source_bytes": "Int64", "file_size_bytes": "Int64"})
 
 
+def _keep_high(data: bytes, bits: int) -> bytes:
+    """Lossy: the low bits of each byte are dropped, the rest is packed."""
+    return zlib.compress((np.frombuffer(data, np.uint8) >> bits << bits).tobytes())
+
+
+#: The built-in codecs: encode(data, param) and decode(data).
+CODECS = {"zlib": (PACKERS["zlib"], zlib.decompress), "bz2": (PACKERS["bz2"], bz2.decompress), "lzma": (PACKERS["lzma"], lzma.decompress), "coarse": (_keep_high, zlib.decompress)}
+MEASURED_SCHEMA = "id string, codec string, param int, source_bytes long, file_size_bytes long, sse long, psnr double, status string, error string"
+
+
+def encode_decode_measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A trial function that encodes a payload, decodes it and measures the bytes against the source: sse, and psnr in dB (infinite where they are equal).
+
+    A failure of any step, or a result of another length, becomes a row of status error.
+    """
+    for pdf in frames:
+        out = []
+        for r in pdf.itertuples(index=False):
+            size = None if r.payload is None else len(r.payload)
+            try:
+                encode, decode = CODECS[r.codec]
+                packed = encode(r.payload, r.param)
+                a, b = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (r.payload, decode(packed)))
+                if len(a) != len(b):
+                    raise ValueError(f"{len(b)} bytes decoded")
+                sse = int(((a - b) ** 2).sum())
+                out.append((r.id, r.codec, r.param, size, len(packed), sse, 10 * math.log10(255 * 255 * size / sse) if sse else math.inf, "ok", None))
+            except Exception as e:  # any failure of a trial is its result
+                out.append((r.id, r.codec, r.param, size, None, None, None, "error", repr(e)[:200]))
+        names = [x.split()[0] for x in MEASURED_SCHEMA.split(", ")]
+        yield pd.DataFrame(out, columns=names).astype({"source_bytes": "Int64", "file_size_bytes": "Int64", "sse": "Int64", "psnr": "float64"})
+
+
 def run_trials(grid: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = pack_bytes, schema: str = RUN_SCHEMA, partitions: int | None = None) -> DataFrame:
     """Apply a trial function to each planned trial over partitions dealt by id, as costs differ between codecs."""
     dealt = grid.repartition(partitions, "id") if partitions else grid.repartition("id")

@@ -127,7 +127,7 @@ def read_encodes(spark, sf_dir):
     return store.read_encodes(spark, path)
 
 
-@query()
+@query(E_ + " SELECT sub_sampling, count(*)::BIGINT AS trials FROM encodes GROUP BY sub_sampling")
 def create_encodes(spark, sf_dir):
     path = new_path(spark, "store")
     store.create_encodes(spark, path)
@@ -143,7 +143,15 @@ def insert_trials(spark, sf_dir):
     return store.new_trials(arrived, rows.where("target_value < 40"), "arrival").select("id", "arrival", "file_size_bytes")
 
 
-@query()
+def _avg_sql(baseline: str) -> str:
+    return f", m AS (SELECT {SLICE}, avg(psnr_avg) AS q, avg(file_size_bytes) AS b, count(*)::BIGINT AS images, avg(vmaf) AS vmaf, avg(compress_rate) AS cr FROM encodes GROUP BY {SLICE}), r AS (SELECT m.*, (m.b - j.b) / j.b * 100 AS reduction FROM m JOIN m j ON j.codec = '{baseline}' AND j.sub_sampling = m.sub_sampling AND j.target_metric = m.target_metric AND j.target_value = m.target_value)"
+
+
+AVG = E_ + _avg_sql("jpeg")
+LINE = "concat(rpad(concat('T ', target_value::VARCHAR, '(', images::VARCHAR, ')'), 20, ' '), ':', lpad(concat(printf('%.2f', reduction), '%'), 15, ' '), ' ', printf('%.2f', q)) AS line"
+
+
+@query(AVG + f" SELECT {LINE} FROM r")
 def report_sink(spark, sf_dir):
     path = new_path(spark, "report")
     store.report_sink(report.report_lines(analysis.avg_reduction(analysis.slice_means(encodes(spark, sf_dir)))), path)
@@ -337,6 +345,21 @@ def run_trials(spark, sf_dir):
     return trials.run_trials(plan)
 
 
+@query(
+    """
+WITH d AS (SELECT doc_id::VARCHAR AS id, encode(text) AS b, regexp_replace(hex(encode(text)), '.(.)', '\\1', 'g') AS low FROM documents),
+n AS (SELECT id, octet_length(b)::BIGINT AS n, b IS NULL AS bad, length(regexp_replace(low, '[^159D]', '', 'g')) + 4 * length(regexp_replace(low, '[^26AE]', '', 'g')) + 9 * length(regexp_replace(low, '[^37BF]', '', 'g')) AS sse FROM d),
+t AS (SELECT id, 'zlib' AS codec, n, bad, sse * 0 AS sse FROM n UNION ALL SELECT id, 'coarse', n, bad, sse FROM n)
+SELECT id, codec, n AS source_bytes, sse::BIGINT AS sse, CASE WHEN sse > 0 THEN round(10 * log10(65025e0 * n / sse), 6) END AS psnr, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status FROM t
+"""
+)
+def measured_trials(spark, sf_dir):
+    docs = fixtures.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("binary").alias("payload"))
+    plan = docs.select("id", F.explode(F.array(F.lit("zlib"), F.lit("coarse"))).alias("codec"), F.lit(2).alias("param"), "payload")
+    rows = trials.run_trials(plan, trials.encode_decode_measure, trials.MEASURED_SCHEMA)
+    return rows.select("id", "codec", "source_bytes", "sse", F.when(F.col("sse") > 0, r6("psnr")).alias("psnr"), "status")
+
+
 @query(E_ + " SELECT id, round(width * height * frames * depth / 8, 6) AS source_file_size, round(file_size_bytes * 8 / (width * height * frames), 6) AS bpp, round(width * height * frames * depth / 8 / file_size_bytes, 6) AS compress_rate FROM encodes")
 def trial_rates(spark, sf_dir):
     return trials.trial_rates(encodes(spark, sf_dir)).select("id", *[r6(c).alias(c) for c in ("source_file_size", "bpp", "compress_rate")])
@@ -354,24 +377,39 @@ def merge_metrics(spark, sf_dir):
     return logs.merge_metrics(rows.select("id", "vmaf", "ssim"), second, ["id"], rows.select("id", "file_size_bytes"))
 
 
-@query(
-    """
+SEARCH = """
 WITH RECURSIVE w AS (SELECT s_suppkey, target FROM supplier CROSS JOIN (VALUES (25e0), (31.3e0), (35e0), (60e0)) AS t(target)),
 s AS (
   SELECT s_suppkey, target, 0e0 AS a, 100e0 AS b, NULL::DOUBLE AS param, NULL::DOUBLE AS quality, 0 AS trials, false AS hit FROM w
   UNION ALL
   SELECT s_suppkey, target, CASE WHEN q < target THEN c ELSE a END, CASE WHEN q < target THEN b ELSE c END, c, q, trials + 1, abs(q - target) < 0.125e0
   FROM (SELECT *, (a + b) / 2 AS c, 20 + s_suppkey % 7 + 0.25e0 * ((a + b) / 2) AS q FROM s WHERE NOT hit AND b - a > 0.5e0))
-SELECT s_suppkey, target, param, quality, trials, CASE WHEN hit THEN 'hit' WHEN trials > 0 THEN 'exhausted' ELSE 'no_trial' END AS status
+SELECT {key}, target, param, quality, trials, CASE WHEN hit THEN 'hit' WHEN trials > 0 THEN 'exhausted' ELSE 'no_trial' END AS status
 FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey, target ORDER BY trials DESC) AS n FROM s) WHERE n = 1
 """
-)
+
+
+@query(SEARCH.replace("{key}", "s_suppkey"))
 def target_search(spark, sf_dir):
     rows = fixtures.read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, (25.0, 31.3, 35.0, 60.0)))).alias("target"))
     found = trials.bisect(F.lit(0.0), F.lit(100.0), F.lit(0.5), F.col("target"), F.lit(0.125), F.lit(False), lambda c: 20 + F.col("s_suppkey") % 7 + 0.25 * c, 8)
     return rows.withColumn("x", found).select("s_suppkey", "target", "x.*")
 
 
+def _quality_by_id(frames):
+    """A measure over partitions: the quality of a trial from its id and parameter."""
+    for pdf in frames:
+        yield pdf.assign(quality=20 + pdf["id"].str.split("|").str[0].astype("int64") % 7 + 0.25 * pdf["param"])[["id", "quality"]]
+
+
+@query(SEARCH.replace("{key}", "concat(s_suppkey::VARCHAR, '|', (target * 10)::INTEGER::VARCHAR) AS id"))
+def target_search_rounds(spark, sf_dir):
+    rows = fixtures.read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, (25.0, 31.3, 35.0, 60.0)))).alias("target"))
+    key = F.concat(F.col("s_suppkey").cast("string"), F.lit("|"), F.round(F.col("target") * 10).cast("int").cast("string"))
+    work = rows.select(key.alias("id"), F.lit(0.0).alias("a"), F.lit(100.0).alias("b"), F.lit(0.5).alias("ab_tol"), "target", F.lit(0.125).alias("tolerance"), F.lit(False).alias("inverse"))
+    return trials.target_search(work, _quality_by_id, 8, lambda df, i: written(df, f"round{i}"))
+
+
 @query(E_ + " SELECT sub_sampling, codec, source, codec_param, psnr_avg AS quality, abs(psnr_avg - 33) < 1 AS inside FROM (SELECT *, row_number() OVER (PARTITION BY sub_sampling, codec, source ORDER BY abs(psnr_avg - 33), codec_param, id) AS n FROM encodes) WHERE n = 1")
 def target_pick(spark, sf_dir):
     return trials.target_pick(encodes(spark, sf_dir), "psnr_avg", 33.0, 1.0)
@@ -503,6 +541,11 @@ def payload_report(spark, sf_dir):
     return totals.payload_report(_keys(spark, sf_dir), totals.total_bytes(completions(spark, sf_dir)))
 
 
+@query(C_ + " SELECT codec, sub_sampling, coalesce(sum(bytes) FILTER (WHERE status = 'ok'), 0) / 1000 AS payload_kb FROM completions GROUP BY codec, sub_sampling")
+def payload_lossless(spark, sf_dir):
+    return totals.payload_lossless(completions(spark, sf_dir))
+
+
 @query(
     C_ + f", n AS (SELECT count(*) AS n FROM part), e AS (SELECT codec, sub_sampling, count(*) FILTER (WHERE status = 'error')::BIGINT AS errors FROM completions GROUP BY ALL), t AS (SELECT {KEYS}, coalesce(sum(vmaf) FILTER (WHERE status = 'ok'), 0) AS s FROM completions GROUP BY {KEYS})"
     f" SELECT {', '.join('t.' + k for k in KEYS.split(', '))}, round(s / n, 6) AS image_metric, round(s / CASE WHEN errors > 0 THEN n ELSE 1 END, 6) AS video_metric, errors FROM t JOIN e USING (codec, sub_sampling) CROSS JOIN n"
@@ -537,6 +580,19 @@ def stream_upsert(spark, sf_dir):
     return spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("stored"))
 
 
+@query(C_ + " SELECT concat('e', (event_id % 997)::VARCHAR) AS id, min(event_id)::BIGINT AS event_id, arg_min(status, event_id) AS status FROM completions GROUP BY event_id % 997")
+def stream_upsert_first(spark, sf_dir):
+    # four deliveries one after the other, in the order of arrival; the copies of an id meet in several batches
+    source, path = new_path(spark, "completions"), new_path(spark, "upsert")
+    rows = completions(spark, sf_dir).withColumn("id", F.concat(F.lit("e"), (F.col("event_id") % 997).cast("string")))
+    most = rows.agg(F.max("event_id")).first()[0] or 0
+    for k in range(4):
+        rows.where((F.col("event_id") * 4 > k * most if k else F.lit(True)) & (F.col("event_id") * 4 <= (k + 1) * most)).repartition(4, "id").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.stream_upsert(stream, path, new_path(spark, "state"), "event_id")
+    return spark.read.parquet(path).select("id", F.col("event_id").cast("long").alias("event_id"), "status")
+
+
 # --- 2.7 analysis
 
 
@@ -550,7 +606,7 @@ def distinct_sorted(spark, sf_dir):
 
 @query(E_ + " SELECT 'source' AS name, row_number() OVER (ORDER BY source)::INTEGER AS seq, source AS value FROM (SELECT DISTINCT source FROM encodes)")
 def distinct_sources(spark, sf_dir):
-    return analysis.distinct_sorted(encodes(spark, sf_dir), "source")
+    return analysis.distinct_ranked(encodes(spark, sf_dir), "source")
 
 
 @query(E_ + " SELECT DISTINCT sub_sampling, codec FROM encodes")
@@ -585,7 +641,6 @@ def slice_means(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 9) for c in ("mean_metric", "mean_bytes", "mean_vmaf", "mean_compress_rate")})
 
 
-AVG = E_ + f", m AS (SELECT {SLICE}, avg(psnr_avg) AS q, avg(file_size_bytes) AS b, count(*)::BIGINT AS images, avg(vmaf) AS vmaf, avg(compress_rate) AS cr FROM encodes GROUP BY {SLICE}), r AS (SELECT m.*, (m.b - j.b) / j.b * 100 AS reduction FROM m JOIN m j ON j.codec = 'jpeg' AND j.sub_sampling = m.sub_sampling AND j.target_metric = m.target_metric AND j.target_value = m.target_value)"
 
 
 @query(AVG + f" SELECT {SLICE}, images, round(q, 9) AS mean_metric, round(vmaf, 9) AS mean_vmaf, round(cr, 9) AS mean_compress_rate, round(reduction, 9) AS reduction FROM r")
@@ -594,7 +649,11 @@ def avg_reduction(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 9) for c in ("mean_metric", "mean_vmaf", "mean_compress_rate", "reduction")})
 
 
-IMG = E_ + f", i AS (SELECT {', '.join('e.' + k for k in SLICE.split(', '))}, e.source, e.compress_rate, (e.file_size_bytes - j.file_size_bytes) / j.file_size_bytes * 100 AS reduction FROM encodes e JOIN encodes j ON j.codec = 'jpeg' AND j.sub_sampling = e.sub_sampling AND j.target_metric = e.target_metric AND j.target_value = e.target_value AND j.source = e.source)"
+def _img_sql(baseline: str) -> str:
+    return f", i AS (SELECT {', '.join('e.' + k for k in SLICE.split(', '))}, e.source, e.compress_rate, (e.file_size_bytes - j.file_size_bytes) / j.file_size_bytes * 100 AS reduction FROM encodes e JOIN encodes j ON j.codec = '{baseline}' AND j.sub_sampling = e.sub_sampling AND j.target_metric = e.target_metric AND j.target_value = e.target_value AND j.source = e.source)"
+
+
+IMG = E_ + _img_sql("jpeg")
 
 
 @query(IMG + f" SELECT {SLICE}, source, round(compress_rate, 6) AS compress_rate, round(reduction, 6) AS reduction FROM i")
@@ -665,7 +724,7 @@ def report_lines(spark, sf_dir):
     return report.report_lines(analysis.avg_reduction(analysis.slice_means(encodes(spark, sf_dir))))
 
 
-@query()
+@query(E_ + _img_sql("webp") + _avg_sql("webp") + f" SELECT 0 AS seq, concat(CASE WHEN length(source) >= 20 THEN source ELSE rpad(source, 20, ' ') END, ':', lpad(concat(printf('%.2f', reduction), '%'), 15, ' ')) AS line FROM i UNION ALL SELECT 1 AS seq, {LINE} FROM r")
 def report_options(spark, sf_dir):
     rows = encodes(spark, sf_dir)
     return report.report(analysis.image_reduction(rows, "webp"), analysis.avg_reduction(analysis.slice_means(rows), "webp"), every_image=True, quiet=False)
@@ -768,6 +827,11 @@ def bd_rate(spark, sf_dir):
     return _rates(spark, sf_dir)
 
 
+@query(BD + f" SELECT {KEY}, status, CASE WHEN status = 'ok' THEN bd_rate END AS bd_rate FROM bd")
+def bd_rate_strict(spark, sf_dir):
+    return bdrate.bd_rate(_long(spark, sf_dir), strict=True).withColumn("bd_rate", r6("bd_rate") + 0.0)
+
+
 @query(BD + " SELECT sub_sampling, metric, codec, status, count(*)::BIGINT AS curves FROM bd GROUP BY ALL")
 def bd_status(spark, sf_dir):
     return _rates(spark, sf_dir).groupBy("sub_sampling", "metric", "codec", "status").agg(F.count("*").alias("curves"))
@@ -778,6 +842,11 @@ def bd_blacklist(spark, sf_dir):
     return bdrate.blacklist(_rates(spark, sf_dir))
 
 
+@query(BD + " SELECT sub_sampling, metric, concat(rpad(sub_sampling, 5, ' '), ' black list ', rpad(upper(metric), 8, ' '), ' BD RATE ', string_agg(source, ', ' ORDER BY source)) AS line FROM black GROUP BY sub_sampling, metric")
+def bd_blacklist_lines(spark, sf_dir):
+    return bdrate.blacklist_lines(_rates(spark, sf_dir))
+
+
 def _means(spark, sf_dir):
     return bdrate.bd_mean(written(_rates(spark, sf_dir), "rates")).withColumn("bd_rate", F.round("bd_rate", 4))
 
@@ -802,3 +871,15 @@ def bd_pair_rule(spark, sf_dir):
 )
 def bd_report_lines(spark, sf_dir):
     return report.bd_lines(_rates(spark, sf_dir), 10)
+
+
+_MEAN = ", ".join(f"CASE WHEN max(CASE WHEN metric = '{m}' THEN bd_rate END) IS NULL THEN 'nan' ELSE printf('%.2f', max(CASE WHEN metric = '{m}' THEN bd_rate END)) END AS {m}" for m in BD_METRICS)
+
+
+@query(
+    BD + f", w AS (SELECT sub_sampling, codec, {_MEAN} FROM mean GROUP BY sub_sampling, codec)"
+    " SELECT sub_sampling, codec, concat(rpad(codec, 16, ' '), " + ", ".join(f"'   Mean BDRate-{m.upper()} ', {m}" for m in BD_METRICS) + ") AS line,"
+    " concat(rpad(codec, 16, ' '), " + ", ".join(f"lpad({m}, 22, ' ')" for m in BD_METRICS) + ") AS \"row\" FROM w"
+)
+def bd_mean_lines(spark, sf_dir):
+    return report.bd_mean_lines(_means(spark, sf_dir), BD_METRICS)
