@@ -7,80 +7,249 @@ from pyspark.sql import functions as F
 
 SCHEMA = "media string, depth int, mode string, name string, inverse boolean, param_start double, param_end double, ab_tol double, subsampling string"
 
-#: Fixed values. A line: codec, whether a higher parameter means lower quality, its range, the search's end width, subsamplings.
-CATALOG = {
-    ("image", 8, "lossy"): """
-        jpeg            n 1 100 0.5 420 444
-        jpeg-mse        n 1 100 0.5 420 444
-        jpeg-ms-ssim    n 1 100 0.5 420 444
-        jpeg-im         n 1 100 0.5 420 444
-        jpeg-hvs-psnr   n 1 100 0.5 420 444
-        kakadu-mse      n 0.01 3 0.01 420 444
-        kakadu-visual   n 0.01 3 0.01 420 444
-        openjpeg        n 10 80 0.05 420 444
-        flif            n 0 100 0.02 420 444
-        webp            n 0 100 0.001 420
-        bpg             y 0 51 0.01 420 444
-        hevc            y 10 51 1 420 444
-        avif-mse        y 1 63 1 420 444
-        avif-ssim       y 1 63 1 420 444
-        avifenc-sp-0    y 1 62 1 420 444
-        avifenc-sp-2    y 1 62 1 420 444
-        avifenc-sp-4    y 1 62 1 420 444
-        avifenc-sp-8    y 1 62 1 420 444""",
-    ("image", 8, "lossless"): """
-        jpeg            y 0 0 0 420 444
-        kakadu-mse      y 0 0 0 420 444
-        openjpeg        y 0 0 0 420 444
-        flif            y 0 0 0 420 444
-        webp            y 0 0 0 420
-        bpg             y 0 0 0 420 444
-        hevc            y 0 0 0 420 444
-        avif-mse        y 0 0 0 420 444
-        avifenc-sp-0    y 0 0 0 420 444""",
-    ("image", 16, "lossy"): """
-        jpeg-ms-ssim    n 1 100 0.5 420 444
-        kakadu-visual   n 0.01 16 0.01 420 444
-        openjpeg        n 10 200 0.05 420
-        openjpeg        n 10 160 0.05 444
-        flif            n 0 100 0.02 420 444
-        hevc            y 0 51 0.2 420 444""",
-    ("image", 16, "lossless"): """
-        jpeg            y 0 0 0 420 444
-        kakadu-visual   y 0 0 0 420 444
-        openjpeg        y 0 0 0 420 444
-        flif            y 0 0 0 420 444
-        hevc            y 0 0 0 420 444""",
-    ("video", 8, "lossy"): """
-        avc                 y 0 81 0.5 420 444
-        hevc                y 0 51 0.5 420 444
-        vvc                 y 0 51 0.5 420 444
-        avs3                y 0 63 1 420
-        aom-ssim            y 1 63 1 420 444
-        rav1e-Psychovisual  y 0 255 1 420 444
-        svt-av1             y 0 63 0.5 420
-        vp8-psnr            y 4 59 0.5 420
-        vp8-ssim            y 4 59 0.5 420
-        vp9-ssim            y 4 59 0.5 420 444
-        svt-vp9-PSNR-SSIM   y 0 63 0.5 420
-        svt-vp9-VMAF        y 0 63 0.5 420""",
-    ("video", 8, "lossless"): """
-        avc                 y 0 81 0.5 420 444
-        hevc                y 0 51 0.5 420 444
-        vvc                 y 0 51 0.5 420 444
-        aom-ssim            y 1 63 1 420 444
-        vp9-ssim            y 4 59 0.5 420 444""",
-}
-
-#: Codecs that each mode accepts, first those with both subsamplings, then those with 420 only.
-SUPPORT = {
-    ("image", 8, "lossy"): ("jpeg jpeg-mse jpeg-ms-ssim jpeg-im jpeg-hvs-psnr kakadu-mse kakadu-visual openjpeg flif bpg hevc avif-mse avif-ssim avifenc-sp-0 avifenc-sp-2 avifenc-sp-4 avifenc-sp-8", "webp"),
-    ("image", 8, "lossless"): ("jpeg kakadu-mse kakadu-visual openjpeg flif bpg hevc avif-mse avif-ssim avifenc-sp-0 avifenc-sp-2 avifenc-sp-4 avifenc-sp-8", "webp"),
-    ("image", 16, "lossy"): ("jpeg jpeg-mse jpeg-ms-ssim jpeg-im jpeg-hvs-psnr kakadu-mse kakadu-visual openjpeg flif hevc", ""),
-    ("image", 16, "lossless"): ("jpeg kakadu-mse kakadu-visual openjpeg flif hevc", ""),
-    ("video", 8, "lossy"): ("avc hevc vvc avs3 aom-mse aom-ssim rav1e-Psychovisual rav1e-Psnr vp8-ssim vp8-psnr vp9-ssim vp9-psnr", "svt-av1 svt-vp9-visually svt-vp9-PSNR-SSIM svt-vp9-VMAF"),
-    ("video", 8, "lossless"): ("avc hevc vvc aom-mse aom-ssim vp9-ssim vp9-psnr", ""),
-}
+#: Medium, depth, mode, codec, whether a higher parameter means lower quality, its range, the search's end width, subsampling.
+CATALOG = [
+    ("image", 8, "lossy", "jpeg", False, 1.0, 100.0, 0.5, "420"),
+    ("image", 8, "lossy", "jpeg", False, 1.0, 100.0, 0.5, "444"),
+    ("image", 8, "lossy", "jpeg-mse", False, 1.0, 100.0, 0.5, "420"),
+    ("image", 8, "lossy", "jpeg-mse", False, 1.0, 100.0, 0.5, "444"),
+    ("image", 8, "lossy", "jpeg-ms-ssim", False, 1.0, 100.0, 0.5, "420"),
+    ("image", 8, "lossy", "jpeg-ms-ssim", False, 1.0, 100.0, 0.5, "444"),
+    ("image", 8, "lossy", "jpeg-im", False, 1.0, 100.0, 0.5, "420"),
+    ("image", 8, "lossy", "jpeg-im", False, 1.0, 100.0, 0.5, "444"),
+    ("image", 8, "lossy", "jpeg-hvs-psnr", False, 1.0, 100.0, 0.5, "420"),
+    ("image", 8, "lossy", "jpeg-hvs-psnr", False, 1.0, 100.0, 0.5, "444"),
+    ("image", 8, "lossy", "kakadu-mse", False, 0.01, 3.0, 0.01, "420"),
+    ("image", 8, "lossy", "kakadu-mse", False, 0.01, 3.0, 0.01, "444"),
+    ("image", 8, "lossy", "kakadu-visual", False, 0.01, 3.0, 0.01, "420"),
+    ("image", 8, "lossy", "kakadu-visual", False, 0.01, 3.0, 0.01, "444"),
+    ("image", 8, "lossy", "openjpeg", False, 10.0, 80.0, 0.05, "420"),
+    ("image", 8, "lossy", "openjpeg", False, 10.0, 80.0, 0.05, "444"),
+    ("image", 8, "lossy", "flif", False, 0.0, 100.0, 0.02, "420"),
+    ("image", 8, "lossy", "flif", False, 0.0, 100.0, 0.02, "444"),
+    ("image", 8, "lossy", "webp", False, 0.0, 100.0, 0.001, "420"),
+    ("image", 8, "lossy", "bpg", True, 0.0, 51.0, 0.01, "420"),
+    ("image", 8, "lossy", "bpg", True, 0.0, 51.0, 0.01, "444"),
+    ("image", 8, "lossy", "hevc", True, 10.0, 51.0, 1.0, "420"),
+    ("image", 8, "lossy", "hevc", True, 10.0, 51.0, 1.0, "444"),
+    ("image", 8, "lossy", "avif-mse", True, 1.0, 63.0, 1.0, "420"),
+    ("image", 8, "lossy", "avif-mse", True, 1.0, 63.0, 1.0, "444"),
+    ("image", 8, "lossy", "avif-ssim", True, 1.0, 63.0, 1.0, "420"),
+    ("image", 8, "lossy", "avif-ssim", True, 1.0, 63.0, 1.0, "444"),
+    ("image", 8, "lossy", "avifenc-sp-0", True, 1.0, 62.0, 1.0, "420"),
+    ("image", 8, "lossy", "avifenc-sp-0", True, 1.0, 62.0, 1.0, "444"),
+    ("image", 8, "lossy", "avifenc-sp-2", True, 1.0, 62.0, 1.0, "420"),
+    ("image", 8, "lossy", "avifenc-sp-2", True, 1.0, 62.0, 1.0, "444"),
+    ("image", 8, "lossy", "avifenc-sp-4", True, 1.0, 62.0, 1.0, "420"),
+    ("image", 8, "lossy", "avifenc-sp-4", True, 1.0, 62.0, 1.0, "444"),
+    ("image", 8, "lossy", "avifenc-sp-8", True, 1.0, 62.0, 1.0, "420"),
+    ("image", 8, "lossy", "avifenc-sp-8", True, 1.0, 62.0, 1.0, "444"),
+    ("image", 8, "lossless", "jpeg", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "jpeg", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "kakadu-mse", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "kakadu-mse", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "openjpeg", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "openjpeg", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "flif", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "flif", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "webp", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "bpg", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "bpg", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "hevc", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "hevc", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "avif-mse", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "avif-mse", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 8, "lossless", "avifenc-sp-0", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 8, "lossless", "avifenc-sp-0", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 16, "lossy", "jpeg-ms-ssim", False, 1.0, 100.0, 0.5, "420"),
+    ("image", 16, "lossy", "jpeg-ms-ssim", False, 1.0, 100.0, 0.5, "444"),
+    ("image", 16, "lossy", "kakadu-visual", False, 0.01, 16.0, 0.01, "420"),
+    ("image", 16, "lossy", "kakadu-visual", False, 0.01, 16.0, 0.01, "444"),
+    ("image", 16, "lossy", "openjpeg", False, 10.0, 200.0, 0.05, "420"),
+    ("image", 16, "lossy", "openjpeg", False, 10.0, 160.0, 0.05, "444"),
+    ("image", 16, "lossy", "flif", False, 0.0, 100.0, 0.02, "420"),
+    ("image", 16, "lossy", "flif", False, 0.0, 100.0, 0.02, "444"),
+    ("image", 16, "lossy", "hevc", True, 0.0, 51.0, 0.2, "420"),
+    ("image", 16, "lossy", "hevc", True, 0.0, 51.0, 0.2, "444"),
+    ("image", 16, "lossless", "jpeg", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 16, "lossless", "jpeg", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 16, "lossless", "kakadu-visual", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 16, "lossless", "kakadu-visual", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 16, "lossless", "openjpeg", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 16, "lossless", "openjpeg", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 16, "lossless", "flif", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 16, "lossless", "flif", True, 0.0, 0.0, 0.0, "444"),
+    ("image", 16, "lossless", "hevc", True, 0.0, 0.0, 0.0, "420"),
+    ("image", 16, "lossless", "hevc", True, 0.0, 0.0, 0.0, "444"),
+    ("video", 8, "lossy", "avc", True, 0.0, 81.0, 0.5, "420"),
+    ("video", 8, "lossy", "avc", True, 0.0, 81.0, 0.5, "444"),
+    ("video", 8, "lossy", "hevc", True, 0.0, 51.0, 0.5, "420"),
+    ("video", 8, "lossy", "hevc", True, 0.0, 51.0, 0.5, "444"),
+    ("video", 8, "lossy", "vvc", True, 0.0, 51.0, 0.5, "420"),
+    ("video", 8, "lossy", "vvc", True, 0.0, 51.0, 0.5, "444"),
+    ("video", 8, "lossy", "avs3", True, 0.0, 63.0, 1.0, "420"),
+    ("video", 8, "lossy", "aom-ssim", True, 1.0, 63.0, 1.0, "420"),
+    ("video", 8, "lossy", "aom-ssim", True, 1.0, 63.0, 1.0, "444"),
+    ("video", 8, "lossy", "rav1e-Psychovisual", True, 0.0, 255.0, 1.0, "420"),
+    ("video", 8, "lossy", "rav1e-Psychovisual", True, 0.0, 255.0, 1.0, "444"),
+    ("video", 8, "lossy", "svt-av1", True, 0.0, 63.0, 0.5, "420"),
+    ("video", 8, "lossy", "vp8-psnr", True, 4.0, 59.0, 0.5, "420"),
+    ("video", 8, "lossy", "vp8-ssim", True, 4.0, 59.0, 0.5, "420"),
+    ("video", 8, "lossy", "vp9-ssim", True, 4.0, 59.0, 0.5, "420"),
+    ("video", 8, "lossy", "vp9-ssim", True, 4.0, 59.0, 0.5, "444"),
+    ("video", 8, "lossy", "svt-vp9-PSNR-SSIM", True, 0.0, 63.0, 0.5, "420"),
+    ("video", 8, "lossy", "svt-vp9-VMAF", True, 0.0, 63.0, 0.5, "420"),
+    ("video", 8, "lossless", "avc", True, 0.0, 81.0, 0.5, "420"),
+    ("video", 8, "lossless", "avc", True, 0.0, 81.0, 0.5, "444"),
+    ("video", 8, "lossless", "hevc", True, 0.0, 51.0, 0.5, "420"),
+    ("video", 8, "lossless", "hevc", True, 0.0, 51.0, 0.5, "444"),
+    ("video", 8, "lossless", "vvc", True, 0.0, 51.0, 0.5, "420"),
+    ("video", 8, "lossless", "vvc", True, 0.0, 51.0, 0.5, "444"),
+    ("video", 8, "lossless", "aom-ssim", True, 1.0, 63.0, 1.0, "420"),
+    ("video", 8, "lossless", "aom-ssim", True, 1.0, 63.0, 1.0, "444"),
+    ("video", 8, "lossless", "vp9-ssim", True, 4.0, 59.0, 0.5, "420"),
+    ("video", 8, "lossless", "vp9-ssim", True, 4.0, 59.0, 0.5, "444"),
+]
+
+#: Medium, depth, mode, codec and subsampling that are accepted.
+SUPPORT = [
+    ("image", 8, "lossy", "jpeg", "420"),
+    ("image", 8, "lossy", "jpeg", "444"),
+    ("image", 8, "lossy", "jpeg-mse", "420"),
+    ("image", 8, "lossy", "jpeg-mse", "444"),
+    ("image", 8, "lossy", "jpeg-ms-ssim", "420"),
+    ("image", 8, "lossy", "jpeg-ms-ssim", "444"),
+    ("image", 8, "lossy", "jpeg-im", "420"),
+    ("image", 8, "lossy", "jpeg-im", "444"),
+    ("image", 8, "lossy", "jpeg-hvs-psnr", "420"),
+    ("image", 8, "lossy", "jpeg-hvs-psnr", "444"),
+    ("image", 8, "lossy", "kakadu-mse", "420"),
+    ("image", 8, "lossy", "kakadu-mse", "444"),
+    ("image", 8, "lossy", "kakadu-visual", "420"),
+    ("image", 8, "lossy", "kakadu-visual", "444"),
+    ("image", 8, "lossy", "openjpeg", "420"),
+    ("image", 8, "lossy", "openjpeg", "444"),
+    ("image", 8, "lossy", "flif", "420"),
+    ("image", 8, "lossy", "flif", "444"),
+    ("image", 8, "lossy", "bpg", "420"),
+    ("image", 8, "lossy", "bpg", "444"),
+    ("image", 8, "lossy", "hevc", "420"),
+    ("image", 8, "lossy", "hevc", "444"),
+    ("image", 8, "lossy", "avif-mse", "420"),
+    ("image", 8, "lossy", "avif-mse", "444"),
+    ("image", 8, "lossy", "avif-ssim", "420"),
+    ("image", 8, "lossy", "avif-ssim", "444"),
+    ("image", 8, "lossy", "avifenc-sp-0", "420"),
+    ("image", 8, "lossy", "avifenc-sp-0", "444"),
+    ("image", 8, "lossy", "avifenc-sp-2", "420"),
+    ("image", 8, "lossy", "avifenc-sp-2", "444"),
+    ("image", 8, "lossy", "avifenc-sp-4", "420"),
+    ("image", 8, "lossy", "avifenc-sp-4", "444"),
+    ("image", 8, "lossy", "avifenc-sp-8", "420"),
+    ("image", 8, "lossy", "avifenc-sp-8", "444"),
+    ("image", 8, "lossy", "webp", "420"),
+    ("image", 8, "lossless", "jpeg", "420"),
+    ("image", 8, "lossless", "jpeg", "444"),
+    ("image", 8, "lossless", "kakadu-mse", "420"),
+    ("image", 8, "lossless", "kakadu-mse", "444"),
+    ("image", 8, "lossless", "kakadu-visual", "420"),
+    ("image", 8, "lossless", "kakadu-visual", "444"),
+    ("image", 8, "lossless", "openjpeg", "420"),
+    ("image", 8, "lossless", "openjpeg", "444"),
+    ("image", 8, "lossless", "flif", "420"),
+    ("image", 8, "lossless", "flif", "444"),
+    ("image", 8, "lossless", "bpg", "420"),
+    ("image", 8, "lossless", "bpg", "444"),
+    ("image", 8, "lossless", "hevc", "420"),
+    ("image", 8, "lossless", "hevc", "444"),
+    ("image", 8, "lossless", "avif-mse", "420"),
+    ("image", 8, "lossless", "avif-mse", "444"),
+    ("image", 8, "lossless", "avif-ssim", "420"),
+    ("image", 8, "lossless", "avif-ssim", "444"),
+    ("image", 8, "lossless", "avifenc-sp-0", "420"),
+    ("image", 8, "lossless", "avifenc-sp-0", "444"),
+    ("image", 8, "lossless", "avifenc-sp-2", "420"),
+    ("image", 8, "lossless", "avifenc-sp-2", "444"),
+    ("image", 8, "lossless", "avifenc-sp-4", "420"),
+    ("image", 8, "lossless", "avifenc-sp-4", "444"),
+    ("image", 8, "lossless", "avifenc-sp-8", "420"),
+    ("image", 8, "lossless", "avifenc-sp-8", "444"),
+    ("image", 8, "lossless", "webp", "420"),
+    ("image", 16, "lossy", "jpeg", "420"),
+    ("image", 16, "lossy", "jpeg", "444"),
+    ("image", 16, "lossy", "jpeg-mse", "420"),
+    ("image", 16, "lossy", "jpeg-mse", "444"),
+    ("image", 16, "lossy", "jpeg-ms-ssim", "420"),
+    ("image", 16, "lossy", "jpeg-ms-ssim", "444"),
+    ("image", 16, "lossy", "jpeg-im", "420"),
+    ("image", 16, "lossy", "jpeg-im", "444"),
+    ("image", 16, "lossy", "jpeg-hvs-psnr", "420"),
+    ("image", 16, "lossy", "jpeg-hvs-psnr", "444"),
+    ("image", 16, "lossy", "kakadu-mse", "420"),
+    ("image", 16, "lossy", "kakadu-mse", "444"),
+    ("image", 16, "lossy", "kakadu-visual", "420"),
+    ("image", 16, "lossy", "kakadu-visual", "444"),
+    ("image", 16, "lossy", "openjpeg", "420"),
+    ("image", 16, "lossy", "openjpeg", "444"),
+    ("image", 16, "lossy", "flif", "420"),
+    ("image", 16, "lossy", "flif", "444"),
+    ("image", 16, "lossy", "hevc", "420"),
+    ("image", 16, "lossy", "hevc", "444"),
+    ("image", 16, "lossless", "jpeg", "420"),
+    ("image", 16, "lossless", "jpeg", "444"),
+    ("image", 16, "lossless", "kakadu-mse", "420"),
+    ("image", 16, "lossless", "kakadu-mse", "444"),
+    ("image", 16, "lossless", "kakadu-visual", "420"),
+    ("image", 16, "lossless", "kakadu-visual", "444"),
+    ("image", 16, "lossless", "openjpeg", "420"),
+    ("image", 16, "lossless", "openjpeg", "444"),
+    ("image", 16, "lossless", "flif", "420"),
+    ("image", 16, "lossless", "flif", "444"),
+    ("image", 16, "lossless", "hevc", "420"),
+    ("image", 16, "lossless", "hevc", "444"),
+    ("video", 8, "lossy", "avc", "420"),
+    ("video", 8, "lossy", "avc", "444"),
+    ("video", 8, "lossy", "hevc", "420"),
+    ("video", 8, "lossy", "hevc", "444"),
+    ("video", 8, "lossy", "vvc", "420"),
+    ("video", 8, "lossy", "vvc", "444"),
+    ("video", 8, "lossy", "avs3", "420"),
+    ("video", 8, "lossy", "avs3", "444"),
+    ("video", 8, "lossy", "aom-mse", "420"),
+    ("video", 8, "lossy", "aom-mse", "444"),
+    ("video", 8, "lossy", "aom-ssim", "420"),
+    ("video", 8, "lossy", "aom-ssim", "444"),
+    ("video", 8, "lossy", "rav1e-Psychovisual", "420"),
+    ("video", 8, "lossy", "rav1e-Psychovisual", "444"),
+    ("video", 8, "lossy", "rav1e-Psnr", "420"),
+    ("video", 8, "lossy", "rav1e-Psnr", "444"),
+    ("video", 8, "lossy", "vp8-ssim", "420"),
+    ("video", 8, "lossy", "vp8-ssim", "444"),
+    ("video", 8, "lossy", "vp8-psnr", "420"),
+    ("video", 8, "lossy", "vp8-psnr", "444"),
+    ("video", 8, "lossy", "vp9-ssim", "420"),
+    ("video", 8, "lossy", "vp9-ssim", "444"),
+    ("video", 8, "lossy", "vp9-psnr", "420"),
+    ("video", 8, "lossy", "vp9-psnr", "444"),
+    ("video", 8, "lossy", "svt-av1", "420"),
+    ("video", 8, "lossy", "svt-vp9-visually", "420"),
+    ("video", 8, "lossy", "svt-vp9-PSNR-SSIM", "420"),
+    ("video", 8, "lossy", "svt-vp9-VMAF", "420"),
+    ("video", 8, "lossless", "avc", "420"),
+    ("video", 8, "lossless", "avc", "444"),
+    ("video", 8, "lossless", "hevc", "420"),
+    ("video", 8, "lossless", "hevc", "444"),
+    ("video", 8, "lossless", "vvc", "420"),
+    ("video", 8, "lossless", "vvc", "444"),
+    ("video", 8, "lossless", "aom-mse", "420"),
+    ("video", 8, "lossless", "aom-mse", "444"),
+    ("video", 8, "lossless", "aom-ssim", "420"),
+    ("video", 8, "lossless", "aom-ssim", "444"),
+    ("video", 8, "lossless", "vp9-ssim", "420"),
+    ("video", 8, "lossless", "vp9-ssim", "444"),
+    ("video", 8, "lossless", "vp9-psnr", "420"),
+    ("video", 8, "lossless", "vp9-psnr", "444"),
+]
 
 #: Default tolerance and targets of a metric.
 TOLERANCE = {"psnr_avg": 1.0, "ssim": 0.002, "vmaf": 0.2, "file_size_bytes": 200.0}
@@ -96,16 +265,11 @@ MODES = {"auto": "lossy", "customize": "lossy", "lossless": "lossless"}
 
 
 def catalog_rows() -> list[tuple]:
-    out = []
-    for key, text in CATALOG.items():
-        for line in text.split("\n")[1:]:
-            name, inverse, start, end, tol, *subs = line.split()
-            out += [(*key, name, inverse == "y", float(start), float(end), float(tol), s) for s in subs]
-    return out
+    return list(CATALOG)
 
 
 def support_rows() -> list[tuple]:
-    return [(*key, name, sub) for key, kinds in SUPPORT.items() for names, subs in zip(kinds, (("420", "444"), ("420",)), strict=True) for name in names.split() for sub in subs]
+    return list(SUPPORT)
 
 
 def codec_catalog(spark: SparkSession) -> DataFrame:

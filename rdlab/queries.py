@@ -250,7 +250,7 @@ def param_normalize(spark, sf_dir):
     " SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.media = g.media AND s.depth = g.depth AND s.mode = g.mode AND s.name = g.name AND s.subsampling = g.subsampling)"
 )
 def support_matrix(spark, sf_dir):
-    kinds = F.array(*[F.struct(F.lit(m).alias("media"), F.lit(d).alias("depth"), F.lit(k).alias("mode")) for m, d, k in catalog.SUPPORT])
+    kinds = F.array(*[F.struct(F.lit(m).alias("media"), F.lit(d).alias("depth"), F.lit(k).alias("mode")) for m, d, k in dict.fromkeys(r[:3] for r in catalog.SUPPORT)])
     rows = encodes(spark, sf_dir).select(F.col("codec").alias("name")).distinct().select("name", F.explode(F.array(F.lit("420"), F.lit("444"))).alias("subsampling"))
     rows = rows.select("name", "subsampling", F.explode(kinds).alias("k")).select("k.*", "name", "subsampling")
     return catalog.unsupported(rows, spark).select("media", "depth", "mode", "name", "subsampling")
