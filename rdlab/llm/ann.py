@@ -1,9 +1,10 @@
 """Nearest neighbours by inner product: a vantage-point tree per shard.
 
-Vectors become points on a sphere by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, so
+Vectors become points on a sphere by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of the shard, so
 that the nearest point is the one with the largest inner product. A node is skipped when the triangle
 inequality shows that its ball lies farther than the k-th best so far; `factor` scales the slack:
-1 is exact, larger ones skip more.
+1 is exact, larger ones skip more. A shard holds norms within a factor of two only, so that no outlier
+squeezes the others together; trees propose within a margin for rounding, the products of the original vectors decide.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEAF = 256
+MARGIN = 1e-9  #: of squared distances on the unit sphere; far above what rounding of some 100,000 components can add
 
 
 class VpTree:
@@ -67,31 +69,44 @@ class VpTree:
 
 
 def _clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec, band): band is the exponent of the norm, computed on components scaled by the largest, so that none over- or underflows."""
     x = F.col(vec_col).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    ok = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(~bad, F.lit(False))
-    return df.where(ok).select(F.col(id_col).cast("long").alias("id"), x.alias("vec"), norm.alias("norm")).where("norm > 0 and norm < double('inf')")
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(~bad, F.lit(False)))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("vec")).withColumn("most", F.array_max(F.transform("vec", lambda v: F.abs(v)))).where("most > 0")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + (v / F.col("most")) * (v / F.col("most"))))
+    return rows.select("id", "vec", F.floor(F.log2("most") + F.log2(norm)).cast("int").alias("band"))
 
 
-def _search(k: int, factor: float, top: float):
-    slack = 8
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, the largest component of each between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
-    def lift(x: np.ndarray) -> np.ndarray:
-        n2 = (x * x).sum(1) / top**2
-        return np.hstack([x / top, np.sqrt(np.maximum(1 - n2, 0))[:, None]])
+
+def _search(k: int, factor: float):
+    def product(raw: np.ndarray, q: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.add.accumulate(raw * q, axis=1)[:, -1]  # added left to right, the same in any place
 
     def answer(tree: VpTree, raw: np.ndarray, owners: list[np.ndarray], qid: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        found, _ = tree.search(np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))]), min(k + slack, len(raw)), factor)
-        out = []
-        for i, (one, at) in enumerate(zip(qid, found, strict=True)):
-            at = at[at >= 0]
-            score = np.add.accumulate(raw[at] * q[i], axis=1)[:, -1]  # added left to right, the same in any place
-            ids = np.concatenate([owners[x] for x in at])
-            score = np.repeat(score, [len(owners[x]) for x in at])[ids != one]
-            ids = ids[ids != one]
-            order = np.lexsort((ids, -score))[:k]
-            out.append((int(one), ids[order], score[order]))
+        unit = _scaled(q)
+        unit = np.hstack([unit / np.linalg.norm(unit, axis=1)[:, None], np.zeros((len(q), 1))])
+        out: list = [None] * len(q)
+        todo, many = np.arange(len(q)), min(k + 8, len(raw))
+        while len(todo):
+            found, far = tree.search(unit[todo], many, factor)
+            close = np.sort(far, axis=1)
+            # a query whose last candidates all tie with its k-th best could have more of them
+            short = (close[:, -1] <= close[:, min(k, many - 1)] + MARGIN) & (many < len(raw))
+            for i, at in zip(todo[~short], found[~short], strict=True):
+                at = at[at >= 0]
+                score = product(raw[at], q[i])
+                ids = np.concatenate([owners[x] for x in at])
+                score = np.repeat(score, [len(owners[x]) for x in at])[ids != qid[i]]
+                ids = ids[ids != qid[i]]
+                order = np.lexsort((ids, -score))[:k]
+                out[i] = (int(qid[i]), ids[order], score[order])
+            todo, many = todo[short], min(4 * many, len(raw))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     def grown(points: list) -> tuple[VpTree, np.ndarray, list[np.ndarray]]:
@@ -100,7 +115,11 @@ def _search(k: int, factor: float, top: float):
         order = np.lexsort((ids, *raw.T[::-1]))
         ids, raw = ids[order], raw[order]
         new = np.flatnonzero(np.r_[True, (raw[1:] != raw[:-1]).any(1)])
-        return VpTree(lift(raw[new])), raw[new], [x[: k + 1] for x in np.split(ids, new[1:])]
+        raw = raw[new]
+        x = np.ldexp(raw, -int(np.frexp(np.abs(raw).max())[1]))
+        n2 = (x * x).sum(1)
+        lifted = np.hstack([x, np.sqrt(np.maximum(n2.max() - n2, 0))[:, None]]) / np.sqrt(n2.max())
+        return VpTree(lifted), raw, [x[: k + 1] for x in np.split(ids, new[1:])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by shard, points before queries."""
@@ -126,20 +145,24 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.
     """(query_id, rank, vec_id, score): for each query its k rows of base with the largest inner product, itself (the same id) left out.
 
     Nearest first, ties to the smaller id; all there are if fewer than k. Rows with a null id and vectors
-    that are null, empty, zero or hold null or non-finite components take no part on either side. All vectors
-    have the same length. Repeated ids are separate rows. Base rows are dealt to shards of about shard_rows by a
-    hash of id and vector; every query goes to every shard in blocks, and a task holds one shard at a time.
+    that are null, empty, zero or hold null or non-finite components take no part on either side; very small and very large ones do, and a
+    product beyond the range of doubles is infinite. All vectors
+    have the same length. Repeated ids are separate rows; an empty table gives no rows; other columns are not read. Base rows are dealt to shards of about shard_rows by the
+    power of two of their norm (of which doubles have some 2,100) and a hash of id and vector; every query goes to every shard in blocks, and a task holds one shard at a time.
     """
     base, queries = _clean(base, id_col, vec_col), _clean(queries, id_col, vec_col)
-    n, top = base.agg(F.count("*"), F.max("norm")).first()
+    bands = {r["band"]: -(-r["n"] // shard_rows) for r in base.groupBy("band").agg(F.count("*").alias("n")).collect()}
     schema = "query_id long, ids array<long>, scores array<double>"
-    if not n:
+    if not bands:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = -(-n // shard_rows)
-    deal = base.select(F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).alias("shard"), F.lit(False).alias("ask"), "id", "vec")
+    starts, shards = {}, 0
+    for band, n in sorted(bands.items()):
+        starts[band], shards = shards, shards + n
+    pick = lambda x: F.element_at(F.create_map(*[F.lit(v) for b in bands for v in (b, x[b])]), F.col("band"))
+    deal = base.select((pick(starts) + F.pmod(F.xxhash64("id", "vec"), pick(bands))).cast("long").alias("shard"), F.lit(False).alias("ask"), "id", "vec")
     ask = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("ask"), "id", "vec")
-    rows = deal.union(ask).repartition(shards, "shard").sortWithinPartitions("shard", "ask", "id")
-    got = rows.mapInPandas(_search(k, factor, float(top)), schema)
+    rows = deal.union(ask).repartition("shard").sortWithinPartitions("shard", "ask", "id")
+    got = rows.mapInPandas(_search(k, factor), schema)
     flat = got.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
