@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over the words of a line.
 
-Emission features of a word are its affixes, inner n-grams and the word itself, hashed, which stands for lexicon
-entries; transitions are learned.
+Emission features of a word are its affixes, inner n-grams and the word itself, hashed, and the languages whose word
+lists hold it; the lists and the transitions are learned.
 Forward-backward labels each word, so code-switched text gets more than one language.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15  #: hashed emission features
 MEMO = 300_000  #: words whose scores a worker keeps
 MEMO_CHARS = 20_000_000  #: and their characters
+PIECE = 500  #: characters of a piece of a line to learn from
 CHUNK = 4000  #: texts tagged at once; many together share the steps of long lines
 NONE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -57,20 +58,24 @@ class Known:
 class Crf:
     """Labels, emission weights (features x labels), transition and start weights."""
 
-    def __init__(self, labels: list[str]):
-        self.labels, n = labels, len(labels)
-        self.emit, self.move, self.start = np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n)
+    def __init__(self, labels: list[str], lexicon: dict[str, list[int]] | None = None):
+        self.labels, self.lexicon, n = labels, lexicon or {}, len(labels)
+        self.emit, self.move, self.start = np.zeros((BUCKETS + n + 1, n)), np.zeros((n, n)), np.zeros(n)
+
+    def features(self, word: str) -> list[int]:
+        """The hashed features of a word and, behind them, one for each label whose word list holds it, or one for none."""
+        return [*features(word), *(BUCKETS + i for i in self.lexicon.get(word, (len(self.labels),)))]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores, a row for each word; long words are summed by themselves, in pieces."""
         out = np.zeros((len(words), self.emit.shape[1]))
         short = np.array([len(w) <= 64 for w in words], bool)
-        found = [features(w) for w in words if len(w) <= 64]
+        found = [self.features(w) for w in words if len(w) <= 64]
         if found:
             starts = np.cumsum([0, *map(len, found[:-1])])
             out[short] = np.add.reduceat(self.emit[np.fromiter(chain.from_iterable(found), np.int64)], starts, axis=0)
         for i in np.flatnonzero(~short):
-            f = np.array(features(words[i]))
+            f = np.array(self.features(words[i]))
             for lo in range(0, len(f), 100_000):
                 out[i] += self.emit[f[lo : lo + 100_000]].sum(0)
         return out
@@ -118,7 +123,7 @@ class Crf:
                 for i, (words, tags) in enumerate(part):
                     for j, (w, g) in enumerate(zip(words, tags, strict=True)):
                         if (f := memo.get(w)) is None:
-                            f = memo[w] = np.array(features(w))
+                            f = memo[w] = np.array(self.features(w))
                         scores[i, j] = self.emit[f].sum(0)
                         gold[i, j, g] = 1
                         feats.append(f)
@@ -199,24 +204,31 @@ class Crf:
             yield (np.concatenate(places), np.concatenate(got)) if got else (np.empty(0, np.int64), np.empty((0, k)))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_label: int = 150, max_words: int = 60_000, seed: int = 11) -> Crf:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_label: int = 150, max_words: int = 60_000, lexicon_words: int = 20_000, seed: int = 11) -> Crf:
     """A model from a bounded sample of labelled lines.
 
-    About per_label documents of each label, picked by a hash of the text, give whole lines, at most
-    max_words / labels words of each label. Chains join lines of unlike documents, so that changes
-    of language occur and transitions are learned. Rows with a null text or label take no part; repeated rows count
+    About per_label documents of each label, picked by a hash of the text, give their lines, in pieces of at most PIECE
+    characters: at most max_words / 4 pieces, and max_words / labels words of each label. Chains join pieces of unlike documents, so that changes
+    of language occur and transitions are learned. About 2 * per_label other documents of each label give the word
+    lists: words found at least twice, the most frequent lexicon_words * labels of them. Rows with a null text or label take no part; repeated rows count
     as often as they occur. With no labelled row the model has no label and every prediction is `und`.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
-    model = Crf(labels)
     if not labels:
-        return model
+        return Crf(labels)
     place = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[x for c in labels for x in (F.lit(c), F.lit(per_label / counts[c]))])
-    picked = rows.where(place < F.element_at(share, F.col("lang"))).select("lang", F.explode(F.split("text", "\n")).alias("line"), F.xxhash64("text").alias("doc"))
-    lines = picked.where(F.length("line") < 20_000).orderBy(F.xxhash64("line", "doc")).limit(max_words // 4).collect()
+    share = F.element_at(F.create_map(*[x for c in labels for x in (F.lit(c), F.lit(per_label / counts[c]))]), F.col("lang"))
+    picked = rows.where(place < share).select("lang", F.explode(F.split("text", "\n")).alias("line"), F.xxhash64("text").alias("doc"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / PIECE).cast("int")), lambda i: F.substring("line", i * PIECE + 1, F.lit(PIECE)))
+    lines = picked.where("line <> ''").select("lang", "doc", F.explode(pieces).alias("line")).orderBy(F.xxhash64("line", "doc"), "line", "lang").limit(max_words // 4).collect()
+    words = rows.where((place >= share) & (place < 3 * share)).select("lang", F.explode(F.split("text", r"\s+")).alias("token")).select("lang", F.regexp_replace(F.lower("token"), r"[^\p{L}]", "").alias("word"))
+    often = words.where("word <> ''").groupBy("word", "lang").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word", "lang").limit(lexicon_words * len(labels))
+    lexicon: dict[str, list[int]] = {}
+    for r in often.collect():
+        lexicon.setdefault(r["word"], []).append(labels.index(r["lang"]))
+    model = Crf(labels, {w: sorted(x) for w, x in lexicon.items()})
     room, rng = dict.fromkeys(labels, max_words // len(labels)), np.random.default_rng(seed)
     taken: list[tuple[list[str], int]] = []
     for r in sorted(lines, key=lambda r: (r["doc"], r["lang"], r["line"])):
@@ -239,11 +251,14 @@ def detect(text: str | Column, model) -> Column:
 
     A word is a token of the text (white space apart) with a letter; words hold each one's label and
     marginal, lang is the label with the largest mean marginal (the first by name on a tie), score that mean. A text that is null or has no letter is
-    `und` with score 0 and no words. Long texts are read whole, line by line.
+    `und` with score 0 and no words, and so is every text if the model has no label. Long texts are read whole, line by line.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
+        if not m.labels:
+            yield from (_structs([(NONE, 0.0, [])] * len(b), []) for b in batches)
+            return
         known = Known(len(m.labels))
         for b in batches:
             out = []
@@ -269,11 +284,18 @@ def _structs(rows: list, labels: list[str]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), words], ["lang", "score", "words"])
 
 
+def _documents(rows: list) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), *[pa.array([x[i] for x in rows], pa.float64()) for i in (1, 2)]], ["lang", "score", "sure"])
+
+
 def detect_document(text: str | Column, model) -> Column:
     """struct(lang, score, sure) of a text: lang and score as detect() without the words, sure the mean over the words of each one's largest marginal."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
+        if not m.labels:
+            yield from (_documents([(NONE, 0.0, 0.0)] * len(b)) for b in batches)
+            return
         known = Known(len(m.labels))
         for b in batches:
             out = []
@@ -281,7 +303,7 @@ def detect_document(text: str | Column, model) -> Column:
                 for _, p in m.tag(b.slice(lo, CHUNK).to_pylist(), known):
                     mean = p.mean(0) if len(p) else None
                     out.append((NONE, 0.0, 0.0) if mean is None else (m.labels[int(mean.argmax())], min(1.0, float(mean.max())), min(1.0, float(p.max(1).mean()))))
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), *[pa.array([x[i] for x in out], pa.float64()) for i in (1, 2)]], ["lang", "score", "sure"])
+            yield _documents(out)
 
     return F.arrow_udf(run, "struct<lang:string,score:double,sure:double>")(text)
 
