@@ -1,12 +1,15 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (key, n_docs), hash-partitioned and sorted by key. A batch of documents first
-anti-joins the runs' settled keys (already found in enough documents), then adds its own counts as a run
-of level 0. When a level has `fanout` runs they are merged into one run of the next level.
+A run is a table of (key, n_docs), bucketed and sorted by key, as many buckets as the session has shuffle partitions. A
+batch of documents first merge-anti-joins the runs' settled keys (found in enough documents by the sum of all runs), then
+adds its own counts as a run of level 0. When a level has `fanout` runs they are merged into one run of the next level.
+Joins and merges of runs meet bucket by bucket, without a shuffle of what runs hold.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,32 +32,48 @@ def _key(line: bytes, least: int) -> bytes | None:
 
 
 class LineRuns:
-    """Levelled runs of line keys in the shared folder."""
+    """Levelled runs of line keys: bucketed tables of the catalog with files in the shared folder."""
 
     SCHEMA = "key binary, n_docs bigint"
 
     def __init__(self, spark: SparkSession, settled: int, fanout: int = 4):
         self.spark, self.settled, self.fanout = spark, settled, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths_of: dict[str, str] = {}
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+    def _sums(self, names: list[str]) -> DataFrame:
+        """(key, n_docs) over some runs."""
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return functools.reduce(DataFrame.union, map(self.spark.table, names)).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
 
     def _write(self, df: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"run{level}")
-        df.sortWithinPartitions("key").write.parquet(path)
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = self.paths_of[name] = new_path(self.spark, f"run{level}")
+        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _drop(self, names: list[str]) -> None:
+        for x in names:
+            self.spark.sql(f"DROP TABLE {x}")
+            remove(self.spark, self.paths_of.pop(x))
 
     @property
     def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+        return [self.paths_of[x] for x in self.names]
+
+    @property
+    def names(self) -> list[str]:
+        return [x for level in self.levels for x in level]
 
     def add(self, keys: DataFrame) -> None:
         """keys: one row (key) for each document and distinct key in it."""
         new = keys.groupBy("key").agg(F.count("*").alias("n_docs"))
-        if self.paths:
-            new = new.join(self._read(self.paths).where(F.col("n_docs") >= self.settled).select("key"), "key", "left_anti")
+        if self.names:
+            settled = self._sums(self.names).where(F.col("n_docs") >= self.settled).select("key")
+            new = new.hint("merge").join(settled, "key", "left_anti")
         self._write(new, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
@@ -63,15 +82,19 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         old, self.levels[level] = self.levels[level], []
-        self._write(self._read(old).groupBy("key").agg(F.sum("n_docs").alias("n_docs")), level + 1)
-        for p in old:
-            remove(self.spark, p)
+        self._write(self._sums(old), level + 1)
+        self._drop(old)
 
     def found_in(self, least: int) -> DataFrame:
         """(key) of keys in at least `least` documents; least may not exceed `settled`."""
         if least > self.settled:
             raise ValueError("counts are exact up to `settled` only")
-        return self._read(self.paths).groupBy("key").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= least).select("key")
+        return self._sums(self.names).where(F.col("n_docs") >= least).select("key")
+
+    def close(self) -> None:
+        """Drop all runs."""
+        self._drop(self.names)
+        self.levels = []
 
 
 def line_keys(text, min_chars: int):
@@ -105,7 +128,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at least min_chars
     code points found in at least min_docs documents lose all their lines in every document; other lines
     stay, joined by \\n. Each row is one document, even where rows or ids repeat or the id is null. A null or
-    empty text is one empty line and gives an empty text. Texts of any length are read whole; no row is lost.
+    empty text is one empty line and gives an empty text. Texts of any length are read whole; no row is lost; an empty table stays empty.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.explode(line_keys(F.col(text_col), min_chars)).alias("key"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).alias("batch"))
@@ -116,6 +139,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("key"))
     common = written(runs.found_in(min_docs), "common")
+    runs.close()
     drop = lines.join(common, "key").groupBy("id").agg(F.collect_set("key").alias("drop"))
     left, right = df.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), drop
     both = left.join(right, left["id"].eqNullSafe(right["id"]), "left").select("row", "drop")
