@@ -51,12 +51,22 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), BITS // 4, "0"))
 
 
-def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 5, fp_col: str = "fp") -> DataFrame:
-    """(a, b) with a < b: all pairs of distinct fingerprints that differ in at most `radius` bits, each once.
+def blocks_for(n: int, radius: int = 3, share: int = 4) -> int:
+    """The least number of blocks, from radius + 2 on, whose keys are so long that n random fingerprints share one with at most `share` others on average."""
+    blocks = radius + 2
+    while blocks < BITS and n >> (BITS * (blocks - radius) // blocks) > share:
+        blocks += 1
+    return blocks
+
+
+def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int | None = None, fp_col: str = "fp") -> DataFrame:
+    """(a, b) with a < b: all pairs of distinct fingerprints that differ in at most `radius` bits, each once. Null ones and an empty table give none.
 
     The bits fall into `blocks` blocks; two fingerprints within the radius agree on some blocks - radius of
-    them, so one table for each such choice, keyed by those blocks, finds every pair.
+    them, so one table for each such choice, keyed by those blocks, finds every pair. By default their number grows with
+    that of the fingerprints, so that the members of one key don't.
     """
+    blocks = blocks or blocks_for(fps.agg(F.approx_count_distinct(fp_col)).first()[0], radius)
     fps = fps.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct()
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
@@ -113,10 +123,11 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int = 5) -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int | None = None) -> DataFrame:
     """One row for each row of df: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near).
 
     n_near counts the other rows whose fingerprint lies within `radius` bits. For ties, nulls and repeated rows see with_next.
+    An empty table gives no rows; other columns are not read.
     """
     rows = with_next(df, id_col, text_col).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     keys = {
@@ -127,12 +138,13 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     votes = fingerprints(both, [*keys, "side"])
     docs = votes.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edit_fp"))
     docs = written(docs, "fingerprints")
-    byte = docs.groupBy(F.col("own").alias("next")).agg(F.max("fp").alias("next_fp"))
-    sizes = docs.groupBy("fp").agg(F.count("*").alias("m"))
+    # a row for each text and for each fingerprint, written, so that joins with hot ones are between plain tables and can be split
+    byte = written(docs.groupBy(F.col("own").alias("next")).agg(F.max("fp").alias("next_fp")), "texts")
+    sizes = written(docs.groupBy("fp").agg(F.count("*").alias("m")), "sizes")
     pairs = near_fingerprints(sizes, radius, blocks)
     ways = pairs.union(pairs.select("b", "a")).toDF("fp", "other")
     more = ways.join(sizes.withColumnsRenamed({"fp": "other", "m": "k"}), "other").groupBy("fp").agg(F.sum("k").alias("k"))
-    near = sizes.join(more, "fp", "left").select("fp", (F.col("m") - 1 + F.coalesce("k", F.lit(0))).alias("n_near"))
+    near = written(sizes.join(more, "fp", "left").select("fp", (F.col("m") - 1 + F.coalesce("k", F.lit(0))).alias("n_near")), "near")
     out = docs.join(byte, "next", "left").join(near, "fp", "left")
     return out.select(
         F.col("doc_id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), hex_of(F.col("fp")).alias("fingerprint"), hex_of(F.col("edit_fp")).alias("edited_fingerprint"),
