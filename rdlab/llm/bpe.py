@@ -127,6 +127,8 @@ class Bpe:
         while i < n:
             out.append(get(piece[i : end[i]]))
             i = end[i]
+        if None in out:
+            raise ValueError("a byte of the text is not in the vocabulary")
         return out
 
     def piece(self, token: str) -> list[int]:
@@ -162,7 +164,7 @@ def load(spark: SparkSession, path: str, pattern: str):
 
 
 def encode(text: str | Column, model) -> Column:
-    """array<int>: the ids of a text, each match of the pattern on its own, no special tokens. A null or empty text has no ids."""
+    """array<int>: the ids of a text, each match of the pattern on its own, no special tokens. A null or empty text has no ids. A byte that is no token of the vocabulary raises an error."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = model.value.encoder()
