@@ -6,9 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from rdlab.llm import ann, bpe, langid, line_dedup, minhash, packing, simhash, toxicity, urlfilter, warc
-from rdlab.llm.common import SPACE, new_path
+from rdlab.llm.common import new_path
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -43,7 +42,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.best_fit_packing(docs.select("doc_id", "source", *corpus_pipeline.sizes(docs)))
+    return packing.best_fit_packing(docs.select("doc_id", "source", *packing.sizes(docs)))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (op1_bpe, op2_line_dedup, op3_vp_tree, op4_toxicity, op5_best_fit_packing, op6_warc, op7_url_filters, op8_minhash, op9_simhash, op10_language_id)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 OP2 = r"""
