@@ -16,40 +16,45 @@ MIN_LANGUAGE_SCORE = 0.4
 TOXIC = 0.5
 
 
-def sizes(docs: DataFrame) -> list:
-    """length, in words, and cluster, by equal text, of the packing stage."""
-    return [F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("length"), F.md5(F.col("text").cast("binary")).alias("cluster")]
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose words can't be labelled surely, go; those that switch languages stay."""
+    """Documents without a letter (or text), or whose words can't be labelled surely, go; those that switch languages stay. Each row is judged by itself, whatever its id."""
     model = spark.sparkContext.broadcast(langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
-    found = docs.withColumn("__found", langid.detect_document("text", model))
-    return found.where((F.col("__found.lang") != langid.NONE) & (F.col("__found.sure") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    x = spare(docs, "found")
+    found = docs.withColumn(x, langid.detect_document("text", model))
+    return found.where((F.col(x)["lang"] != langid.NONE) & (F.col(x)["sure"] >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of TOXIC or more go."""
+    """Documents with a toxicity of TOXIC or more go; a null or empty text stays. Each row is judged by itself, whatever its id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
     model = spark.sparkContext.broadcast(toxicity.train(docs, labels))
-    return docs.withColumn("__score", toxicity.score("text", model)).where(F.col("__score") < TOXIC).select(*docs.columns)
+    x = spare(docs, "score")
+    return docs.withColumn(x, toxicity.score("text", model)).where(F.col(x) < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; a document keeps its row, even without lines."""
+    """Lines found in ten documents or more go; a document keeps its row, even without lines; a null text becomes empty. Rows that repeat an id are documents of their own."""
     out = line_dedup.line_dedup(docs, min_docs=10, min_chars=1)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, with all rows of this id; so do rows with a null id."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bins of the training sequences: one row for each piece of a document."""
-    return packing.best_fit_packing(docs.select("doc_id", "source", *sizes(docs)))
+    return packing.best_fit_packing(docs.select("doc_id", "source", *packing.sizes(docs)))
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("lines", lines), ("near_duplicates", near_duplicates), ("packing", pack)]
