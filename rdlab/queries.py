@@ -109,6 +109,20 @@ def read_psnr_log(spark, sf_dir):
     return logs.read_psnr_log(fixtures.fixture(spark, sf_dir, "psnr_lines")).select("trial", "key", r6("mean").alias("mean"))
 
 
+_FRAMES = [(k, v) for k, v in (("vmaf", "vmaf"), ("vif", "vif_scale0"), ("ssim", "ssim"), ("ms_ssim", "ms_ssim"), ("adm2", "adm2"))]
+
+
+@query(_with("vmaf_lines") + " SELECT trial, " + ", ".join(f"round((json_extract(line, '$.frames[0].metrics.{v}')::DOUBLE + json_extract(line, '$.frames[1].metrics.{v}')::DOUBLE) / 2, 6) AS {k}" for k, v in _FRAMES) + " FROM vmaf_lines")
+def read_vmaf_json_means(spark, sf_dir):
+    return logs.read_vmaf_json(fixtures.fixture(spark, sf_dir, "vmaf_lines"), frame="mean").withColumns({k: r6(k) for k, _ in _FRAMES})
+
+
+@query(_with("psnr_lines") + ", t AS (SELECT trial, unnest(string_split(line, ' ')) AS token FROM psnr_lines) SELECT trial, " + ", ".join(f"round(avg(CASE WHEN token LIKE '{k}:%' THEN split_part(token, ':', 2)::DOUBLE END), 6) AS {k}" for k in ("psnr_y", "mse_y")) + " FROM t GROUP BY trial")
+def psnr_wide(spark, sf_dir):
+    means = logs.read_psnr_log(fixtures.fixture(spark, sf_dir, "psnr_lines"))
+    return logs.psnr_wide(means, ["psnr_y", "mse_y"]).withColumns({k: r6(k) for k in ("psnr_y", "mse_y")})
+
+
 @query(_with("images") + " SELECT path, width, height, depth, colorspace FROM images")
 def parse_identify(spark, sf_dir):
     text = F.concat(F.lit("warning: x\n"), F.concat_ws(",", "width", "height", "depth", "colorspace"))
@@ -461,6 +475,17 @@ def sequence_psnr(spark, sf_dir):
     return pixels.sequence_psnr(frames).select("seq", "frame", r6("psnr").alias("psnr"), r6("running").alias("running"))
 
 
+@query(
+    S_ + ", p AS (SELECT concat(label::VARCHAR, ' ', plane) AS seq, image AS frame, 10 * log10(65535e0 * 65535e0 * count(*) / sum((v - w) * (v - w))) AS psnr FROM samples GROUP BY label, plane, image)"
+    " SELECT seq, frame, round(psnr, 6) AS psnr, round(avg(psnr) OVER (PARTITION BY seq ORDER BY frame ROWS UNBOUNDED PRECEDING), 6) AS running FROM p"
+)
+def sequence_psnr_planes(spark, sf_dir):
+    rows = samples(spark, sf_dir)
+    of = rows.groupBy("image").agg(F.first("label").alias("label"))
+    frames = pixels.plane_psnr(rows).join(of, "image").select(F.concat(F.col("label").cast("string"), F.lit(" "), "plane").alias("seq"), F.col("image").alias("frame"), "psnr")
+    return pixels.sequence_psnr(frames).select("seq", "frame", r6("psnr").alias("psnr"), r6("running").alias("running"))
+
+
 @query(S_ + f" SELECT image, n AS samples, sse, {PSNR.format(peak='65535e0')} AS psnr FROM (SELECT image, count(*)::BIGINT AS n, sum((v - w) * (v - w))::BIGINT AS sse FROM samples GROUP BY image)")
 def field_merge_psnr(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumns({"line": F.expr("idx div 8"), "x": F.col("idx") % 8})

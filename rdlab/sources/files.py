@@ -24,6 +24,10 @@ def encoded_size(payload: Column) -> Column:
 
 def fixed_frames(df: DataFrame, id_col: str, content_col: str, size: int) -> DataFrame:
     """(id_col, frame_no, frame): the whole frames of `size` units in each content; a shorter rest is left out."""
-    n = F.floor(F.length(content_col) / size).cast("int")
-    rows = df.where(n > 0).select(id_col, content_col, F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_no"))
-    return rows.select(id_col, "frame_no", F.substring(F.col(content_col), F.col("frame_no") * size + 1, F.lit(size)).alias("frame"))
+    if dict(df.dtypes)[content_col] == "string":
+        # one pass over the text; its characters have no fixed places
+        frames = F.regexp_extract_all(content_col, F.lit(f"(?s).{{{size}}}"), F.lit(0))
+    else:
+        n = F.floor(F.length(content_col) / size).cast("int")
+        frames = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(content_col), i * size + 1, F.lit(size))))
+    return df.select(id_col, F.posexplode(frames).alias("frame_no", "frame"))

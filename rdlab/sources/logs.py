@@ -15,7 +15,8 @@ def read_vmaf_json(logs: DataFrame, line_col: str = "line", frame: str = "first"
     if frame == "first":
         values = {k: F.get(frames, 0)["metrics"][v] for k, v in names.items()}
     else:
-        values = {k: F.try_divide(F.aggregate(frames, F.lit(0.0), lambda a, x, v=v: a + x["metrics"][v]), F.size(frames)) for k, v in names.items()}
+        total = lambda v: F.aggregate(frames, F.lit(0.0), lambda a, x: a + x["metrics"][v])
+        values = {k: F.try_divide(total(v), F.size(frames)) for k, v in names.items()}
     return logs.withColumns(values).drop(line_col)
 
 

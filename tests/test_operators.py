@@ -1,10 +1,14 @@
 """Invariants of the codec-trial operators."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from rdlab.operators import analysis, bdrate, pixels, trials
+from rdlab.operators import analysis, bdrate, pixels, report, trials
 from rdlab.plans import catalog, grid
-from rdlab.sources import logs, store
+from rdlab.sources import files, logs, scratch, store
 
 
 def curve(codec, rates, scale=1.0):
@@ -91,3 +95,44 @@ def test_function_search_equals_the_expression(spark):
 def test_extrema_labels_are_swapped_for_reductions(spark):
     rows = spark.createDataFrame([("420", "x", "m", 1.0, "a", 2.0, -10.0), ("420", "x", "m", 1.0, "b", 3.0, 5.0)], "sub_sampling string, codec string, target_metric string, target_value double, source string, compress_rate double, reduction double")
     assert {r["kind"]: (r["max"], r["min"]) for r in analysis.extrema(rows).collect()} == {"terse": (-10.0, 5.0), "cr": (3.0, 2.0)}
+
+
+def test_decimals_are_those_of_the_binary_value(spark):
+    rng = random.Random(1)
+    values = [28.325, 0.125, 0.375, -12.665, 0.005, 1.005, -0.0, 2.675, 1e9 + 0.005, *(rng.randrange(-(10**7), 10**7) / 1000 for _ in range(3000))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", report.fixed(F.col("v"), 2).alias("t")).collect()
+    assert all(float(r["t"]) == float(f"{r['v']:.2f}") for r in got)
+
+
+def test_trials_decode_and_measure(spark):
+    plan = spark.createDataFrame([("a", "zlib", 6, b"abc" * 50), ("b", "coarse", 2, bytes(range(256))), ("c", "none", 1, b"x"), ("d", "lzma", 1, None), ("e", "bz2", 9, b"")], "id string, codec string, param int, payload binary")
+    got = {r["id"]: r for r in trials.run_trials(plan, trials.encode_decode_measure, trials.MEASURED_SCHEMA).collect()}
+    assert got["a"]["sse"] == 0 and got["a"]["psnr"] == float("inf") and got["a"]["file_size_bytes"] < 150
+    assert got["b"]["sse"] == 64 * (1 + 4 + 9) and abs(got["b"]["psnr"] - 10 * math.log10(65025 * 256 / 896)) < 1e-9
+    assert got["c"]["status"] == got["d"]["status"] == "error" and got["c"]["psnr"] is None and got["e"]["status"] == "ok"
+
+
+def test_frames_of_text_and_bytes(spark):
+    text = spark.createDataFrame([(1, "\U0001f600b\ncdé"), (2, "a"), (3, None)], "id long, c string")
+    got = files.fixed_frames(text, "id", "c", 2).orderBy("frame_no").collect()
+    assert [(r["id"], r["frame_no"], r["frame"]) for r in got] == [(1, 0, "\U0001f600b"), (1, 1, "\nc"), (1, 2, "dé")]
+    raw = files.fixed_frames(spark.createDataFrame([(1, b"abcde"), (2, b"")], "id long, c binary"), "id", "c", 2)
+    assert [bytes(r["frame"]) for r in raw.orderBy("frame_no").collect()] == [b"ab", b"cd"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.new_path(Session(), "x")
