@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one, on one machine only: on a cluster its executors could not share it."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
     return _LOCAL[0]
@@ -42,22 +45,63 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Tables:
+    """Written tables of one operator, removed as soon as no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[1])
+
+    def only(self, *tables: DataFrame) -> None:
+        """Keep these tables and remove all others."""
+        kept = {id(t) for t in tables}
+        self.drop(*[t for k, (t, _) in [*self.paths.items()] if k not in kept])
+
+
+def passing(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows of df whose id may be in the column id_col of ids, which keeps others out of a shuffle; null ids never pass.
+
+    A bitmap of 2^bits places of hashed ids is broadcast: 8 MB by default, however many ids there are. With many more ids than places nearly all rows pass.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << bits))
+    marks = ids.where(F.col(id_col).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    rows = df.where(F.col(id_col).isNotNull()).withColumn("__bucket", F.bitmap_bucket_number(place))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    hit = F.floor(byte / F.pow(F.lit(2.0), at % 8)).cast("long") % 2 == 1
+    return rows.join(F.broadcast(marks), "__bucket").where(hit).select(*df.columns)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b) of longs: (node, component), component the smallest node.
 
     Large-star and small-star steps in turn; each round is a written table, and only one number per
     round comes to the driver. Nodes without an edge to another node are not returned; null ends are ignored.
+    A node with very many edges is one key of joins and aggregates only: the first are split by the adaptive plan, the second are summed before they meet.
     """
+    tables = Tables(edges.sparkSession)
     e = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, name)
+    e = tables.written(e, name)
     before = None
     while True:
+        start = e
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = written(e.select("x.a", "x.b").where("a <> b").distinct(), name)
+        old, e = start, tables.written(e.select("x.a", "x.b").where("a <> b").distinct(), name)
+        tables.drop(old)
         after = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -2,14 +2,16 @@
 
 A document's path in a tree picks positions of its signature, the same ones for all documents of a node;
 documents that agree there share the child. Small nodes are compared exhaustively, large ones branch on,
-and independent trees repeat this to the target recall. A node's documents whose signatures look similar form
-clusters, the same ones in many trees; each cluster is then compared once, all pairs of it, on the full sets.
+and independent trees repeat this to the target recall. Documents of a node whose signatures look similar, and those of a node
+that stays large, become candidates: their connected groups hold every true link. Each group is then compared on the full sets, all
+pairs of a small one. A large group is dealt to blocks, then its unlinked representatives, and what stays unlinked walks deeper trees.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rdlab.llm.common import components, written
+from rdlab.llm.common import Tables, components, passing
 
 WIDTH = 128  #: positions of a signature
 START = 2  #: levels walked before nodes are counted
 LEAF = 2048  #: documents of a node that one task compares
-DEEP = 4  #: levels after which documents of large nodes get more trees
-DEPTH = 14  #: levels after which a large node is compared in blocks
+BLOCK = 256  #: documents of a group that are compared on full sets at once, at most LEAF
+DEEP = 4  #: levels after which the documents of a large node are candidates as they are
+DEPTH = 14  #: levels after which a large node of the deeper trees is compared in blocks
 _RNG = np.random.default_rng(20)
 _MUL = (_RNG.integers(1, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -68,6 +71,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def short(sig: np.ndarray) -> np.ndarray:
+    """A byte for each position: equal where the positions are, and by chance in one of 256 others, which only adds candidates."""
+    return (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
 def branch(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of nodes `keys` for the documents with signatures sigs: (row, key). One position each, and in half of the nodes a second."""
     rows, out = [], []
@@ -131,6 +139,8 @@ def _started(sig: np.ndarray, first: int, trees: int) -> tuple[np.ndarray, np.nd
 
 
 def _sketch(trees: int, size: int):
+    """(id, n, same, sig, keys) of each document: keys are its nodes after START levels of all trees, from whole positions, so that few unlike documents meet there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
@@ -147,11 +157,15 @@ def _sketch(trees: int, size: int):
                 order = np.argsort(rows, kind="stable")
                 ends = np.searchsorted(rows[order], np.arange(many + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), lists], ["id", "n", "same", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in short(sig)], pa.binary()), lists], ["id", "n", "same", "sig", "keys"])
 
     return run
 
 
+def _read_sigs(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], read) -> Iterator[list]:
     """The rows of each key, as lists of read(batch)'s columns joined, from rows sorted by the keys; a group may begin in one batch and end in a later one."""
     held, of = [], None
@@ -188,20 +202,46 @@ def _reached(row, n: int) -> Iterator[list[int]]:
         yield sorted(group)
 
 
-def _clusters(cut: int):
-    """Of each node the groups of documents that chains of similar signatures connect, as sorted ids."""
+def _similar(cut: int, keys: list[str]) -> Callable:
+    """Of each node the groups of documents that chains of similar signatures connect, as sorted ids. Groups whose documents have one `root` already are left out."""
 
     def read(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)]
+        return [b.column("id").to_numpy(), b.column("root").to_numpy(), _read_sigs(b)]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for ids, roots, sigs in _groups(batches, keys, read):
+            if (roots == roots[0]).all():
+                continue
+            for group in _reached(lambda i, sigs=sigs: (sigs == sigs[i]).sum(1) >= cut, len(ids)):
+                if (roots[group] != roots[group[0]]).any():
+                    yield np.unique(ids[group])
+
+    return groups
+
+
+def _stars(cut: int):
+    """(member, smallest id) of the groups of similar documents in each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        for ids in _similar(cut, ["key"])(batches):
+            out.update((x, int(ids[0])) for x in ids[1:].tolist())
+            if len(out) > 20_000:
+                yield _batch(out)
+                out = set()
+        if out:
+            yield _batch(out)
+
+    return run
+
+
+def _clusters(cut: int):
+    """The groups of similar documents in each block of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, ...]] = set()
-        for ids, sigs in _groups(batches, ["key", "block"], read):
-            ids, first = np.unique(ids, return_index=True)
-            sigs = sigs[first]
-            for group in _reached(lambda i, sigs=sigs: (sigs == sigs[i]).sum(1) >= cut, len(ids)):
-                if len(group) > 1:
-                    out.add(tuple(ids[group].tolist()))
+        for ids in _similar(cut, ["key", "block"])(batches):
+            out.add(tuple(ids.tolist()))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array([*out], pa.list_(pa.int64()))], ["ids"])
                 out = set()
@@ -231,7 +271,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(percent: int):
-    """Links (member, smallest id) of the groups that confirmed pairs connect within each cluster. A document with several texts comes as several rows."""
+    """Links (member, smallest id) of the groups that confirmed pairs connect within each block of a cluster. A document with several texts comes as several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -240,7 +280,7 @@ def _links(percent: int):
             return [b.column("id").to_numpy(), sets]
 
         out: set[tuple[int, int]] = set()
-        for ids, sets in _groups(batches, ["cluster"], read):
+        for ids, sets in _groups(batches, ["cluster", "block"], read):
             size = np.array([len(x) for x in sets])
             both = _shared(list(sets))
             linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) | (ids[:, None] == ids[None, :])
@@ -273,11 +313,13 @@ def _sets(size: int):
 
 
 def _more(first: int, trees: int):
+    """(key, id) of the nodes after START levels in the trees first to trees - 1, for documents that deeper nodes must tell apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                rows, keys = _started(np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH), first, trees)
+                rows, keys = _started(_read_sigs(part), first, trees)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part.column("id").to_numpy()[rows])], ["key", "id"])
 
     return run
@@ -286,32 +328,46 @@ def _more(first: int, trees: int):
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
-            rows, keys = branch(b.column("key").to_numpy().view(np.uint64), sig)
+            rows, keys = branch(b.column("key").to_numpy().view(np.uint64), _read_sigs(b))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column("id").to_numpy()[rows])], ["key", "id"])
 
 
-def _walk(sigs: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes (key, block, id) below the nodes `active` of START levels, and the rows of large nodes of DEEP levels, if there are any."""
-    done = deep = None
-    for depth in range(START, DEPTH + 1):
+def _walk(tables: Tables, sigs: DataFrame, active: DataFrame, last: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (key, id, m) of the nodes of several documents: in levels from START on, and the rows of nodes still large after `last` levels, if there are any."""
+    levels: list[DataFrame] = []
+    for depth in range(START, last + 1):
         counts = active.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        node = written(active.join(counts, "key").select("key", "id", "m"), "nodes")
-        small = node.where(F.col("m") <= LEAF).select("key", F.lit(0).alias("block"), "id")
-        done = small if done is None else done.union(small)
+        node = tables.written(active.join(counts, "key").select("key", "id", "m"), "nodes")
+        levels.append(node)
         large = node.where(F.col("m") > LEAF)
         if large.isEmpty():
-            break
-        if depth == DEEP:
-            deep = large
-        if depth == DEPTH:  # a node that no position splits further: every pair of its blocks
-            blocks = F.ceil(F.col("m") * 2 / LEAF).cast("int")
-            own = F.pmod(F.hash("id"), F.col("blocks"))
-            spread = large.withColumn("blocks", blocks).withColumn("own", own).select("key", "id", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            done = done.union(spread.select("key", (F.greatest("own", "other") * F.col("blocks") + F.least("own", "other")).cast("int").alias("block"), "id"))
-        else:
-            active = large.join(sigs.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(_children, "key long, id long")
-    return done, deep
+            return levels, None
+        active = large.join(sigs.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(_children, "key long, id long")
+    return levels, large
+
+
+def _small(levels: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, [x.where(F.col("m") <= LEAF).select("key", "id") for x in levels])
+
+
+def _confirmed(tables: Tables, items: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links within each (cluster, block) of items (cluster, block, id) on the full sets."""
+    sets = items.join(found, "id").select("cluster", "block", "id", "found").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    return tables.written(sets.mapInArrow(_links(percent), "a long, b long").distinct(), "links")
+
+
+def _dealt(items: DataFrame) -> DataFrame:
+    """items (cluster, id, m), m the size of the cluster, with blocks of about BLOCK documents."""
+    most = min(BLOCK, LEAF)
+    return items.withColumn("block", F.when(F.col("m") > most, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / most))).otherwise(F.lit(0)).cast("long"))
+
+
+def _rooted(tables: Tables, members: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """members (cluster, id) with root, the smallest id that links reach from it so far, and m, the number of roots of the cluster."""
+    groups = components(functools.reduce(DataFrame.union, links))
+    rooted = tables.written(members.join(groups, members["id"] == groups["node"], "left").select("cluster", "id", F.coalesce("component", "id").alias("root")), "rooted")
+    m = rooted.where("id = root").groupBy("cluster").agg(F.count("*").alias("m"))
+    return rooted.join(m, "cluster")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, recall: float = 0.99999) -> DataFrame:
@@ -321,38 +377,79 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is one run; a text without words, or null, has the empty set and links with nothing. Documents link where
     100 * intersection >= percent * union. component_id is the smallest id reachable over links, kept tells
     whether it is the row's own. Rows that repeat an id are one document, linked by any of its texts. A row
-    with a null id links with nothing, has a null component and stays. Links are exact; of true links each is
+    with a null id links with nothing, has a null component and stays. An empty table gives no rows; other columns of df are not read. Links are exact; of true links each is
     examined with a chance of at least `recall` by itself. A tenth of what may be lost goes to the cut of similar
     signatures, four tenths to the trees of pairs whose nodes are small by DEEP levels, and half to those of
-    deeper nodes: documents found in one there are walked through more trees, enough at DEPTH levels.
+    documents that deeper nodes must tell apart: they are walked through more trees, enough at DEPTH levels.
     """
+    tables = Tables(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     loss = 1 - recall
     cut = cut_for(0.1 * loss, percent / 100)
     few, many = trees_for(0.4 * loss, percent / 100, DEEP), trees_for(0.5 * loss, percent / 100, DEPTH)
-    sketch = written(docs.mapInArrow(_sketch(few, size), "id long, n long, same binary, sig binary, keys array<long>"), "sketch")
+    sketch = tables.written(docs.mapInArrow(_sketch(few, size), "id long, n long, same binary, sig binary, keys array<long>"), "sketch")
     valid = sketch.where("id is not null and n > 0")
-    classes = written(valid.groupBy("same").agg(F.min("id").alias("rep")), "classes")
+    classes = tables.written(valid.groupBy("same").agg(F.min("id").alias("rep")), "classes")
     reps = valid.join(classes, (valid["same"] == classes["same"]) & (valid["id"] == classes["rep"]), "left_semi").dropDuplicates(["id", "same"])
-    sigs = written(reps.select("id", "sig", "keys"), "sigs")
-    spark = df.sparkSession
-
-    done, deep = _walk(sigs, sigs.select("id", F.explode("keys").alias("key")))
-    if deep is not None:
-        again = sigs.join(deep.select("id").distinct(), "id", "left_semi").select("id", "sig")
-        done = done.union(_walk(sigs, again.mapInArrow(_more(few, many), "key long, id long"))[0])
-
-    nodes = done.join(sigs.select("id", "sig"), "id").repartition("key", "block").sortWithinPartitions("key", "block")
-    clusters = written(nodes.select("key", "block", "id", "sig").mapInArrow(_clusters(cut), "ids array<long>").distinct(), "clusters")
-    members = clusters.select(F.xxhash64("ids").alias("cluster"), F.explode("ids").alias("id"))
-    # the same plan at every size: the number of candidates has no bound, so neither side is broadcast
-    near = docs.hint("merge").join(members.select("id").distinct(), "id", "left_semi")
-    found = written(near.mapInArrow(_sets(size), "id long, found binary").where("octet_length(found) > 0"), "found")
-    sets = members.join(found, "id").select("cluster", "id", "found").repartition("cluster").sortWithinPartitions("cluster")
-    links = written(sets.mapInArrow(_links(percent), "a long, b long").distinct(), "links")
-    groups = written(components(links), "groups")
+    sigs = tables.written(reps.select("id", "sig", "keys"), "sigs")
+
+    # candidates: members (cluster, id, m) of connected groups
+    levels, large = _walk(tables, sigs, sigs.select(F.explode("keys").alias("key"), "id"), DEEP)
+    nodes = _small(levels).join(sigs.select("id", "sig"), "id").select("key", "id", F.col("id").alias("root"), "sig").repartition("key").sortWithinPartitions("key")
+    stars = nodes.mapInArrow(_stars(cut), "a long, b long")
+    if large is not None:
+        lowest = large.groupBy("key").agg(F.min("id").alias("b"))
+        stars = stars.union(large.join(lowest, "key").select(F.col("id").alias("a"), "b").where("a <> b"))
+    stars = tables.written(stars.distinct(), "stars")
+    tables.drop(*levels)
+    groups = tables.written(components(stars), "candidates")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
+    members = tables.written(groups.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("node").alias("id"), "m"), "members")
+    tables.drop(stars, groups)
+
+    # the same plan at every size: the number of candidates has no bound, so neither side of the exact join is broadcast
+    ids = members.select("id")
+    near = passing(docs, "id", ids).mapInArrow(_sets(size), "id long, found binary").where("octet_length(found) > 0")
+    found = tables.written(near.hint("merge").join(ids, "id", "left_semi"), "found")
+    links = [_confirmed(tables, _dealt(members), found, percent)]
+    big = members.where(F.col("m") > min(BLOCK, LEAF))
+    if not big.isEmpty():
+        big, before = big.select("cluster", "id"), None
+        while True:  # rounds over the roots of large groups, as long as these get far fewer
+            rooted = _rooted(tables, big, links)
+            left = rooted.where("m > 1")
+            most, n = left.where("id = root").agg(F.max("m"), F.count("*")).first()
+            if not n or before is not None and (2 * n > before[1] or before[0] <= min(BLOCK, LEAF)):
+                break
+            before = most, n
+            links.append(_confirmed(tables, _dealt(left.where("id = root").select("cluster", "id", "m")), found, percent))
+        if n or large is not None:
+            # groups with several roots: their documents walk more and deeper trees
+            again = left.select("id", "root").join(sigs.select("id", "sig"), "id")
+            links.append(_deeper(tables, again, found, few, many, cut, percent))
+    groups = components(functools.reduce(DataFrame.union, links))
+    groups = tables.written(groups, "groups")
+    tables.only(sketch, classes, groups)
 
     known = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     rows = sketch.select("id", "n", "same").join(known, "same", "left")
     lowest = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lowest.alias("component_id"), F.coalesce(F.col("id") == lowest, F.lit(True)).alias("kept"))
+
+
+def _deeper(tables: Tables, docs: DataFrame, found: DataFrame, few: int, many: int, cut: int, percent: int) -> DataFrame:
+    """Links of docs (id, root, sig) found in the trees 0 to max(few, many) - 1 of up to DEPTH levels; a node that no position splits further gives every pair of its blocks."""
+    docs = tables.written(docs, "again")
+    levels, large = _walk(tables, docs, docs.mapInArrow(_more(0, max(few, many)), "key long, id long"), DEPTH)
+    done = _small(levels).select("key", F.lit(0).cast("long").alias("block"), "id")
+    if large is not None:
+        spread = large.withColumn("blocks", F.ceil(F.col("m") * 2 / LEAF)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        spread = spread.select("key", "id", "blocks", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        done = done.union(spread.select("key", (F.greatest("own", "other") * F.col("blocks") + F.least("own", "other")).alias("block"), "id"))
+    nodes = done.join(docs, "id").repartition("key", "block").sortWithinPartitions("key", "block")
+    clusters = tables.written(nodes.select("key", "block", "id", "root", "sig").mapInArrow(_clusters(cut), "ids array<long>").distinct(), "clusters")
+    tables.drop(docs, *levels)
+    items = clusters.select(F.xxhash64("ids").alias("cluster"), F.lit(0).cast("long").alias("block"), F.explode("ids").alias("id"))
+    links = _confirmed(tables, items, found, percent)
+    tables.drop(clusters)
+    return links
