@@ -36,7 +36,7 @@ def pair_rule(df: DataFrame) -> DataFrame:
 
 def curves(long: DataFrame) -> DataFrame:
     """Distinct points of each curve as an array sorted by rate, then quality."""
-    return long.groupBy(*CURVE).agg(F.array_sort(F.collect_set(F.struct("rate", "quality"))).alias("points"))
+    return long.groupBy(*CURVE).agg(F.sort_array(F.collect_set(F.struct("rate", "quality"))).alias("points"))
 
 
 def ordered_points(long: DataFrame) -> DataFrame:
