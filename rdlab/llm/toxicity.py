@@ -168,7 +168,7 @@ def split(letters: str, model: CharModel) -> list[str]:
 def words_of(text: str) -> set[str]:
     """Distinct stripped tokens of a text, lower-cased, and its runs of single characters."""
     text = text.lower()
-    out = set(map(stripped, text.split()))
+    out = {w if w.isalnum() else stripped(w) for w in set(text.split())}
     out.update(x for x in map(re.Match.group, SPACED.finditer(text)) if len(x.split()) > 1 and any(c.isalpha() for c in x))
     return out
 
