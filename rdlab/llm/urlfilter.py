@@ -66,7 +66,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     A fitting rule decides. Otherwise the row's component of aliases does: allow if a member is explicitly
     allowed, else block if a member is blocked, else allow. Edges come from spellings of one address, canonical links and refresh
     redirects in html, and `redirects` (source, target). Null urls or ones without :// have an empty host and
-    path, no rule and no aliases: allow. Ids may be null or repeat; each row is judged by itself.
+    path, no rule and no aliases: allow. Ids may be null or repeat; each row is judged by itself. An empty table gives no rows; other columns are not read.
     """
     html = F.col(html_col) if html_col else F.lit(None).cast("string")
     link = F.transform(links_of(html), address_of)
@@ -80,7 +80,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         moved = redirects.select((-1 - F.monotonically_increasing_id()).alias("row"), F.array(address_of(F.col("source")), address_of(F.col("target"))).alias("keys"))
         keys = keys.union(written(moved, "moved").select("row", F.explode("keys").alias("key")).where("key is not null"))
     keys = keys.distinct()
-    first = keys.groupBy("key").agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join with an address of very many rows is between plain tables and can be split
+    first = written(keys.groupBy("key").agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"), "addresses")
     edges = keys.join(first, "key").select(F.col("row").alias("a"), "b").where("a <> b")
     groups = written(components(edges, "aliases"), "groups")
     verdicts = rows.select("row", "action").join(groups, rows["row"] == groups["node"]).groupBy("component").agg(F.max(F.col("action") == "allow").alias("ok"), F.max(F.col("action") == "block").alias("bad"))
