@@ -3,7 +3,8 @@
 Vectors become points on a sphere by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of the shard, so
 that the nearest point is the one with the largest inner product. A node is skipped when the triangle
 inequality shows that its ball lies farther than the k-th best so far; `factor` scales the slack:
-1 is exact, larger ones skip more. A shard holds norms within a factor of two only, so that no outlier
+1 is exact, larger ones skip more. Shards are the cells of a few pivots: a query searches its home cell first, and then only the
+cells that the same inequality can't exclude. A shard holds norms within a factor of two only, so that no outlier
 squeezes the others together; trees propose within a margin for rounding, the products of the original vectors decide.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rdlab.llm.common import Tables
+
 LEAF = 256
 MARGIN = 1e-9  #: of squared distances on the unit sphere; far above what rounding of some 100,000 components can add
 
@@ -141,28 +144,135 @@ def _search(k: int, factor: float):
     return run
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+class Cells:
+    """Pivots, each a point of one band, and the least and largest distances of the points in their cells."""
+
+    def __init__(self, bands: np.ndarray, vectors: np.ndarray):
+        self.bands, self.points = bands, lifted(vectors, bands)
+        self.low, self.high = np.zeros(len(bands)), np.full(len(bands), 2.0)
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((points * points).sum(1)[:, None] + (self.points * self.points).sum(1)[None, :] - 2 * points @ self.points.T, 0))
+
+    def place(self, vectors: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each point among those of its band, and its distance."""
+        d = np.where(bands[:, None] == self.bands[None, :], self.distances(lifted(vectors, bands)), np.inf)
+        cell = d.argmin(1)
+        return cell, d[np.arange(len(d)), cell]
+
+    def bounds(self, queries: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and cell: the product of the unit query and the pivot, and the largest that a point of the cell can have, both with the band's scale."""
+        unit = _scaled(queries)
+        unit = np.hstack([unit / np.linalg.norm(unit, axis=1)[:, None], np.zeros((len(queries), 1))])
+        d = self.distances(unit)
+        least = np.maximum(np.maximum(d - self.high, self.low - d) - 1e-6, 0) * factor
+        scale = np.ldexp(1.0, np.clip(self.bands + 1, -1000, 1000))[None, :]
+        return scale * (1 - d * d / 2), scale * (1 - np.minimum(least, 2.0) ** 2 / 2 + MARGIN)
+
+
+def lifted(vectors: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Points on the unit sphere of vectors of norms below 2^(band + 1)."""
+    x = np.ldexp(vectors, -(bands + 1)[:, None])
+    return np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]])
+
+
+def _pivots(base: DataFrame, shards: dict[int, int], most: int) -> Cells:
+    """At most `most` pivots, and one for each band, from a bounded sample by the hash of the rows; in each band far from one another."""
+    n = sum(shards.values())
+    want = {b: max(1, min(m, most * m // n)) for b, m in shards.items()}
+    first = base.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "vec").alias("h"), "vec")).alias("x")).select("band", "x.vec")
+    rows = [*first.collect(), *base.orderBy(F.xxhash64("id", "vec"), "id", "vec").select("band", "vec").limit(4 * most).collect()]
+    bands, vectors = [], []
+    for b in sorted(want):
+        own = np.unique(np.array([r["vec"] for r in rows if r["band"] == b], float), axis=0)
+        points = lifted(own, np.full(len(own), b))
+        chosen, far = [0], np.linalg.norm(points - points[0], axis=1)
+        while len(chosen) < min(want[b], len(own)) and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
+        bands += [b] * len(chosen)
+        vectors.append(own[chosen])
+    return Cells(np.array(bands), np.concatenate(vectors))
+
+
+def _placed(cells):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for lo in range(0, len(pdf), 2000):
+                part = pdf.iloc[lo : lo + 2000]
+                if len(part):
+                    cell, far = cells.value.place(np.stack(part["vec"].to_numpy()), part["band"].to_numpy())
+                    yield pd.DataFrame({"cell": cell, "far": far, "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy()})
+
+    return run
+
+
+def _visits(cells, factor: float, home: bool):
+    """(cell, id, vec): the cell where a query's best pivot is, or all others that may hold a product of at least `kth`."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for lo in range(0, len(pdf), 2000):
+                part = pdf.iloc[lo : lo + 2000]
+                if not len(part):
+                    continue
+                q = np.stack(part["vec"].to_numpy())
+                near, most = cells.value.bounds(q, factor)
+                at_home = near.argmax(1)
+                if home:
+                    who, cell = np.arange(len(q)), at_home
+                else:
+                    with np.errstate(all="ignore"):
+                        kth = part["kth"].to_numpy(float) / np.linalg.norm(q, axis=1)
+                    sure = np.isfinite(kth) & (np.abs(q).max(1) < 1e150) & (np.abs(q).max(1) > 1e-150)
+                    go = ~sure[:, None] | (most >= kth[:, None]) | (np.abs(cells.value.bands) > 900)[None, :]
+                    go[np.arange(len(q)), at_home] = False
+                    who, cell = np.nonzero(go)
+                yield pd.DataFrame({"cell": cell, "id": part["id"].to_numpy()[who], "vec": part["vec"].to_numpy()[who]})
+
+    return run
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, pivots: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k rows of base with the largest inner product, itself (the same id) left out.
 
     Nearest first, ties to the smaller id; all there are if fewer than k. Rows with a null id and vectors
     that are null, empty, zero or hold null or non-finite components take no part on either side; very small and very large ones do, and a
     product beyond the range of doubles is infinite. All vectors
-    have the same length. Repeated ids are separate rows; an empty table gives no rows; other columns are not read. Base rows are dealt to shards of about shard_rows by the
-    power of two of their norm (of which doubles have some 2,100) and a hash of id and vector; every query goes to every shard in blocks, and a task holds one shard at a time.
+    have the same length. Repeated ids are separate rows; an empty table gives no rows; other columns are not read. Base rows fall into bands by the
+    power of two of their norm (of which doubles have some 2,100) and into the cells of at most `pivots` pivots (one a band at least), the only
+    vectors that come to the driver besides a sample of four times as many; a cell of more than shard_rows rows is dealt to shards by a hash of id and vector. A
+    query visits its home cell, then those cells that may hold one of its k nearest. A task holds one shard at a time.
     """
+    spark = base.sparkSession
     base, queries = _clean(base, id_col, vec_col), _clean(queries, id_col, vec_col)
     bands = {r["band"]: -(-r["n"] // shard_rows) for r in base.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    schema = "query_id long, ids array<long>, scores array<double>"
     if not bands:
-        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    starts, shards = {}, 0
-    for band, n in sorted(bands.items()):
-        starts[band], shards = shards, shards + n
-    pick = lambda x: F.element_at(F.create_map(*[F.lit(v) for b in bands for v in (b, x[b])]), F.col("band"))
-    deal = base.select((pick(starts) + F.pmod(F.xxhash64("id", "vec"), pick(bands))).cast("long").alias("shard"), F.lit(False).alias("ask"), "id", "vec")
-    ask = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("ask"), "id", "vec")
-    rows = deal.union(ask).repartition("shard").sortWithinPartitions("shard", "ask", "id")
-    got = rows.mapInPandas(_search(k, factor), schema)
-    flat = got.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tables, cells = Tables(spark), _pivots(base, bands, pivots)
+    dealt = tables.written(base.mapInPandas(_placed(spark.sparkContext.broadcast(cells)), "cell long, far double, id long, vec array<double>"), "cells")
+    shards = np.ones(len(cells.bands), int)
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
+        shards[r["cell"]] = -(-r["n"] // shard_rows)
+        cells.low[r["cell"]], cells.high[r["cell"]] = r["low"], r["high"]
+    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c in enumerate(shards) for x in c]), F.col("cell").cast("int"))
+    held = spark.sparkContext.broadcast(cells)
+
+    def searched(visits: DataFrame) -> DataFrame:
+        data = dealt.select("cell", F.pmod(F.xxhash64("id", "vec"), parts).cast("long").alias("part"), F.lit(False).alias("ask"), "id", "vec")
+        ask = visits.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"), F.lit(True).alias("ask"), "id", "vec")
+        rows = data.union(ask).select((F.col("cell") * (1 << 32) + F.col("part")).alias("shard"), "ask", "id", "vec").repartition("shard").sortWithinPartitions("shard", "ask", "id")
+        got = rows.mapInPandas(_search(k, factor), "query_id long, ids array<long>, scores array<double>")
+        return got.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+    visit = "cell long, id long, vec array<double>"
+    found = searched(queries.mapInPandas(_visits(held, factor, True), visit))
+    if len(cells.bands) > 1:
+        found = tables.written(best(found).drop("rank"), "home")
+        kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        asked = queries.join(kth, queries["id"] == kth["query_id"], "left").select("id", "vec", "kth")
+        found = found.union(searched(asked.mapInPandas(_visits(held, factor, False), visit)))
+    return best(found).select("query_id", "rank", "vec_id", "score")

@@ -348,3 +348,27 @@ def test_language_on_held_out_documents(spark):
     langs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = queries.op10_language_id(spark, SF).where("held_out").join(langs.dropna(), "doc_id").where("lang_pred <> 'und'").select("lang", "lang_pred").collect()
     assert len(rows) >= 50 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_cells_are_skipped_and_nothing_is_lost(spark):
+    """Clusters far apart: with factor 1 the result is that of brute force, though queries skip most cells."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(8, 12)) * 3
+    vectors = {i: centers[i % 8] + rng.normal(size=12) * 0.05 for i in range(800)}
+    vectors |= {1000 + i: vectors[0] for i in range(30)}  # copies
+    ask = [0, 5, 100, 1000]
+    assert nearest(spark, vectors, ask, 20, shard_rows=50) == {q: brute(vectors, q, 20) for q in ask}
+    x = np.array([vectors[i] for i in sorted(vectors)])
+    bands = np.floor(np.log2(np.linalg.norm(x, axis=1))).astype(int)
+    cells = ann.Cells(bands[:8], x[:8])
+    cell, far = cells.place(x, bands)
+    for c in range(8):
+        if (cell == c).any():
+            cells.low[c], cells.high[c] = far[cell == c].min(), far[cell == c].max()
+    _, most = cells.bounds(x, 1.0)
+    products = x @ x.T / np.linalg.norm(x, axis=1)[:, None]
+    for c in range(8):
+        if (cell == c).any():
+            assert (products[:, cell == c].max(1) <= most[:, c] + 1e-9).all()
+    kth = np.sort(products, axis=1)[:, -20]
+    assert (most < kth[:, None]).mean() > 0.3
