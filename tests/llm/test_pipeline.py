@@ -50,3 +50,22 @@ def test_text_that_switches_languages_stays(spark):
     docs.append((100, "\n".join(text(k, 20) for k in kinds), None))
     rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     assert 100 in {r["doc_id"] for r in corpus_pipeline.language(spark, rows, "").collect()}
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs, labels = corpus()
+    d = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    more = rows.withColumn("found", rows.doc_id).withColumn("score", rows.doc_id).withColumn("length", rows.doc_id).withColumn("cluster", rows.lang)
+    repeated = more.union(more.where("doc_id in (1, 5, 400, 401)")).union(more.where("doc_id = 3").selectExpr("cast(null as long)", *more.columns[1:]))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, more.where("false"), d)
+        out = stage(spark, repeated, d)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "packing":
+            assert out.count() >= repeated.count()
+            continue
+        assert out.columns == more.columns
+        kept = [r["doc_id"] for r in out.collect()]
+        assert kept.count(1) == 2 and kept.count(None) == 1 and (name == "language") == (401 not in kept)
