@@ -292,6 +292,25 @@ def param_sweep(spark, sf_dir):
     return rows.select(F.col("name").alias("codec"), F.col("subsampling").alias("sub_sampling"), "step", r6("param").alias("param"))
 
 
+_TARGETS = _values([(m, t) for m, x in catalog.TARGETS.items() for t in x])
+
+
+@query(IC + f" SELECT path, name AS codec, subsampling AS sub_sampling, metric AS target_metric, target AS target_value FROM images JOIN catalog ON media = 'image' AND mode = 'lossy' AND catalog.depth = 16 AND images.depth = 16 CROSS JOIN {_TARGETS} AS t(metric, target)")
+def trial_grid_16bit(spark, sf_dir):
+    """Every 16-bit image with every 16-bit codec and every default target."""
+    targets = catalog.target_defaults(spark).where("target is not null")
+    rows = grid.trial_grid(images(spark, sf_dir).where("depth = 16"), _lossy(spark, "image", 16), targets)
+    return rows.select("path", "codec", "sub_sampling", "target_metric", "target_value")
+
+
+@query(EC + " SELECT media, depth, mode, c.name AS codec, subsampling AS sub_sampling, i::INTEGER AS step, round(param_start + i * (param_end - param_start) / 4, 6) AS param FROM (SELECT *, unnest(range(5)) AS i FROM catalog WHERE name IN (SELECT codec FROM encodes)) AS c")
+def param_sweep_tables(spark, sf_dir):
+    """The five points of a sweep for all catalog tables: both media, both depths, lossy and lossless."""
+    used = encodes(spark, sf_dir).select(F.col("codec").alias("name")).distinct()
+    rows = grid.param_sweep(catalog.codec_catalog(spark).join(used, "name", "left_semi"), 5)
+    return rows.select("media", "depth", "mode", F.col("name").alias("codec"), F.col("subsampling").alias("sub_sampling"), "step", r6("param").alias("param"))
+
+
 _ID = "concat(regexp_extract(path, '([^/]*)\\.[^./]*$', 1), '_', regexp_extract(path, '\\.([^./]*)$', 1), '_', {size}, '_', name, '_psnr_avg_40.0_', subsampling, '_0_')"
 
 

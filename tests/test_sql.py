@@ -11,7 +11,7 @@ from rdlab import queries  # noqa: E402
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = ("avg_reduction", "bd_rate", "bd_matrix", "pchip_slopes", "target_search", "plane_psnr", "trial_id", "frame_batches", "read_psnr_log", "stream_totals", "source_alignment")
-NAMES += ("bd_blacklist_lines", "bd_mean_lines", "bd_rate_strict", "create_encodes", "measured_trials", "payload_lossless", "stream_upsert_first", "target_search_rounds", "image_reduction", "distinct_sources", "fixed_frames", "read_vmaf_json_means", "psnr_wide", "sequence_psnr_planes")
+NAMES += ("bd_blacklist_lines", "bd_mean_lines", "bd_rate_strict", "create_encodes", "measured_trials", "payload_lossless", "stream_upsert_first", "target_search_rounds", "image_reduction", "distinct_sources", "fixed_frames", "read_vmaf_json_means", "psnr_wide", "sequence_psnr_planes", "trial_grid_16bit", "param_sweep_tables")
 
 
 def rows(names, values):
