@@ -91,6 +91,11 @@ class Bpe:
     def ranks(self) -> dict[bytes, int]:
         return {t: i for i, t in enumerate(self.vocab)}
 
+    @cached_property
+    def whole(self) -> bool:
+        """Whether each byte is a token, so that every text has ids."""
+        return all(bytes([b]) in self.ranks for b in range(256))
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that isn't a token: the pair of least rank, the leftmost first, merges until none is left.
 
@@ -127,7 +132,7 @@ class Bpe:
         while i < n:
             out.append(get(piece[i : end[i]]))
             i = end[i]
-        if None in out:
+        if not self.whole and None in out:
             raise ValueError("a byte of the text is not in the vocabulary")
         return out
 

@@ -372,3 +372,12 @@ def test_cells_are_skipped_and_nothing_is_lost(spark):
             assert (products[:, cell == c].max(1) <= most[:, c] + 1e-9).all()
     kth = np.sort(products, axis=1)[:, -20]
     assert (most < kth[:, None]).mean() > 0.3
+
+
+def test_a_byte_outside_the_vocabulary_is_an_error():
+    from rdlab.llm import bpe
+
+    small = bpe.Bpe([b"a", b"b", b"ab"], r"\S+|\s+")
+    assert small.piece("ab") == [2] and small.piece("aba") == [2, 0]
+    with pytest.raises(ValueError, match="vocabulary"):
+        small.piece("abc")
