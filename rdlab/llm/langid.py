@@ -8,12 +8,15 @@ Forward-backward labels each word, so code-switched text gets more than one lang
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ BUCKETS = 1 << 15  #: hashed emission features
 MEMO = 300_000  #: words whose scores a worker keeps
 MEMO_CHARS = 20_000_000  #: and their characters
 PIECE = 500  #: characters of a piece of a line to learn from
-CHUNK = 4000  #: texts tagged at once; many together share the steps of long lines
+CHUNK = 2000  #: texts tagged at once; many together share the steps of long lines
 NONE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -61,10 +64,20 @@ class Crf:
     def __init__(self, labels: list[str], lexicon: dict[str, list[int]] | None = None):
         self.labels, self.lexicon, n = labels, lexicon or {}, len(labels)
         self.emit, self.move, self.start = np.zeros((BUCKETS + n + 1, n)), np.zeros((n, n)), np.zeros(n)
+        # the word lists as sorted hashes and the number of the set of labels that have the word: workers hold nothing else of them
+        rows = sorted((xxhash.xxh3_64_intdigest(w), tuple(x)) for w, x in self.lexicon.items())
+        self.sets = sorted({x for _, x in rows})
+        self.hashes, self.kinds = array("Q", [h for h, _ in rows]), array("L", [self.sets.index(x) for _, x in rows])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lexicon"}
 
     def features(self, word: str) -> list[int]:
         """The hashed features of a word and, behind them, one for each label whose word list holds it, or one for none."""
-        return [*features(word), *(BUCKETS + i for i in self.lexicon.get(word, (len(self.labels),)))]
+        h = xxhash.xxh3_64_intdigest(word)
+        i = bisect_left(self.hashes, h)
+        known = self.sets[self.kinds[i]] if i < len(self.hashes) and self.hashes[i] == h else (len(self.labels),)
+        return [*features(word), *(BUCKETS + k for k in known)]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores, a row for each word; long words are summed by themselves, in pieces."""
@@ -181,7 +194,7 @@ class Crf:
         lo = 0
         while lo < len(order):
             hi = lo + 1
-            while hi < len(order) and hi - lo < 4096 and len(parts[order[hi]]) <= 1.3 * len(parts[order[lo]]) + 4 and (hi - lo + 1) * len(parts[order[hi]]) <= 400_000:
+            while hi < len(order) and hi - lo < 4096 and len(parts[order[hi]]) <= 1.3 * len(parts[order[lo]]) + 4 and (hi - lo + 1) * len(parts[order[hi]]) <= 200_000:
                 hi += 1
             part = order[lo:hi]
             length = np.array([len(parts[i]) for i in part])
