@@ -82,27 +82,34 @@ def passing(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 26) -> DataF
     return rows.join(F.broadcast(marks), "__bucket").where(hit).select(*df.columns)
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """The number of edges and a sum of their hashes, to tell whether a round has changed them."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b) of longs: (node, component), component the smallest node.
 
     Large-star and small-star steps in turn; each round is a written table, and only one number per
     round comes to the driver. Nodes without an edge to another node are not returned; null ends are ignored.
-    A node with very many edges is one key of joins and aggregates only: the first are split by the adaptive plan, the second are summed before they meet.
+    A node with very many edges is a hot key only of joins between written tables, which the adaptive plan can split, and of aggregates, which sum before they meet.
     """
     tables = Tables(edges.sparkSession)
     e = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = tables.written(e, name)
-    before = None
-    while True:
+    before = _mark(e)
+    while before[0]:
         start = e
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        high = tables.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        e = both.join(high, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        e = tables.written(e, name)
+        old = [start, high, e]
+        low = tables.written(e.groupBy("a").agg(F.min("b").alias("m")), name)
         e = e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        old, e = start, tables.written(e.select("x.a", "x.b").where("a <> b").distinct(), name)
-        tables.drop(old)
-        after = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        e = tables.written(e.select("x.a", "x.b").where("a <> b").distinct(), name)
+        tables.drop(*old, low)
+        after = _mark(e)
         if after == before:
             break
         before = after

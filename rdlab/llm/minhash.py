@@ -362,12 +362,12 @@ def _dealt(items: DataFrame) -> DataFrame:
     return items.withColumn("block", F.when(F.col("m") > most, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / most))).otherwise(F.lit(0)).cast("long"))
 
 
-def _rooted(tables: Tables, members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """members (cluster, id) with root, the smallest id that links reach from it so far, and m, the number of roots of the cluster."""
-    groups = components(functools.reduce(DataFrame.union, links))
+def _rooted(tables: Tables, members: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The components of the links so far, and members (cluster, id) with root, the smallest id reached from it, and m, the number of roots of the cluster."""
+    groups = tables.written(components(functools.reduce(DataFrame.union, links)), "groups")
     rooted = tables.written(members.join(groups, members["id"] == groups["node"], "left").select("cluster", "id", F.coalesce("component", "id").alias("root")), "rooted")
     m = rooted.where("id = root").groupBy("cluster").agg(F.count("*").alias("m"))
-    return rooted.join(m, "cluster")
+    return groups, rooted.join(m, "cluster")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, recall: float = 0.99999) -> DataFrame:
@@ -411,12 +411,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = members.select("id")
     near = passing(docs, "id", ids).mapInArrow(_sets(size), "id long, found binary").where("octet_length(found) > 0")
     found = tables.written(near.hint("merge").join(ids, "id", "left_semi"), "found")
-    links = [_confirmed(tables, _dealt(members), found, percent)]
+    links, groups = [_confirmed(tables, _dealt(members), found, percent)], None
     big = members.where(F.col("m") > min(BLOCK, LEAF))
     if not big.isEmpty():
         big, before = big.select("cluster", "id"), None
         while True:  # rounds over the roots of large groups, as long as these get far fewer
-            rooted = _rooted(tables, big, links)
+            groups, rooted = _rooted(tables, big, links)
             left = rooted.where("m > 1")
             most, n = left.where("id = root").agg(F.max("m"), F.count("*")).first()
             if not n or before is not None and (2 * n > before[1] or before[0] <= min(BLOCK, LEAF)):
@@ -426,9 +426,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if n or large is not None:
             # groups with several roots: their documents walk more and deeper trees
             again = left.select("id", "root").join(sigs.select("id", "sig"), "id")
-            links.append(_deeper(tables, again, found, few, many, cut, percent))
-    groups = components(functools.reduce(DataFrame.union, links))
-    groups = tables.written(groups, "groups")
+            more = _deeper(tables, again, found, max(few, many), cut, percent)
+            if more is not None:
+                links, groups = [*links, more], None
+    if groups is None:
+        groups = tables.written(components(functools.reduce(DataFrame.union, links)), "groups")
     tables.only(sketch, classes, groups)
 
     known = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
@@ -437,10 +439,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lowest.alias("component_id"), F.coalesce(F.col("id") == lowest, F.lit(True)).alias("kept"))
 
 
-def _deeper(tables: Tables, docs: DataFrame, found: DataFrame, few: int, many: int, cut: int, percent: int) -> DataFrame:
-    """Links of docs (id, root, sig) found in the trees 0 to max(few, many) - 1 of up to DEPTH levels; a node that no position splits further gives every pair of its blocks."""
+def _deeper(tables: Tables, docs: DataFrame, found: DataFrame, trees: int, cut: int, percent: int) -> DataFrame | None:
+    """Links of docs (id, root, sig) found in trees of up to DEPTH levels, None without a document; a node that no position splits further gives every pair of its blocks."""
+    begin = _more(0, trees)
     docs = tables.written(docs, "again")
-    levels, large = _walk(tables, docs, docs.mapInArrow(_more(0, max(few, many)), "key long, id long"), DEPTH)
+    if docs.isEmpty():
+        return None
+    levels, large = _walk(tables, docs, docs.mapInArrow(begin, "key long, id long"), DEPTH)
     done = _small(levels).select("key", F.lit(0).cast("long").alias("block"), "id")
     if large is not None:
         spread = large.withColumn("blocks", F.ceil(F.col("m") * 2 / LEAF)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
