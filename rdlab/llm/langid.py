@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15  #: hashed emission features
-MEMO = 300_000  #: words whose scores a worker keeps
-MEMO_CHARS = 20_000_000  #: and their characters
+MEMO = 100_000  #: words whose scores a worker keeps
+MEMO_CHARS = 10_000_000  #: and their characters
 PIECE = 500  #: characters of a piece of a line to learn from
-CHUNK = 2000  #: texts tagged at once; many together share the steps of long lines
+CHUNK = 500  #: texts tagged at once; many together share the steps of long lines
 NONE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
