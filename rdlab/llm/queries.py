@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rdlab.llm import ann, bpe, langid, line_dedup, minhash, packing, simhash, toxicity, urlfilter, warc
+from rdlab.llm import ann, bpe, langid, line_dedup, minhash, packing, phrases, quality, simhash, spelling, toxicity, urlfilter, warc
 from rdlab.llm.common import new_path
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -78,8 +78,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = spark.sparkContext.broadcast(quality.train(docs, labels.where(~toxicity.held_out(F.col("doc_id")))))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), quality.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"), min_count=100, max_words=5, inside=100, top=2000)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.runs("text")).alias("run"))
+    h, size = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")), F.char_length("run")
+    at = (h % size).cast("int")
+    typo = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2, size))
+    words = docs.select(F.when(h % 97 == 0, typo).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.word_counts(words, min_chars=5, min_count=3), ratio=2)
+
+
 def queries() -> dict:
-    own = (op1_bpe, op2_line_dedup, op3_vp_tree, op4_toxicity, op5_best_fit_packing, op6_warc, op7_url_filters, op8_minhash, op9_simhash, op10_language_id)
+    own = (op1_bpe, op2_line_dedup, op3_vp_tree, op4_toxicity, op5_best_fit_packing, op6_warc, op7_url_filters, op8_minhash, op9_simhash, op10_language_id, op11_attention_quality, op12_collocations, op13_spelling_variants)
     return {f.__name__: f for f in own}
 
 
@@ -142,5 +162,45 @@ FROM a WINDOW w AS (PARTITION BY address)
 """
 
 
+OP12 = r"""
+WITH pieces AS (SELECT lang, unnest(generate_series(1, len(p))) AS i, row_number() OVER () AS doc, p FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p[i], '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS first, array_to_string(list_slice(w, k + 1, m), ' ') AS rest FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, cuts.k, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN n ON n.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, part FROM (SELECT lang, a, m, array_to_string(list_slice(w, i, i + j - 1), ' ') AS part FROM (SELECT *, unnest(generate_series(1, m - j + 1)) AS i FROM c, (SELECT unnest(range(2, 5)) AS j) WHERE j < m)) p
+  WHERE EXISTS (SELECT 1 FROM c WHERE c.lang = p.lang AND c.phrase = part AND 100 * p.a >= 100 * c.a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.part = b.phrase))
+WHERE rank <= 2000
+"""
+
+OP13 = r"""
+WITH RECURSIVE poly(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+few AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT run, k, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS b FROM few),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+near AS (SELECT a.word, a.n, b.word AS o, b.n AS o_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(o_n) AS top FROM near GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * v.n THEN top END AS form_n,
+  CASE WHEN top >= 2 * v.n THEN (SELECT min(o) FROM near WHERE near.word = v.word AND near.o_n = top) END AS form FROM v LEFT JOIN best ON best.word = v.word),
+walk(word, here) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.here WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, here AS root FROM walk JOIN forms ON forms.word = walk.here WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_vp_tree": OP3, "op6_warc": OP6, "op7_url_filters": _op7(), "op8_minhash": OP8}
+    return {"op2_line_dedup": OP2, "op3_vp_tree": OP3, "op6_warc": OP6, "op7_url_filters": _op7(), "op8_minhash": OP8, "op12_collocations": OP12, "op13_spelling_variants": OP13}
