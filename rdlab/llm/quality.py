@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE = 512  #: bytes of a passage
+PASSAGE = 512  #: bytes of a passage at most
+DAMP = 64  #: bytes that a passage counts as longer, so that very short ones say little
 STRETCH = 128  #: passages of a text that are encoded together; repeats are seen within them
 BATCH = 2_000_000  #: bytes encoded at once
 HASHED, KINDS = 512, 8
-WIDTH = HASHED + KINDS + 2
+WIDTH = HASHED + KINDS + 3
 SIZE, GATE = 24, 12  #: of an embedding, and of the two layers of the attention
 
 _KIND = np.full(256, 6, np.uint8)  # other signs
@@ -42,15 +43,15 @@ def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = int(sizes.sum())
     of = np.repeat(np.arange(len(parts)), many)
     start = np.cumsum(sizes) - sizes
-    length = np.full(len(of), PASSAGE)
-    length[np.cumsum(many) - 1] = sizes - (many - 1) * PASSAGE
+    nth = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+    length = (sizes // many)[of] + (nth < (sizes % many)[of])  # all passages of a stretch are about as long
     at = np.repeat(np.arange(len(of)), length)
     gram = data[:n].astype(np.uint32) * np.uint32(0x9E3779B1) + data[1 : n + 1] * np.uint32(0x85EBCA77) + data[2 : n + 2] * np.uint32(0xC2B2AE3D)
     gram ^= gram >> np.uint32(15)
     gram = (gram * np.uint32(0x27D4EB2F)) >> np.uint32(32 - (HASHED - 1).bit_length())
     x = np.empty((len(of), WIDTH), np.float32)
     hashed = np.sqrt(np.bincount(at * HASHED + gram, minlength=len(of) * HASHED).reshape(-1, HASHED).astype(np.float32))
-    x[:, :HASHED] = hashed / np.sqrt((hashed * hashed).sum(1, keepdims=True))
+    x[:, :HASHED] = hashed / np.sqrt(length[:, None] + DAMP)
     kind = _KIND[data[:n]]
     x[:, HASHED : HASHED + KINDS] = np.bincount(at * KINDS + kind, minlength=len(of) * KINDS).reshape(-1, KINDS) / length[:, None]
     gap = (kind == 3) | (kind == 4)
@@ -59,7 +60,12 @@ def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     key = next16[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ next16[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.searchsorted(start, first, "right").astype(np.uint64) * np.uint64(0x165667B19E3779F9)
     again = np.ones(len(first), bool)
     again[np.unique(key, return_index=True)[1]] = False
+    ends = np.flatnonzero(np.r_[gap, True])
+    long = ends[np.searchsorted(ends, first)] - first
+    word = next16.view(np.uint8).reshape(-1, 16) * (np.arange(16) < long[:, None]) | 32
+    twice = np.r_[False, (word[1:] == word[:-1]).all(1)[: max(0, len(word) - 1)]][: len(first)]
     words = np.maximum(1, np.bincount(at[first], minlength=len(of)))
+    x[:, -3] = np.bincount(at[first], weights=twice, minlength=len(of)) / words
     x[:, -2] = np.bincount(at[first], weights=again, minlength=len(of)) / words
     x[:, -1] = np.log1p(length / words) / 4
     return x, of
