@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from rdlab.operators import prefix
+from rdlab.operators.digest import fold_digest
 
 
 def _psnr(sse: Column, n: Column, bits: int, when_equal: Column) -> Column:
@@ -33,10 +35,11 @@ def depth_shift(samples: DataFrame, shift: int, bits: int) -> DataFrame:
     return samples.withColumns({"v": F.shiftright("v", shift), "w": F.least(F.greatest(rounded, F.lit(0)), F.lit(peak))})
 
 
-def sequence_psnr(frames: DataFrame) -> DataFrame:
-    """(seq, frame, psnr) with the running mean over the frames so far."""
-    w = Window.partitionBy("seq").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("running", F.avg("psnr").over(w))
+def sequence_psnr(frames: DataFrame, block: int = prefix.BLOCK) -> DataFrame:
+    """(seq, frame, psnr) with the running mean over the frames so far; a sequence is split over tasks by blocks of frame numbers. Frames without a PSNR don't count."""
+    sums = {"__sum": F.col("psnr"), "__many": F.col("psnr").isNotNull().cast("long")}
+    rows = prefix.running(frames, sums, block)
+    return rows.select(*frames.columns, F.try_divide(F.col("__sum"), F.col("__many")).alias("running"))
 
 
 def field_merge(fields: DataFrame, height: int) -> DataFrame:
@@ -50,29 +53,29 @@ def field_merge_psnr(fields: DataFrame, frames: DataFrame, bits: int, height: in
     return plane_psnr(both.withColumn("plane", F.lit("Y")), bits).select("image", "samples", "sse", "psnr")
 
 
-def frame_bits(counters: DataFrame) -> DataFrame:
-    """(seq, frame, kind, bits): the rise of a bit counter from frame to frame."""
-    w = Window.partitionBy("seq").orderBy("frame")
-    return counters.withColumn("bits", F.col("counter") - F.coalesce(F.lag("counter").over(w), F.lit(0)))
+def frame_bits(counters: DataFrame, block: int = prefix.BLOCK) -> DataFrame:
+    """(seq, frame, kind, bits): the rise of a bit counter from frame to frame, across blocks of frame numbers that are tasks of their own."""
+    rows = prefix.previous(counters, "counter", "__before", block)
+    return rows.withColumn("bits", F.col("counter") - F.coalesce("__before", F.lit(0))).drop("__before")
 
 
-def bits_by_type(counters: DataFrame) -> DataFrame:
+def bits_by_type(counters: DataFrame, block: int = prefix.BLOCK) -> DataFrame:
     """Bits of the I, P and B frames of each sequence."""
     total = {k: F.sum(F.when(F.col("kind") == k, F.col("bits")).otherwise(0)).alias(f"{k.lower()}_bits") for k in ("I", "P", "B")}
-    return frame_bits(counters).groupBy("seq").agg(*total.values(), F.count("*").alias("frames"))
+    return frame_bits(counters, block).groupBy("seq").agg(*total.values(), F.count("*").alias("frames"))
 
 
-def bitrate(counters: DataFrame, frame_rate: float) -> DataFrame:
+def bitrate(counters: DataFrame, frame_rate: float, block: int = prefix.BLOCK) -> DataFrame:
     """kbit/s of each sequence, with and without its duplicate bits."""
-    out = frame_bits(counters).groupBy("seq").agg(F.sum("bits").alias("bits"), F.sum("duplicate").alias("duplicate"), F.count("*").alias("frames"))
+    out = frame_bits(counters, block).groupBy("seq").agg(F.sum("bits").alias("bits"), F.sum("duplicate").alias("duplicate"), F.count("*").alias("frames"))
     rate = lambda bits: bits * frame_rate / F.col("frames") / 1000
     return out.select("seq", rate(F.col("bits")).alias("kbps"), rate(F.col("bits") - F.col("duplicate")).alias("kbps_without_duplicates"))
 
 
 def frame_digest(samples: DataFrame) -> DataFrame:
-    """MD5 over the samples of a frame in the order of planes Y, U, V and places."""
-    order = F.array_sort(F.collect_list(F.struct(F.instr(F.lit("YUV"), F.col("plane")).alias("p"), "idx", "v")))
-    return samples.groupBy("image").agg(F.md5(F.array_join(F.transform(order, lambda x: x["v"].cast("string")), ",").cast("binary")).alias("digest"))
+    """MD5 over the samples of a frame in the order of planes Y, U, V and places; rows are sorted and folded as they come, so a frame of any size fits."""
+    rows = samples.select("image", F.instr(F.lit("YUV"), F.col("plane")).alias("p"), "idx", F.col("v").cast("string").alias("v"))
+    return fold_digest(rows, ["p", "idx"], lambda x: x.as_py().encode())
 
 
 def hdr_to_rg(v: Column) -> tuple[Column, Column, Column]:

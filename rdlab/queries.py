@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from rdlab import fixtures
 from rdlab.functions import paths
-from rdlab.operators import analysis, bdrate, pixels, report, totals, trials
+from rdlab.operators import analysis, bdrate, pixels, report, tiles, totals, trials
 from rdlab.plans import catalog, grid
 from rdlab.schema import BD_METRICS
-from rdlab.sources import files, logs, store
+from rdlab.sources import files, logs, raw, store
 from rdlab.sources.scratch import new_path, written
 from rdlab.streaming import totals as streaming
 
@@ -134,6 +134,19 @@ def fixed_frames(spark, sf_dir):
     return files.fixed_frames(fixtures.read(spark, sf_dir, "documents"), "doc_id", "text", 4096)
 
 
+@query(
+    "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)"
+    " SELECT doc_id, i::BIGINT AS frame_no, substr(h, i * 1024 + 1, 1024) AS frame FROM (SELECT doc_id, h, unnest(range(length(h) // 1024)) AS i FROM d)"
+)
+def raw_frames(spark, sf_dir):
+    # a raw file a document, read back by ranges of 8 KB, which are much smaller than the larger files
+    path = new_path(spark, "raw")
+    docs = fixtures.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
+    raw.write_files(docs, path)
+    rows = raw.read_frames(spark, path, 512, range_bytes=8192, partition_bytes=1 << 20)
+    return rows.select(F.col("name").cast("long").alias("doc_id"), "frame_no", F.hex("frame").alias("frame"))
+
+
 @query(E_ + " SELECT * FROM encodes")
 def read_encodes(spark, sf_dir):
     path = new_path(spark, "encodes")
@@ -537,6 +550,50 @@ def frame_digest(spark, sf_dir):
     return pixels.frame_digest(samples(spark, sf_dir))
 
 
+def _planes(spark, sf_dir):
+    """The samples as arrays: one row an image, nothing exploded."""
+    v = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 32767).cast("int"))
+    rows = fixtures.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), v.alias("v"))
+    return rows.withColumn("w", F.transform("v", lambda x: F.floor(x / 64).cast("int") * 64 + 32))
+
+
+def _tiles(spark, sf_dir):
+    part = lambda name, at, n: F.struct(F.lit(name).alias("plane"), F.slice("v", at, n).alias("v"), F.slice("w", at, n).alias("w"))
+    rows = _planes(spark, sf_dir).select("image", F.explode(F.array(part("Y", 1, 42), part("U", 43, 11), part("V", 54, 11))).alias("x")).select("image", "x.plane", "x.v", "x.w")
+    return rows.select("image", "plane", F.lit(0).alias("line"), F.size("v").alias("width"), tiles.pack("v").alias("v"), tiles.pack("w").alias("w"))
+
+
+@query(SQL["plane_psnr"])
+def plane_psnr_tiles(spark, sf_dir):
+    return tiles.plane_psnr(_tiles(spark, sf_dir)).withColumn("psnr", r6("psnr"))
+
+
+@query(SQL["plane_mse"])
+def plane_mse_tiles(spark, sf_dir):
+    return tiles.plane_mse(_tiles(spark, sf_dir)).withColumn("mse", r6("mse"))
+
+
+@query(SQL["depth_shift_psnr"])
+def depth_shift_psnr_tiles(spark, sf_dir):
+    return tiles.plane_psnr(tiles.depth_shift(_tiles(spark, sf_dir), 8, 16), bits=8).withColumn("psnr", r6("psnr"))
+
+
+@query(SQL["field_merge_psnr"])
+def field_merge_psnr_tiles(spark, sf_dir):
+    # images of 8 lines of 8 samples, in two blocks of 4 lines
+    planes = _planes(spark, sf_dir)
+    line = lambda k: F.slice("w", 8 * k + 1, 8)
+    field = lambda block, k: F.struct(F.lit(block).alias("block"), F.lit(k).alias("field"), F.concat(line(4 * block + k), line(4 * block + k + 2)).alias("w"))
+    fields = planes.select("image", F.explode(F.array(*[field(b, k) for b in (0, 1) for k in (0, 1)])).alias("x")).select("image", "x.block", "x.field", F.lit(8).alias("width"), tiles.pack("x.w").alias("w"))
+    frames = planes.select("image", F.posexplode(F.array(F.slice("v", 1, 32), F.slice("v", 33, 32))).alias("block", "v")).select("image", "block", tiles.pack("v").alias("v"))
+    return tiles.field_merge_psnr(fields, frames, 16).withColumn("psnr", r6("psnr"))
+
+
+@query(SQL["frame_digest"])
+def frame_digest_tiles(spark, sf_dir):
+    return tiles.frame_digest(_tiles(spark, sf_dir))
+
+
 @query(S_ + " SELECT image, idx, v >> 8 AS r, v & 255 AS g, 0 AS b FROM samples")
 def hdr_to_rg(spark, sf_dir):
     r, g, b = pixels.hdr_to_rg(F.col("v"))
