@@ -85,6 +85,44 @@ def target_search(work: DataFrame, measure: Callable[[Iterator[pd.DataFrame]], I
     return state.select("id", "target", "param", "quality", "trials", F.when(F.col("hit"), "hit").when(F.col("trials") > 0, "exhausted").otherwise("no_trial").alias("status"))
 
 
+def search_measured(wanted: DataFrame, low: int, high: int, measure: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], join: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, str], DataFrame], inverse: bool = True) -> DataFrame:
+    """(id, target, param, quality, trials, status): of the whole parameters low to high the one whose measured quality is nearest to each target, by bisection with real trials.
+
+    Of equally near ones a quality that reaches the target wins, then the parameter next to where quality crosses the target.
+
+    Payloads stay in place: join gives each row of (id, param) its payload, shuffling only those narrow rows. wanted: (id, target). All targets of an id share
+    the trials of a round: a parameter is encoded, decoded and measured once, by measure as in run_trials, with columns id, param, psnr and status.
+    Quality must not rise with the parameter if inverse, or not fall if not; an infinite quality is above any target. A failed trial, or an id without
+    payload, ends its search with status error; otherwise it is hit (found) or no_trial for an empty range. keep writes a round's brackets; no payload is in them.
+    """
+    state = wanted.select("id", F.col("target").cast("double").alias("target"), F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("double").alias("quality"), F.lit(0).alias("trials"), F.lit(False).alias("failed"))
+    state = keep(state, "bracket0")
+    rounds = max(0, high - low + 1).bit_length()
+    for i in range(1, rounds + 1):
+        open_ = ~F.col("failed") & (F.col("lo") <= F.col("hi"))
+        middle = state.withColumn("c", F.when(open_, F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")))
+        tries = middle.where("c is not null").select("id", F.col("c").alias("param")).distinct()
+        got = join(tries).mapInPandas(measure, MEASURED_SCHEMA).select(F.col("id").alias("__id"), F.col("param").alias("__c"), F.when(F.col("status") == "ok", F.col("psnr")).alias("q"))
+        got = keep(got, f"measured{i}")
+        tried = middle.join(got, (F.col("id") == F.col("__id")) & (F.col("c") == F.col("__c")), "left")
+        q, c, moved = F.col("q"), F.col("c"), F.col("c").isNotNull()
+        on = (q >= F.col("target")) if inverse else (q < F.col("target"))  # the wanted parameter is not below c
+        far = lambda x: F.abs(x - F.col("target"))
+        reached, had, higher = q >= F.col("target"), F.col("quality") >= F.col("target"), (c > F.col("param")) if inverse else (c < F.col("param"))
+        tie = (far(q) == far(F.col("quality"))) & F.when(reached, ~had | higher).otherwise(~had & ~higher)
+        better = q.isNotNull() & (F.col("quality").isNull() | (far(q) < far(F.col("quality"))) | tie)
+        state = keep(
+            tried.select(
+                "id", "target", F.when(moved & on, c + 1).otherwise(F.col("lo")).alias("lo"), F.when(moved & ~on, c - 1).otherwise(F.col("hi")).alias("hi"),
+                F.when(moved & better, c).otherwise(F.col("param")).alias("param"), F.when(moved & better, q).otherwise(F.col("quality")).alias("quality"),
+                (F.col("trials") + moved.cast("int")).alias("trials"), (F.col("failed") | (moved & q.isNull())).alias("failed"),
+            ),
+            f"bracket{i}",
+        )
+    status = F.when(F.col("failed"), "error").when(F.col("trials") > 0, "hit").otherwise("no_trial")
+    return state.select("id", "target", F.when(~F.col("failed"), F.col("param")).alias("param"), F.when(~F.col("failed"), F.col("quality")).alias("quality"), "trials", status.alias("status"))
+
+
 def target_pick(encodes: DataFrame, metric: str, target: float, tolerance: float) -> DataFrame:
     """Of measured trials the one nearest to the target, per source, codec and subsampling; ties to the smaller parameter."""
     order = Window.partitionBy("sub_sampling", "codec", "source").orderBy(F.abs(F.col(metric) - target), "codec_param", "id")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from rdlab import fixtures
 from rdlab.functions import paths
-from rdlab.operators import analysis, bdrate, pixels, report, tiles, totals, trials
+from rdlab.operators import analysis, bdrate, isolated, pixels, report, tiles, totals, trials
 from rdlab.plans import catalog, grid
 from rdlab.schema import BD_METRICS
-from rdlab.sources import files, logs, raw, store
+from rdlab.sources import buckets, files, logs, raw, store
 from rdlab.sources.scratch import new_path, written
 from rdlab.streaming import totals as streaming
 
@@ -123,6 +123,34 @@ def psnr_wide(spark, sf_dir):
     return logs.psnr_wide(means, ["psnr_y", "mse_y"]).withColumns({k: r6(k) for k in ("psnr_y", "mse_y")})
 
 
+VMAF_FILES = """
+WITH f AS (SELECT coalesce(user_id::VARCHAR, 'none') AS trial, event_id, floor(value)::BIGINT % 100 + 0e0 AS vmaf, (1 + event_id % 9) / 10e0 AS vif, (90 + event_id % 10) / 100e0 AS ssim, (80 + event_id % 10) / 100e0 AS ms_ssim, (70 + event_id % 10) / 100e0 AS adm2 FROM events)
+SELECT trial, count(*)::INTEGER AS frames, arg_min(vmaf, event_id) AS vmaf, arg_min(vif, event_id) AS vif, arg_min(ssim, event_id) AS ssim, arg_min(ms_ssim, event_id) AS ms_ssim, arg_min(adm2, event_id) AS adm2, NULL::VARCHAR AS reason FROM f GROUP BY trial
+"""
+
+
+@query(VMAF_FILES)
+def read_vmaf_files(spark, sf_dir):
+    # a pretty-printed log a user, whose frames are the user's events
+    path, e = new_path(spark, "vmaf"), F.col("event_id")
+    metrics = F.struct((F.floor("value") % 100).cast("double").alias("vmaf"), ((1 + e % 9) / 10.0).alias("vif_scale0"), ((90 + e % 10) / 100.0).alias("ssim"), ((80 + e % 10) / 100.0).alias("ms_ssim"), ((70 + e % 10) / 100.0).alias("adm2"))
+    rows = fixtures.read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(e.alias("frameNum"), metrics.alias("metrics")))).alias("frames"))
+    text = F.to_json(F.struct(F.lit("2.3.1").alias("version"), "frames"), {"pretty": "true"})
+    raw.write_files(rows.select(F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("none")), F.lit(".json")).alias("name"), text.alias("content")), path)
+    return logs.read_vmaf_files(spark, path)
+
+
+@query(
+    _with("psnr_lines")
+    + " SELECT trial::VARCHAR AS trial, split_part(token, ':', 1) AS key, round(avg(split_part(token, ':', 2)::DOUBLE), 6) AS mean, count(*)::BIGINT AS frames, 0::BIGINT AS bad_lines FROM (SELECT trial, unnest(string_split(line, ' ')) AS token FROM psnr_lines) GROUP BY ALL"
+)
+def read_psnr_files(spark, sf_dir):
+    path = new_path(spark, "psnr")
+    rows = fixtures.fixture(spark, sf_dir, "psnr_lines").groupBy("trial").agg(F.array_join(F.collect_list("line"), "\n").alias("content"))
+    raw.write_files(rows.select(F.concat(F.col("trial").cast("string"), F.lit(".log")).alias("name"), "content"), path)
+    return logs.read_psnr_files(spark, path).withColumn("mean", r6("mean"))
+
+
 @query(_with("images") + " SELECT path, width, height, depth, colorspace FROM images")
 def parse_identify(spark, sf_dir):
     text = F.concat(F.lit("warning: x\n"), F.concat_ws(",", "width", "height", "depth", "colorspace"))
@@ -170,6 +198,31 @@ def insert_trials(spark, sf_dir):
     return store.new_trials(arrived, rows.where("target_value < 40"), "arrival").select("id", "arrival", "file_size_bytes")
 
 
+@query(SQL["insert_trials"])
+def insert_trials_bucketed(spark, sf_dir):
+    # the store holds what was there, the arrivals are shuffled into its buckets
+    rows = encodes(spark, sf_dir).select("id", "codec", "target_value", "file_size_bytes")
+    path = new_path(spark, "buckets")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    stored = rows.where("target_value < 40").withColumn("arrival", F.lit(0)).select("id", "arrival", "file_size_bytes")
+    buckets.create(spark, table, path, stored.schema, 16)
+    buckets.insert(table, stored)
+    arrived = rows.withColumn("arrival", F.lit(1)).union(rows.where("codec = 'hevc'").withColumns({"file_size_bytes": F.col("file_size_bytes") + 1, "arrival": F.lit(2)}))
+    buckets.insert(table, arrived)
+    return spark.table(table).where("arrival > 0").select("id", "arrival", "file_size_bytes")
+
+
+@query(E_ + " SELECT id, codec, target_value FROM encodes WHERE id NOT IN (SELECT id FROM encodes WHERE file_size_bytes < 20000)")
+def missing_trials_bucketed(spark, sf_dir):
+    rows = encodes(spark, sf_dir)
+    path = new_path(spark, "buckets")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    stored = rows.where("file_size_bytes < 20000").select("id")
+    buckets.create(spark, table, path, stored.schema, 16)
+    buckets.insert(table, stored.withColumn("arrival", F.lit(1)))
+    return buckets.missing(rows.select("id", "codec", "target_value"), table)
+
+
 def _avg_sql(baseline: str) -> str:
     return f", m AS (SELECT {SLICE}, avg(psnr_avg) AS q, avg(file_size_bytes) AS b, count(*)::BIGINT AS images, avg(vmaf) AS vmaf, avg(compress_rate) AS cr FROM encodes GROUP BY {SLICE}), r AS (SELECT m.*, (m.b - j.b) / j.b * 100 AS reduction FROM m JOIN m j ON j.codec = '{baseline}' AND j.sub_sampling = m.sub_sampling AND j.target_metric = m.target_metric AND j.target_value = m.target_value)"
 
@@ -456,6 +509,40 @@ def target_search_rounds(spark, sf_dir):
     return trials.target_search(work, _quality_by_id, 8, lambda df, i: written(df, f"round{i}"))
 
 
+SWEEP = """
+WITH d AS (SELECT doc_id::VARCHAR AS id, hex(encode(text)) AS h FROM documents),
+b AS (SELECT id, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS v, count(*) AS n FROM (SELECT id, h, unnest(range(length(h) // 2)) AS i FROM d) GROUP BY ALL),
+s AS (SELECT d.id, k, coalesce(sum(n), 0) AS n, coalesce(sum(n * (v & ((1 << k) - 1)) * (v & ((1 << k) - 1))), 0) AS sse FROM d CROSS JOIN range(8) t(k) LEFT JOIN b ON b.id = d.id WHERE h IS NOT NULL GROUP BY d.id, k),
+q AS (SELECT id, k, CASE WHEN sse = 0 THEN 'inf'::DOUBLE ELSE 10 * log10(65025e0 * n / CASE WHEN sse = 0 THEN 1 ELSE sse END) END AS q FROM s),
+p AS (SELECT d.id, target, k, q, row_number() OVER (PARTITION BY d.id, target ORDER BY abs(q - target), q >= target DESC, CASE WHEN q >= target THEN -k ELSE k END) AS rn FROM d CROSS JOIN (VALUES (20e0), (33e0), (41.5e0), (48e0)) t(target) LEFT JOIN q ON q.id = d.id)
+SELECT id, target, k::INTEGER AS param, round(q, 6) AS quality, CASE WHEN q IS NULL THEN 'error' ELSE 'hit' END AS status FROM p WHERE rn = 1
+"""
+
+
+@query(SWEEP)
+def target_search_trials(spark, sf_dir):
+    # each round encodes, decodes and measures; payloads lie in buckets and are never shuffled again
+    docs = fixtures.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("binary").alias("payload"))
+    path = new_path(spark, "payloads")
+    table, many = path.rsplit("/", 1)[1].replace("-", "_"), 16
+    docs.repartition(many, "id").write.format("parquet").option("path", path).bucketBy(many, "id").sortBy("id").saveAsTable(table)
+    with_payload = lambda tries: tries.repartition(many, "id").hint("shuffle_hash").join(spark.table(table), "id").withColumn("codec", F.lit("coarse"))
+    wanted = docs.select("id", F.explode(F.array(*map(F.lit, (20.0, 33.0, 41.5, 48.0)))).alias("target"))
+    found = trials.search_measured(wanted, 0, 7, trials.encode_decode_measure, with_payload, written)
+    return found.select("id", "target", "param", r6("quality").alias("quality"), "status")
+
+
+@query("SELECT doc_id::VARCHAR || ' ' || codec AS id, codec, octet_length(encode(text))::BIGINT AS source_bytes, CASE WHEN codec = 'unknown' OR text IS NULL THEN 'error' ELSE 'ok' END AS status FROM documents CROSS JOIN (VALUES ('zlib'), ('bz2'), ('lzma'), ('unknown')) t(codec)")
+def trials_udtf(spark, sf_dir):
+    isolated.register(spark)
+    docs = fixtures.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").cast("binary").alias("payload"))
+    codec = F.explode(F.array(*map(F.lit, ("zlib", "bz2", "lzma", "unknown")))).alias("codec")
+    plan = docs.select("source", codec, F.octet_length("payload").alias("size"))
+    cost = F.col("size") * F.coalesce(*[F.when(F.col("codec") == k, v) for k, v in isolated.COST.items()], F.lit(0.0))
+    plan = plan.select(F.concat_ws(" ", "source", "codec").alias("trial"), "source", "codec", F.lit(1).alias("param"), cost.alias("cost"))
+    return isolated.run_dealt(plan, docs, 16).select("id", "codec", "source_bytes", "status")
+
+
 @query(E_ + " SELECT sub_sampling, codec, source, codec_param, psnr_avg AS quality, abs(psnr_avg - 33) < 1 AS inside FROM (SELECT *, row_number() OVER (PARTITION BY sub_sampling, codec, source ORDER BY abs(psnr_avg - 33), codec_param, id) AS n FROM encodes) WHERE n = 1")
 def target_pick(spark, sf_dir):
     return trials.target_pick(encodes(spark, sf_dir), "psnr_avg", 33.0, 1.0)

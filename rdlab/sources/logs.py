@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from rdlab.functions.paths import stem
 from rdlab.schema import VMAF_LOG
 
 
@@ -20,6 +22,44 @@ def read_vmaf_json(logs: DataFrame, line_col: str = "line", frame: str = "first"
     return logs.withColumns(values).drop(line_col)
 
 
+def read_vmaf_files(spark: SparkSession, path: str, pattern: str = "*.json", frame: str = "first") -> DataFrame:
+    """(trial, frames, vmaf, vif, ssim, ms_ssim, adm2, reason) of the log files in a folder, pretty-printed or not, one file a trial, named by it.
+
+    A log is read whole, as its format has no lines; a log is bounded by the frames of one trial. A file that isn't JSON, is cut off, or has no frames
+    has nulls and a reason; the others have a null reason.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(_named(F.col("_metadata.file_path")).alias("trial"), F.col("value").alias("line"))
+    kind = "frames array<struct<metrics:struct<vmaf:double,vif_scale0:double,ssim:double,ms_ssim:double,adm2:double>>>, broken string"
+    rows = files.withColumn("__x", F.from_json("line", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    whole = F.col("__x").isNotNull() & F.col("__x.broken").isNull() & (F.size("__x.frames") > 0)
+    reason = F.when(F.trim("line") == "", "empty").when(F.col("__x").isNull() | F.col("__x.broken").isNotNull(), "not whole JSON").when(~F.coalesce(whole, F.lit(False)), "no frames")
+    rows = rows.select("trial", F.when(whole, F.size("__x.frames")).alias("frames"), F.when(whole, F.col("line")).alias("line"), reason.alias("reason"))
+    return read_vmaf_json(rows, "line", frame).select("trial", "frames", "vmaf", "vif", "ssim", "ms_ssim", "adm2", "reason")
+
+
+def read_psnr_files(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
+    """(trial, key, mean, frames, bad_lines): means over the lines of each log file in a folder, one file a trial, named by it.
+
+    Files are read by lines, so a long log is split over tasks. A value that is no number doesn't count for its key; a line without any key:value
+    token is bad, and a trial with bad lines only has one row with a null key.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).text(path).select(_named(F.col("_metadata.file_path")).alias("trial"), F.col("value").alias("line"))
+    lines = files.where(F.trim("line") != "")
+    tokens = F.filter(F.split(F.trim("line"), r"\s+"), lambda t: F.instr(t, ":") > 0)
+    pairs = lines.select("trial", F.explode_outer(F.when(F.size(tokens) > 0, tokens)).alias("token"))
+    text = F.substring_index("token", ":", -1)
+    value = F.when(F.lower(text) == "inf", float("inf")).otherwise(text.try_cast("double"))
+    sums = pairs.groupBy("trial", F.substring_index("token", ":", 1).alias("key")).agg(F.avg(value).alias("mean"), F.count("token").alias("frames"), F.count_if(F.col("token").isNull()).alias("n"))
+    bad = F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).over(Window.partitionBy("trial"))
+    some = F.max(F.col("key").isNotNull()).over(Window.partitionBy("trial"))
+    return sums.select("trial", "key", "mean", "frames", bad.alias("bad_lines"), some.alias("some")).where(F.col("key").isNotNull() | ~F.col("some")).drop("some")
+
+
+def _named(path: Column) -> Column:
+    """The stem of a file's name; paths come escaped like URIs, where + is a plus."""
+    return F.try_url_decode(F.replace(stem(path), F.lit("+"), F.lit("%2B")))
+
+
 def read_psnr_log(logs: DataFrame, id_col: str = "trial", line_col: str = "line") -> DataFrame:
     """(id_col, key, mean): means over a trial's lines of all key:value tokens, the frame counter too. inf stays Infinity."""
     tokens = logs.select(id_col, F.explode(F.split(line_col, " ")).alias("token")).where(F.instr("token", ":") > 0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rdlab.operators.totals import totals
-from rdlab.sources.store import new_trials
 
 
 def stream_totals(stream: DataFrame, path: str, checkpoint: str, metrics: tuple[str, ...] = ("vmaf", "ssim")) -> None:
@@ -28,16 +30,47 @@ def latest_totals(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(rows["batch"] == last).drop("batch")
 
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str, arrival: str) -> None:
-    """Insert each id once, the first arrival of a batch, unless stored; resumable from its checkpoint."""
-    schema = stream.schema
+class FirstOnly(StatefulProcessor):
+    """Lets the first arrival of each id through: of a batch the row of the smallest arrival (ties by any), and none once an id is known."""
 
-    def save(df: DataFrame, batch: int) -> None:
-        # a batch that is repeated after a failure finds the ids of its first attempt only in earlier folders
-        spark = df.sparkSession
-        old = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path) if batch else None
-        stored = old.where(old["batch"] < batch) if old is not None else spark.createDataFrame([], "id string")
-        new_trials(df, stored, arrival).write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+    def __init__(self, arrival: str):
+        self.arrival = arrival
 
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
-    query.awaitTermination()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "yes boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802, ARG002
+        if self.known.exists():
+            return
+        best = None
+        for pdf in rows:
+            both = pdf if best is None else pd.concat([best, pdf])
+            best = both.sort_values(self.arrival, kind="stable").head(1)
+        self.known.update((True,))
+        yield best
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str, arrival: str) -> None:
+    """Insert each id once, the first arrival of the first batch that has it; resumable from its checkpoint.
+
+    Which ids are stored is keyed state on the executors' disks, with changes saved to the checkpoint: a batch costs what it brings, and never reads the
+    store. Files of a batch appear in path at once, and only once. The state keeps an entry for every id for good, as the store does. Null ids are one id.
+    """
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        first = stream.groupBy("id").transformWithStateInPandas(FirstOnly(arrival), stream.schema, "append", "none")
+        query = first.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
