@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rdlab.llm.common import Tables
 
-SHARD_BYTES = 6_000_000  #: text of a shard
-HELD_BYTES = 24_000_000  #: text of all unfinished shards of a task
+SHARD_BYTES = 3_000_000  #: text of a shard
+HELD_BYTES = 12_000_000  #: text of all unfinished shards of a task
 BITS = 26  #: places of a bitmap, as a power of two: 8 MB
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)  #: odd numbers that spread a word's hash by its place in a phrase
 #: A-Z in lower case, what ends a piece as a line feed, a tab as a space.
