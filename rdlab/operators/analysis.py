@@ -66,6 +66,20 @@ def slice_columns(encodes: DataFrame) -> DataFrame:
     return packed.select(*SLICE, *[F.col(f"x.{c}").alias(f"{c}s") for c in names])
 
 
+def slice_blocks(encodes: DataFrame, size: int = 10_000) -> DataFrame:
+    """The columns of slice_columns in blocks of about `size` rows, for slices of any length: (slice keys, block, arrays in the order of sources).
+
+    Blocks of a slice follow each other in the order of sources, from 0. Rows are ranged by slice and source and numbered in their partition, so no task holds a slice.
+    """
+    names = ["metric_value", "file_size_bytes", "vmaf", "source", "compress_rate", "bpp"]
+    rows = encodes.withColumn("metric_value", metric_value()).select(*SLICE, *names)
+    rows = numbered(rows, [*SLICE, "source"], "__at")
+    rows = rows.withColumn("__block", F.floor(F.col("__at") / size).cast("long"))
+    packed = rows.groupBy(*SLICE, "__block").agg(F.array_sort(F.collect_list(F.struct(F.col("source").alias("key"), *names))).alias("x"))
+    nth = F.row_number().over(Window.partitionBy(*SLICE).orderBy("__block")) - 1
+    return packed.select(*SLICE, nth.alias("block"), *[F.col(f"x.{c}").alias(f"{c}s") for c in names])
+
+
 def slice_means(encodes: DataFrame) -> DataFrame:
     """Means of all slices in one aggregate: metric, bytes, count, VMAF, and the mean of the ratios."""
     return encodes.withColumn("metric_value", metric_value()).groupBy(*SLICE).agg(

@@ -6,6 +6,11 @@ all codecs, the baseline's among them; all later steps are expressions on arrays
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,19 +128,95 @@ def paired(long: DataFrame, baseline: str = "jpeg") -> DataFrame:
     return both.select(*CURVE, fit.alias("fit"), F.when(fit, F.greatest("q0", "base.q0")).alias("lo"), F.when(fit, F.least("q1", "base.q1")).alias("hi"), "parts", F.col("base.parts").alias("base_parts"))
 
 
+def slopes(h: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """Slopes of the monotone interpolation at all points of curves of one length: harmonic means inside, one-sided at the ends."""
+
+    def end(h1: np.ndarray, h2: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        e = ((2 * h1 + h2) * d1 - h1 * d2) / (h1 + h2)
+        return np.where(e * d1 < 0, 0.0, np.where((d1 * d2 < 0) & (np.abs(e) > np.abs(3 * d1)), 3 * d1, e))
+
+    h1, h2, d1, d2 = h[:, :-1], h[:, 1:], delta[:, :-1], delta[:, 1:]
+    inner = (3 * h1 + 3 * h2) / ((2 * h2 + h1) / d1 + (h2 + 2 * h1) / d2)
+    return np.c_[end(h[:, 0], h[:, 1], delta[:, 0], delta[:, 1]), inner, end(h[:, -1], h[:, -2], delta[:, -1], delta[:, -2])]
+
+
+def areas(rate: np.ndarray, quality: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The integrals of log10(rate) over quality from lo to hi, of curves of one length (a row each)."""
+    y, h = np.log10(rate), np.diff(quality)
+    delta = np.diff(y) / h
+    d = slopes(h, delta)
+    c, b = (3 * delta - 2 * d[:, :-1] - d[:, 1:]) / h, (d[:, :-1] - 2 * delta + d[:, 1:]) / (h * h)
+    x = quality[:, :-1]
+    s0, s1 = (np.clip(t, lo[:, None], hi[:, None]) - x for t in (x, x + h))
+    area = (s1 - s0) * y[:, :-1] + (s1**2 - s0**2) * d[:, :-1] / 2 + (s1**3 - s0**3) * c / 3 + (s1**4 - s0**4) * b / 4
+    return np.where(s1 > s0, area, 0.0).sum(1)
+
+
+class _Curves:
+    """Curves of a batch as flat arrays; those of one length are handled together."""
+
+    def __init__(self, points: pa.ListArray):
+        at = points.offsets.to_numpy().astype(np.int64)
+        self.start, self.size = at[:-1], np.where(np.asarray(points.is_valid()), np.diff(at), 0)
+        flat = points.values
+        self.rate, self.quality = (pc.fill_null(flat.field(k), np.nan).to_numpy(zero_copy_only=False) for k in ("rate", "quality"))
+
+    def groups(self, among: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for n in np.unique(self.size[among]):
+            rows = np.flatnonzero(among & (self.size == n))
+            at = self.start[rows][:, None] + np.arange(n)
+            yield rows, self.rate[at], self.quality[at]
+
+    def good(self) -> np.ndarray:
+        """Enough points, both coordinates rising strictly, no rate of 0."""
+        out = np.zeros(len(self.size), bool)
+        for rows, rate, quality in self.groups(self.size >= MIN_POINTS):
+            out[rows] = (np.diff(rate) > 0).all(1) & (np.diff(quality) > 0).all(1) & (rate != 0).all(1)
+        return out
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        some = self.size > 0
+        first, last = np.full(len(some), np.nan), np.full(len(some), np.nan)
+        first[some], last[some] = self.quality[self.start[some]], self.quality[(self.start + self.size - 1)[some]]
+        return first, last
+
+    def areas(self, among: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size))
+        for rows, rate, quality in self.groups(among):
+            out[rows] = areas(rate, quality, lo[rows], hi[rows])
+        return out
+
+
+def _gaps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """struct(fit, meet, gap) of each pair of curves: both pass their checks, their qualities overlap, and the mean difference of log10(rate)."""
+    for points, base in batches:
+        a, b = _Curves(points), _Curves(base)
+        fit = a.good() & b.good()
+        (a0, a1), (b0, b1) = a.ends(), b.ends()
+        lo, hi = np.maximum(a0, b0), np.minimum(a1, b1)
+        meet = fit & (lo < hi)
+        with np.errstate(all="ignore"):
+            gap = (a.areas(meet, lo, hi) - b.areas(meet, lo, hi)) / (hi - lo)
+        yield pa.StructArray.from_arrays([pa.array(fit), pa.array(meet), pa.array(gap, pa.float64(), mask=~meet)], ["fit", "meet", "gap"])
+
+
 def bd_rate(long: DataFrame, baseline: str = "jpeg", strict: bool = False) -> DataFrame:
-    """(sub_sampling, metric, codec, source, status, bd_rate), bd_rate in percent, negative where the codec needs fewer bits.
+    """(sub_sampling, metric, codec, source, status, bd_rate, out), bd_rate in percent, negative where the codec needs fewer bits.
 
-    status: ok; exception where a curve fails its checks (bd_rate null); no_overlap where the qualities don't meet, with
-    100 * NO_OVERLAP as bd_rate, which enters means as a number unless strict.
+    status: ok; exception where a curve fails its checks, or its baseline's (bd_rate null); no_overlap where the qualities don't meet, with
+    100 * NO_OVERLAP as bd_rate, which enters means as a number unless strict. out: some codec's status of this source is exception.
+    One shuffle brings the curves of a source together; the areas are one kernel over Arrow batches of pairs of curves.
     """
-    p = paired(long, baseline)
-    status = F.when(~F.col("fit"), "exception").when(F.col("lo") >= F.col("hi"), "no_overlap").otherwise("ok")
-    lo, hi = F.col("lo"), F.col("hi")
-    gap = (clipped_integral(F.col("parts"), lo, hi) - clipped_integral(F.col("base_parts"), lo, hi)) / (hi - lo)
-    value = F.when(status == "ok", 100 * (F.pow(F.lit(10.0), gap) - 1))
+    all_curves = curves(long.repartition(*PAIR))
+    pair = Window.partitionBy(*PAIR)
+    known = F.col("source").isNotNull() & F.col("sub_sampling").isNotNull() & F.col("metric").isNotNull()
+    base = F.first(F.when(known & (F.col("codec") == baseline), F.col("points")), ignorenulls=True).over(pair)
+    p = all_curves.select(*CURVE, "points", base.alias("base")).select(*CURVE, F.arrow_udf(_gaps, "struct<fit:boolean,meet:boolean,gap:double>")("points", "base").alias("x"))
+    status = F.when(~F.col("x.fit"), "exception").when(~F.col("x.meet"), "no_overlap").otherwise("ok")
+    value = F.when(status == "ok", 100 * (F.pow(F.lit(10.0), F.col("x.gap")) - 1))
     value = value if strict else value.when(status == "no_overlap", F.lit(100 * NO_OVERLAP))
-    return p.select(*CURVE, status.alias("status"), value.alias("bd_rate"))
+    out = F.max(~F.col("x.fit")).over(pair)
+    return p.select(*CURVE, status.alias("status"), value.alias("bd_rate"), out.alias("out"))
 
 
 def blacklist(rates: DataFrame) -> DataFrame:
@@ -151,10 +232,9 @@ def blacklist_lines(rates: DataFrame) -> DataFrame:
 
 
 def bd_mean(rates: DataFrame, strict: bool = False) -> DataFrame:
-    """Mean per (sub_sampling, metric, codec) over the sources not on the blacklist; null if none is left."""
-    kept = rates.join(blacklist(rates).withColumn("out", F.lit(True)), ["sub_sampling", "metric", "source"], "left")
-    use = F.col("out").isNull() & (F.col("status") == "ok" if strict else F.lit(True))
-    return kept.groupBy("sub_sampling", "metric", "codec").agg(F.avg(F.when(use, F.col("bd_rate"))).alias("bd_rate"), F.count(F.when(use, 1)).alias("sources"))
+    """Mean per (sub_sampling, metric, codec) over the sources not on the blacklist (column out of bd_rate); null if none is left."""
+    use = ~F.col("out") & (F.col("status") == "ok" if strict else F.lit(True))
+    return rates.groupBy("sub_sampling", "metric", "codec").agg(F.avg(F.when(use, F.col("bd_rate"))).alias("bd_rate"), F.count(F.when(use, 1)).alias("sources"))
 
 
 def bd_matrix(means: DataFrame, metrics: tuple[str, ...] = BD_METRICS) -> DataFrame:

@@ -107,11 +107,9 @@ def dealt(plan: DataFrame, bins: int) -> DataFrame:
     The order comes from a range partitioning of the narrow plan, which must hold no payloads; trial is unique. Null costs count as 0.
     """
     cost = F.coalesce(F.col("cost"), F.lit(0.0))
-    # a text that sorts by falling cost, then by trial
-    key = F.concat(F.lpad((F.lit(10**18) - F.least(F.greatest(cost, F.lit(0.0)), F.lit(1e12)) * 1000).cast("decimal(20,0)").cast("string"), 20, "0"), F.lit(" "), F.col("trial"))
-    rows = numbered(plan.withColumn("cost", cost).withColumn("__key", key), "__key", "__place")
+    rows = numbered(plan.withColumn("cost", cost).withColumn("__less", -cost), ["__less", "trial"], "__place")
     turn = F.col("__place") % (2 * bins)
-    return rows.withColumn("bin", F.when(turn < bins, turn).otherwise(2 * bins - 1 - turn).cast("int")).drop("__key", "__place")
+    return rows.withColumn("bin", F.when(turn < bins, turn).otherwise(2 * bins - 1 - turn).cast("int")).drop("__less", "__place")
 
 
 def run_dealt(plan: DataFrame, payloads: DataFrame, bins: int, function: str = "run_trial") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEYS = ["codec", "sub_sampling", "target_metric", "target_value"]
 
@@ -46,3 +47,12 @@ def metric_over_images(catalog: DataFrame, sums: DataFrame, errors: DataFrame, i
     rows = catalog.join(sums.select(*KEYS, "total_metric"), KEYS, "left").join(errors, ["codec", "sub_sampling"], "left").crossJoin(n)
     by = F.when(F.coalesce("errors", F.lit(0)) > 0, F.col("images")).otherwise(1) if video else F.col("images")
     return rows.select(*KEYS, F.try_divide(F.coalesce("total_metric", F.lit(0.0)), by).alias("metric"), F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
+def metrics_over_images(done: DataFrame, images: DataFrame, metrics: tuple[str, ...] = ("vmaf", "ssim")) -> DataFrame:
+    """(keys, image_metric, video_metric, errors): both forms of metric_over_images from one scan of the completions; errors are those of the codec and subsampling."""
+    sums = totals(done, metrics)
+    errors = F.sum("errors").over(Window.partitionBy("codec", "sub_sampling"))
+    rows = sums.select(*KEYS, "total_metric", errors.alias("errors")).crossJoin(F.broadcast(images.agg(F.count("*").alias("images"))))
+    by = F.when(F.col("errors") > 0, F.col("images")).otherwise(1)
+    return rows.select(*KEYS, F.try_divide("total_metric", F.col("images")).alias("image_metric"), F.try_divide("total_metric", by).alias("video_metric"), "errors")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rdlab.functions.paths import extension, stem
 from rdlab.sources.scratch import written
@@ -47,21 +48,18 @@ def duplicate_ids(encodes: DataFrame) -> DataFrame:
     return encodes.groupBy("id").agg(F.count("*").alias("stored")).where("stored > 1")
 
 
-def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """df with its rows numbered from 0 in the order of a unique column, without one task for all rows.
+def numbered(df: DataFrame, order: str | list[str], name: str = "number") -> DataFrame:
+    """df with its rows numbered from 0 in the order of a column or several, without one task for all rows; equal rows in any order.
 
-    A range partitioning sorts; each partition's count gives the offset of the next. Only one count per partition comes to the driver.
+    A range partitioning sorts; each partition's count gives the offset of the next. Only these offsets, a row for each partition, are broadcast.
     """
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33))
+    order = [order] if isinstance(order, str) else order
+    parts = df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33))
     parts = written(parts, "numbered")  # the places that were counted are the ones that are read
-    offset, total = {}, 0
-    for r in parts.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
-        offset[r["__part"]] = total
-        total += r["n"]
-    if not offset:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    table = F.create_map(*[F.lit(x).cast("long") for kv in offset.items() for x in kv])
-    return parts.withColumn(name, F.element_at(table, F.col("__part").cast("long")) + F.col("__at")).drop("__part", "__at")
+    counts = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = F.broadcast(counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("__before")))
+    return parts.join(offsets, "__part").select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))
 
 
 def frame_batches(frames: DataFrame, step: int, path_col: str = "path") -> DataFrame:
@@ -92,3 +90,10 @@ def trial_modes(grid: DataFrame, mode: str) -> DataFrame:
     else:
         param = F.lit(0.0) if mode == "lossless" else (F.col("param_start") + F.col("param_end")) / 2
     return grid.withColumn("mode", F.lit(mode)).withColumn("first_param", param)
+
+
+def all_modes(grid: DataFrame) -> DataFrame:
+    """Each trial once for every mode, from one grid: as trial_modes for auto, customize and lossless together."""
+    first = {"auto": F.col("param").cast("double"), "customize": (F.col("param_start") + F.col("param_end")) / 2, "lossless": F.lit(0.0)}
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), p.alias("first_param")) for m, p in first.items()])).alias("__m")
+    return grid.select("*", modes).select(*[F.col(f"`{c}`") for c in grid.columns], "__m.mode", "__m.first_param")

@@ -558,8 +558,7 @@ def search_budget(spark, sf_dir):
 @query(IC + " SELECT path, name AS codec, subsampling AS sub_sampling, m AS mode, CASE WHEN m = 'lossless' THEN 0 WHEN m = 'auto' THEN param_start ELSE (param_start + param_end) / 2 END AS first_param FROM images CROSS JOIN catalog CROSS JOIN (VALUES ('auto'), ('customize'), ('lossless')) AS k(m) WHERE media = 'video' AND mode = 'lossy'")
 def trial_modes(spark, sf_dir):
     rows = grid.trial_grid(images(spark, sf_dir), _lossy(spark, "video")).withColumn("param", F.col("param_start"))
-    parts = [grid.trial_modes(rows, m).select("path", "codec", "sub_sampling", "mode", "first_param") for m in ("auto", "customize", "lossless")]
-    return parts[0].union(parts[1]).union(parts[2])
+    return grid.all_modes(rows).select("path", "codec", "sub_sampling", "mode", "first_param")
 
 
 # --- 2.5 samples
@@ -740,10 +739,7 @@ def payload_lossless(spark, sf_dir):
 )
 def metric_over_images(spark, sf_dir):
     done = completions(spark, sf_dir)
-    args = (_keys(spark, sf_dir), totals.total_metric(done), totals.total_errors(done), images(spark, sf_dir))
-    still, video = totals.metric_over_images(*args), totals.metric_over_images(*args, video=True)
-    both = still.withColumnRenamed("metric", "image_metric").join(video.select(*totals.KEYS, F.col("metric").alias("video_metric")), totals.KEYS)
-    return both.withColumns({"image_metric": r6("image_metric"), "video_metric": r6("video_metric")})
+    return totals.metrics_over_images(done, images(spark, sf_dir)).withColumns({"image_metric": r6("image_metric"), "video_metric": r6("video_metric")})
 
 
 def _stream(spark, sf_dir):
@@ -760,12 +756,14 @@ def stream_totals(spark, sf_dir):
     return streaming.latest_totals(spark, path).withColumn("total_metric", F.round("total_metric", 4))
 
 
-@query(C_ + " SELECT concat('e', (event_id % 997)::VARCHAR) AS id, count(*)::BIGINT AS stored FROM completions GROUP BY event_id % 997 HAVING count(*) > 0".replace("count(*)::BIGINT", "1::BIGINT"))
+@query(C_ + " SELECT concat('e', (event_id % 997)::VARCHAR) AS id, min(event_id)::BIGINT AS event_id, arg_min(bytes, event_id)::BIGINT AS bytes FROM completions GROUP BY event_id % 997")
 def stream_upsert(spark, sf_dir):
-    path = new_path(spark, "upsert")
-    rows = _stream(spark, sf_dir).withColumn("id", F.concat(F.lit("e"), (F.col("event_id") % 997).cast("string")))
-    streaming.stream_upsert(rows, path, new_path(spark, "state"), "event_id")
-    return spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("stored"))
+    # all files in one batch, in which the smallest arrival of an id counts
+    source, path = new_path(spark, "completions"), new_path(spark, "upsert")
+    rows = completions(spark, sf_dir).withColumn("id", F.concat(F.lit("e"), (F.col("event_id") % 997).cast("string")))
+    rows.repartition(4, "event_id").write.parquet(source)
+    streaming.stream_upsert(spark.readStream.schema(rows.schema).parquet(source), path, new_path(spark, "state"), "event_id")
+    return spark.read.parquet(path).select("id", F.col("event_id").cast("long").alias("event_id"), F.col("bytes").cast("long").alias("bytes"))
 
 
 @query(C_ + " SELECT concat('e', (event_id % 997)::VARCHAR) AS id, min(event_id)::BIGINT AS event_id, arg_min(status, event_id) AS status FROM completions GROUP BY event_id % 997")
@@ -823,6 +821,15 @@ def slice_columns(spark, sf_dir):
     return rows.select("sub_sampling", "codec", "target_metric", "target_value", F.array_join("sources", ",").alias("sources"), F.array_join(F.transform("file_size_bytess", lambda x: x.cast("long").cast("string")), ",").alias("sizes"))
 
 
+@query(E_ + f" SELECT {SLICE}, string_agg(source, ',' ORDER BY source) AS sources, string_agg(file_size_bytes::BIGINT::VARCHAR, ',' ORDER BY source) AS sizes FROM encodes GROUP BY {SLICE}")
+def slice_blocks(spark, sf_dir):
+    # blocks of 64 rows, joined again for the comparison only
+    rows = analysis.slice_blocks(encodes(spark, sf_dir), 64)
+    part = F.struct("block", F.array_join("sources", ",").alias("sources"), F.array_join(F.transform("file_size_bytess", lambda x: x.cast("long").cast("string")), ",").alias("sizes"))
+    x = rows.groupBy(*analysis.SLICE).agg(F.array_sort(F.collect_list(part)).alias("x"))
+    return x.select(*analysis.SLICE, F.array_join("x.sources", ",").alias("sources"), F.array_join("x.sizes", ",").alias("sizes"))
+
+
 @query(E_ + f" SELECT {SLICE}, round(avg(psnr_avg), 9) AS mean_metric, round(avg(file_size_bytes), 9) AS mean_bytes, count(*)::BIGINT AS images, round(avg(vmaf), 9) AS mean_vmaf, round(avg(compress_rate), 9) AS mean_compress_rate FROM encodes GROUP BY {SLICE}")
 def slice_means(spark, sf_dir):
     rows = analysis.slice_means(encodes(spark, sf_dir))
@@ -896,8 +903,10 @@ _PIVOT = ", ".join(f"round(max(CASE WHEN codec = '{c}' THEN reduction END), 6) A
     f" SELECT sub_sampling, target_value, \"row\", {_PIVOT} FROM x GROUP BY sub_sampling, target_value, \"row\""
 )
 def report_matrix(spark, sf_dir):
-    rows = encodes(spark, sf_dir)
-    out = analysis.report_matrix(analysis.image_reduction(rows), analysis.avg_reduction(analysis.slice_means(rows)), CODECS)
+    # trials, reductions and means are read several times, so each is computed once and written
+    rows = written(encodes(spark, sf_dir).select(*analysis.SLICE, "source", "file_size_bytes", "compress_rate", "psnr_avg", "ssim", "vmaf"), "trials")
+    of_images, means = written(analysis.image_reduction(rows), "reductions"), written(analysis.slice_means(rows), "means")
+    out = analysis.report_matrix(of_images, analysis.avg_reduction(means), CODECS)
     return out.withColumns({c: r6(F.col(f"`{c}`")) for c in CODECS})
 
 
@@ -950,10 +959,14 @@ def _long(spark, sf_dir):
     return bdrate.rd_points_long(bdrate.rd_points(encodes(spark, sf_dir)))
 
 
-def _rates(spark, sf_dir):
+def _marked(spark, sf_dir):
     return bdrate.bd_rate(_long(spark, sf_dir)).withColumn("bd_rate", r6("bd_rate") + 0.0)
 
 
+def _rates(spark, sf_dir):
+    return _marked(spark, sf_dir).drop("out")
+
+
 @query(E_ + " SELECT sub_sampling, codec, source, target_metric, target_value, round(file_size_bytes * 8 / (width * height), 6) AS rate, vmaf, ssim, ms_ssim, vif, psnr_y, psnr_avg FROM encodes")
 def rd_points(spark, sf_dir):
     return bdrate.rd_points(encodes(spark, sf_dir)).withColumn("rate", r6("rate"))
@@ -989,21 +1002,21 @@ def curve_overlap(spark, sf_dir):
     return bdrate.paired(_long(spark, sf_dir)).select(*bdrate.CURVE, "lo", "hi", (F.col("lo") < F.col("hi")).alias("overlap"))
 
 
-@query(PCHIP + f" SELECT {KEY}, i::INTEGER AS seq, round(h, 6) AS h, round(dl, 6) AS delta, round(d, 6) AS d, round(c, 5) + 0e0 AS c, round(b, 4) + 0e0 AS b FROM seg WHERE metric IN ('vmaf', 'psnr_avg')")
-def pchip_slopes(spark, sf_dir):
-    # the join in paired() keeps the pieces one column; an inner explode would infer a filter that repeats their expression
-    pairs = bdrate.paired(_long(spark, sf_dir).where("metric in ('vmaf', 'psnr_avg')"))
-    rows = pairs.select(*bdrate.CURVE, F.posexplode_outer("parts").alias("at", "p")).where("p is not null")
-    return rows.select(*bdrate.CURVE, (F.col("at") + 1).alias("seq"), r6("p.h").alias("h"), r6("p.delta").alias("delta"), r6("p.d").alias("d"), (F.round("p.c", 5) + 0.0).alias("c"), (F.round("p.b", 4) + 0.0).alias("b"))
+SLOPES = PCHIP + f" SELECT {KEY}, i::INTEGER AS seq, " + ", ".join(f"printf('%.5e', {x} + 0e0) AS {c}" for x, c in (("h", "h"), ("dl", "delta"), ("d", "d"), ("c", "c"), ("b", "b"))) + " FROM seg"
 
 
-@query(PCHIP + f" SELECT {KEY}, i::INTEGER AS seq, " + ", ".join(f"printf('%.5e', {x} + 0e0) AS {c}" for x, c in (("h", "h"), ("dl", "delta"), ("d", "d"), ("c", "c"), ("b", "b"))) + " FROM seg")
-def pchip_slopes_all(spark, sf_dir):
+@query(SLOPES)
+def pchip_slopes(spark, sf_dir):
     # all metrics; steps differ by orders of magnitude between them, so values are compared by significant digits
     rows = bdrate.paired(_long(spark, sf_dir)).select(*bdrate.CURVE, F.posexplode_outer("parts").alias("at", "p")).where("p is not null")
     return rows.select(*bdrate.CURVE, (F.col("at") + 1).alias("seq"), *[F.format_string("%.5e", F.col(f"p.{c}") + 0.0).alias(c) for c in ("h", "delta", "d", "c", "b")])
 
 
+@query(SLOPES)
+def pchip_slopes_all(spark, sf_dir):
+    return pchip_slopes(spark, sf_dir)
+
+
 @query(BD + f" SELECT {KEY}, round(va, 6) AS area FROM pair JOIN area USING ({KEY}) WHERE fit AND lo < hi")
 def clipped_integral(spark, sf_dir):
     rows = bdrate.paired(_long(spark, sf_dir)).where("fit and lo < hi")
@@ -1017,7 +1030,7 @@ def bd_rate(spark, sf_dir):
 
 @query(BD + f" SELECT {KEY}, status, CASE WHEN status = 'ok' THEN bd_rate END AS bd_rate FROM bd")
 def bd_rate_strict(spark, sf_dir):
-    return bdrate.bd_rate(_long(spark, sf_dir), strict=True).withColumn("bd_rate", r6("bd_rate") + 0.0)
+    return bdrate.bd_rate(_long(spark, sf_dir), strict=True).withColumn("bd_rate", r6("bd_rate") + 0.0).drop("out")
 
 
 @query(BD + " SELECT sub_sampling, metric, codec, status, count(*)::BIGINT AS curves FROM bd GROUP BY ALL")
@@ -1036,7 +1049,7 @@ def bd_blacklist_lines(spark, sf_dir):
 
 
 def _means(spark, sf_dir):
-    return bdrate.bd_mean(written(_rates(spark, sf_dir), "rates")).withColumn("bd_rate", F.round("bd_rate", 4))
+    return bdrate.bd_mean(_marked(spark, sf_dir)).withColumn("bd_rate", F.round("bd_rate", 4))
 
 
 @query(BD + " SELECT * FROM mean")
