@@ -511,7 +511,7 @@ def target_search_rounds(spark, sf_dir):
 
 SWEEP = """
 WITH d AS (SELECT doc_id::VARCHAR AS id, hex(encode(text)) AS h FROM documents),
-b AS (SELECT id, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS v, count(*) AS n FROM (SELECT id, h, unnest(range(length(h) // 2)) AS i FROM d) GROUP BY ALL),
+b AS (SELECT id, ('0x' || x)::INTEGER AS v, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(h, '..')) AS x FROM d) GROUP BY id, x),
 s AS (SELECT d.id, k, coalesce(sum(n), 0) AS n, coalesce(sum(n * (v & ((1 << k) - 1)) * (v & ((1 << k) - 1))), 0) AS sse FROM d CROSS JOIN range(8) t(k) LEFT JOIN b ON b.id = d.id WHERE h IS NOT NULL GROUP BY d.id, k),
 q AS (SELECT id, k, CASE WHEN sse = 0 THEN 'inf'::DOUBLE ELSE 10 * log10(65025e0 * n / CASE WHEN sse = 0 THEN 1 ELSE sse END) END AS q FROM s),
 p AS (SELECT d.id, target, k, q, row_number() OVER (PARTITION BY d.id, target ORDER BY abs(q - target), q >= target DESC, CASE WHEN q >= target THEN -k ELSE k END) AS rn FROM d CROSS JOIN (VALUES (20e0), (33e0), (41.5e0), (48e0)) t(target) LEFT JOIN q ON q.id = d.id)

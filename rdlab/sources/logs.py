@@ -26,13 +26,13 @@ def read_vmaf_files(spark: SparkSession, path: str, pattern: str = "*.json", fra
     """(trial, frames, vmaf, vif, ssim, ms_ssim, adm2, reason) of the log files in a folder, pretty-printed or not, one file a trial, named by it.
 
     A log is read whole, as its format has no lines; a log is bounded by the frames of one trial. A file that isn't JSON, is cut off, or has no frames
-    has nulls and a reason; the others have a null reason.
+    has nulls and a reason; the others have a null reason. A file of no bytes has no row, as Spark's file sources skip it; such trials show up as missing.
     """
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(_named(F.col("_metadata.file_path")).alias("trial"), F.col("value").alias("line"))
     kind = "frames array<struct<metrics:struct<vmaf:double,vif_scale0:double,ssim:double,ms_ssim:double,adm2:double>>>, broken string"
     rows = files.withColumn("__x", F.from_json("line", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
     whole = F.col("__x").isNotNull() & F.col("__x.broken").isNull() & (F.size("__x.frames") > 0)
-    reason = F.when(F.trim("line") == "", "empty").when(F.col("__x").isNull() | F.col("__x.broken").isNotNull(), "not whole JSON").when(~F.coalesce(whole, F.lit(False)), "no frames")
+    reason = F.when(F.trim(F.regexp_replace("line", r"\s", "")) == "", "empty").when(F.col("__x").isNull() | F.col("__x.broken").isNotNull(), "not whole JSON").when(~F.coalesce(whole, F.lit(False)), "no frames")
     rows = rows.select("trial", F.when(whole, F.size("__x.frames")).alias("frames"), F.when(whole, F.col("line")).alias("line"), reason.alias("reason"))
     return read_vmaf_json(rows, "line", frame).select("trial", "frames", "vmaf", "vif", "ssim", "ms_ssim", "adm2", "reason")
 
