@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rdlab.llm.common import Tables
+from rdlab.llm.common import Tables, small_batches
 
 SHARD_BYTES = 3_000_000  #: text of a shard
-HELD_BYTES = 12_000_000  #: text of all unfinished shards of a task
+HELD_SHARDS = 4  #: text of all unfinished shards of a task, in shards
 BITS = 26  #: places of a bitmap, as a power of two: 8 MB
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)  #: odd numbers that spread a word's hash by its place in a phrase
 #: A-Z in lower case, what ends a piece as a line feed, a tab as a space.
@@ -72,7 +72,15 @@ def build(data: bytes, depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray,
     return words, np.bincount(ids, minlength=len(words) + 1), before, after
 
 
-def index(docs: DataFrame, lang_col: str, text_col: str, depth: int) -> DataFrame:
+def _packed(ids: np.ndarray, most: int) -> bytes:
+    return ids.astype(_kind(most)).tobytes()
+
+
+def _kind(most: int) -> type:
+    return np.uint16 if most < 1 << 16 else np.uint32
+
+
+def index(docs: DataFrame, lang_col: str, text_col: str, depth: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each shard. A null language is `und`, a null text empty; a text may lie in several shards, cut between pieces; a piece is never cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +98,7 @@ def index(docs: DataFrame, lang_col: str, text_col: str, depth: int) -> DataFram
                 one = lambda x, kind: pa.array([x], kind)
                 yield pa.RecordBatch.from_arrays(
                     [one(lang, pa.string()), one([w.decode() for w in words], pa.list_(pa.string())), one(counts[1:].astype(np.int32), pa.list_(pa.int32())), one(places.astype(np.int32), pa.list_(pa.int32())),
-                     one(hashes.astype(np.uint32).tobytes(), pa.binary()), one(before.tobytes(), pa.binary()), one(after.tobytes(), pa.binary())],
+                     one(hashes.astype(np.uint32).tobytes(), pa.binary()), one(_packed(before, len(words)), pa.binary()), one(_packed(after, len(words)), pa.binary())],
                     ["lang", "words", "counts", "places", "hashes", "before", "after"],
                 )
 
@@ -98,7 +106,7 @@ def index(docs: DataFrame, lang_col: str, text_col: str, depth: int) -> DataFram
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = (text.as_py() or "").encode().translate(_TABLE)
                 while data:
-                    room = SHARD_BYTES - size.get(lang, 0)
+                    room = shard_bytes - size.get(lang, 0)
                     cut = len(data)
                     if cut > room:  # between pieces, if need be behind the room
                         cut = data.rfind(b"\n", 0, room) + 1 or (0 if size.get(lang) else data.find(b"\n") + 1 or cut)
@@ -106,9 +114,9 @@ def index(docs: DataFrame, lang_col: str, text_col: str, depth: int) -> DataFram
                         held.setdefault(lang, []).append(data[:cut])
                         size[lang] = size.get(lang, 0) + cut
                         data = data[cut:]
-                    if data or size[lang] >= SHARD_BYTES:
+                    if data or size[lang] >= shard_bytes:
                         yield from shard(lang)
-                while sum(size.values()) > HELD_BYTES:
+                while sum(size.values()) > HELD_SHARDS * shard_bytes:
                     yield from shard(max(size, key=size.__getitem__))
         for lang in [*held]:
             yield from shard(lang)
@@ -182,12 +190,14 @@ def _bitmap(often: DataFrame) -> np.ndarray:
     return out
 
 
-def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[list[DataFrame], DataFrame]:
+def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_words: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """For each length up to max_words a table (lang, phrase, f) of the phrases that occur min_count times, and (lang, n) with the number of words.
 
     All occurrences within pieces count, overlaps included, over all documents. Each table is written; an index row holds one shard.
     """
-    shards = tables.written(index(docs, lang_col, text_col, max_words), "fm-index")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        shards = tables.written(index(docs, lang_col, text_col, max_words, shard_bytes), "fm-index")
     total = tables.written(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "words")
     sums = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("place").alias("place")).where(F.col("f") >= min_count)
     single = shards.select("lang", F.explode(F.arrays_zip("words", "counts", "places")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").cast("long").alias("f"), F.col("x.places").alias("place"))
@@ -195,7 +205,7 @@ def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_wor
     bitmaps: list[np.ndarray] = []
     for _ in range(1, max_words):
         bitmaps = [*bitmaps, _bitmap(out[-1])]
-        shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+        shared = spark.sparkContext.broadcast(bitmaps)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -203,7 +213,7 @@ def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_wor
                     lang, words, counts, hashes, before, after = (b.column(c)[i] for c in ("lang", "words", "counts", "hashes", "before", "after"))
                     number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
                     hashes = number(hashes, np.uint32).astype(np.uint64)
-                    ids, f = enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, np.int32), number(after, np.int32), hashes, shared.value)
+                    ids, f = enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, _kind(len(hashes))), number(after, _kind(len(hashes))), hashes, shared.value)
                     at = place(hashes, ids)
                     for lo in range(0, len(f), 50_000):
                         part = ids[lo : lo + 50_000] - 1
@@ -212,13 +222,14 @@ def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_wor
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.cast(pa.string()), pa.array(f[lo : lo + n], pa.int64()), pa.array(at[lo : lo + n], pa.int32())], ["lang", "phrase", "f", "place"])
 
         rows = shards.select("lang", "words", "counts", "hashes", "before", "after").mapInArrow(run, "lang string, phrase string, f long, place int")
-        out.append(tables.written(sums(rows), "phrases"))
+        with small_batches(spark):
+            out.append(tables.written(sums(rows), "phrases"))
         shared.unpersist()
     tables.drop(shards)
     return [x.drop("place") for x in out], total
 
 
-def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, inside: int = 100, top: int | None = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, inside: int = 100, top: int | None = 2000, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the phrases of each language that hold together best.
 
     A phrase of 2 to max_words words with a = f(phrase) >= min_count is scored by its weakest cut: floor(1000 * a * n / (f(first) * f(rest))), ties to the shortest first part, in decimals of 38 digits.
@@ -226,7 +237,7 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, insi
     Order: score and a descending, phrase ascending by bytes; the first `top` of a language, or all for None. Null languages are `und`, null and empty texts have no words, repeated rows count as often as they occur; an empty table gives an empty one.
     """
     tables = Tables(docs.sparkSession)
-    by_length, total = phrase_counts(docs, tables, min_count, max_words, lang_col, text_col)
+    by_length, total = phrase_counts(docs, tables, min_count, max_words, lang_col, text_col, shard_bytes)
     phrases = reduce(DataFrame.unionByName, by_length)
     words = F.split("phrase", " ")
     longer = reduce(DataFrame.unionByName, by_length[1:], phrases.limit(0)).select("lang", "phrase", F.col("f").alias("a"), words.alias("w"))

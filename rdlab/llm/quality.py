@@ -47,6 +47,8 @@ def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = (sizes // many)[of] + (nth < (sizes % many)[of])  # all passages of a stretch are about as long
     at = np.repeat(np.arange(len(of)), length)
     gram = data[:n].astype(np.uint32) * np.uint32(0x9E3779B1) + data[1 : n + 1] * np.uint32(0x85EBCA77) + data[2 : n + 2] * np.uint32(0xC2B2AE3D)
+    last = start + sizes - 1
+    gram[last] = gram[last - 1] = 0  # these would read on in the next stretch
     gram ^= gram >> np.uint32(15)
     gram = (gram * np.uint32(0x27D4EB2F)) >> np.uint32(32 - (HASHED - 1).bit_length())
     x = np.empty((len(of), WIDTH), np.float32)
@@ -55,15 +57,19 @@ def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     kind = _KIND[data[:n]]
     x[:, HASHED : HASHED + KINDS] = np.bincount(at * KINDS + kind, minlength=len(of) * KINDS).reshape(-1, KINDS) / length[:, None]
     gap = (kind == 3) | (kind == 4)
-    first = np.flatnonzero(~gap & np.r_[True, gap[:-1]])  # words begin here
-    next16 = np.ascontiguousarray(data[first[:, None] + np.arange(16)]).view(np.uint64)
-    key = next16[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ next16[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.searchsorted(start, first, "right").astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    after_gap = np.r_[True, gap[:-1]]
+    after_gap[start] = True
+    first = np.flatnonzero(~gap & after_gap)  # words begin here
+    part = np.searchsorted(start, first, "right") - 1
+    left = (start + sizes)[part] - first  # bytes up to the end of the stretch
+    next16 = np.where(np.arange(16) < left[:, None], data[first[:, None] + np.arange(16)], 0).astype(np.uint8).view(np.uint64)
+    key = next16[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ next16[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ part.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
     again = np.ones(len(first), bool)
     again[np.unique(key, return_index=True)[1]] = False
     ends = np.flatnonzero(np.r_[gap, True])
-    long = ends[np.searchsorted(ends, first)] - first
+    long = np.minimum(ends[np.searchsorted(ends, first)] - first, left)
     word = next16.view(np.uint8).reshape(-1, 16) * (np.arange(16) < long[:, None]) | 32
-    twice = np.r_[False, (word[1:] == word[:-1]).all(1)[: max(0, len(word) - 1)]][: len(first)]
+    twice = np.r_[False, (word[1:] == word[:-1]).all(1) & (part[1:] == part[:-1])][: len(first)]
     words = np.maximum(1, np.bincount(at[first], minlength=len(of)))
     x[:, -3] = np.bincount(at[first], weights=twice, minlength=len(of)) / words
     x[:, -2] = np.bincount(at[first], weights=again, minlength=len(of)) / words
