@@ -7,7 +7,6 @@ Forward-backward labels each word, so code-switched text gets more than one lang
 
 from __future__ import annotations
 
-import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ MEMO_CHARS = 10_000_000  #: and their characters
 PIECE = 500  #: characters of a piece of a line to learn from
 CHUNK = 500  #: texts tagged at once; many together share the steps of long lines
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+LONG = 512  #: words of a line from which it is stepped through in windows side by side
 
 
 def features(word: str) -> list[int]:
@@ -42,7 +41,7 @@ def features(word: str) -> list[int]:
 def core(token: str) -> str:
     """The word of a token: its letters, lower-cased; empty if it has none."""
     t = token.lower()
-    return t if t.isalpha() else "".join(_LETTER.findall(t))
+    return t if t.isalpha() else "".join(filter(str.isalpha, t))
 
 
 class Known:
@@ -117,6 +116,47 @@ class Crf:
                 b = np.where(on, y / y.sum(1, keepdims=True), b)
         return p.transpose(1, 0, 2), pairs
 
+    def long_marginals(self, scores: np.ndarray) -> np.ndarray:
+        """The marginals of one long chain (place, label), the same as by single steps.
+
+        The chain is cut into windows. First the products of their transfer matrices are built for all windows side by side; these carry the forward and
+        backward messages from window to window; then all windows are stepped through side by side, each from the messages at its ends.
+        """
+        t, k = scores.shape
+        size = max(2, int(np.sqrt(t)))
+        n = -(-t // size)
+        e = np.ones((n * size, k))
+        e[:t] = np.exp(scores - scores.max(1, keepdims=True))
+        e, inside = e.reshape(n, size, k), (np.arange(n * size) < t).reshape(n, size)
+        move, start = np.exp(self.move - self.move.max()), np.exp(self.start - self.start.max())
+        unit = lambda x: x / x.sum(-1, keepdims=True)
+        carry = np.tile(np.eye(k), (n, 1, 1))
+        for i in range(size):
+            step = (carry @ move) * e[:, i][:, None, :]
+            step /= step.sum((1, 2), keepdims=True)
+            carry = np.where((inside[:, i] & ((i > 0) | (np.arange(n) > 0)))[:, None, None], step, carry)
+        before, behind = np.empty((n, k)), np.ones((n, k))
+        x = unit(start * e[0, 0])
+        for w in range(n):
+            before[w] = x  # of window 0: the message at its first place
+            x = unit(x @ carry[w])
+        x = np.ones(k)
+        for w in range(n - 1, 0, -1):
+            behind[w] = x
+            x = unit(carry[w] @ x)
+        behind[0] = x
+        a = np.empty((size, n, k))
+        for i in range(size):
+            a[i] = unit(((before if not i else a[i - 1]) @ move) * e[:, i])
+            if not i:
+                a[0, 0] = before[0]
+        p, b = np.empty((size, n, k)), behind
+        for i in range(size - 1, -1, -1):
+            p[i] = unit(a[i] * b)
+            b = np.where(inside[:, i][:, None], unit((e[:, i] * b) @ move.T), b)
+            # places behind the end of the chain don't change the message
+        return p.transpose(1, 0, 2).reshape(n * size, k)[:t]
+
     training = False
 
     def fit(self, chains: list[tuple[list[str], list[int]]], epochs: int = 4, size: int = 64, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Crf:
@@ -191,6 +231,9 @@ class Crf:
             known.rows = np.concatenate([known.rows, self.scores(new)])
         emit, done = known.rows, [None] * len(lines)
         order = sorted((i for i in range(len(lines)) if len(parts[i])), key=lambda i: len(parts[i]))
+        while order and len(parts[order[-1]]) >= LONG:
+            i = order.pop()
+            done[i] = self.long_marginals(emit[parts[i]]).astype(np.float32)
         lo = 0
         while lo < len(order):
             hi = lo + 1

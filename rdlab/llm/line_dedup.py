@@ -3,7 +3,8 @@
 A run is a table of (key, n_docs), bucketed and sorted by key, as many buckets as the session has shuffle partitions. A
 batch of documents first merge-anti-joins the runs' settled keys (found in enough documents by the sum of all runs), then
 adds its own counts as a run of level 0. When a level has `fanout` runs they are merged into one run of the next level.
-Joins and merges of runs meet bucket by bucket, without a shuffle of what runs hold.
+A batch is shuffled into the buckets once and merges with one run after the other, bucket by bucket; merges of runs
+meet in the same way: what runs hold is never shuffled.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class LineRuns:
 
     SCHEMA = "key binary, n_docs bigint"
 
-    def __init__(self, spark: SparkSession, settled: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, settled: int, fanout: int = 2):
         self.spark, self.settled, self.fanout = spark, settled, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
@@ -71,10 +72,11 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """keys: one row (key) for each document and distinct key in it."""
         new = keys.groupBy("key").agg(F.count("*").alias("n_docs"))
-        if self.names:
-            settled = self._sums(self.names).where(F.col("n_docs") >= self.settled).select("key")
-            new = new.hint("merge").join(settled, "key", "left_anti")
-        self._write(new, 0)
+        known = F.lit(0)
+        for i, name in enumerate(self.names):
+            run = self.spark.table(name).select("key", F.col("n_docs").alias(f"run{i}"))
+            new, known = new.hint("merge").join(run, "key", "left"), known + F.coalesce(f"run{i}", F.lit(0))
+        self._write(new.where(known < self.settled).select("key", "n_docs"), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -122,7 +124,7 @@ def _kept(min_chars: int):
     return run
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
     """df with text_col replaced by its kept lines, and n_lines, n_dropped (replacing columns so named).
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at least min_chars
@@ -131,7 +133,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     empty text is one empty line and gives an empty text. Texts of any length are read whole; no row is lost; an empty table stays empty.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.explode(line_keys(F.col(text_col), min_chars)).alias("key"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).alias("batch"))
+    # what a row drops is found by its id and a hash of its text: rows without an id, or of one id, share only with rows of the same text
+    mark = F.xxhash64(F.col(text_col))
+    rows = df.select(F.col(id_col).alias("id"), mark.alias("mark"), F.explode(line_keys(F.col(text_col), min_chars)).alias("key"), F.pmod(F.xxhash64(F.col(id_col), mark), F.lit(batches)).alias("batch"))
     path = new_path(spark, "lines")
     rows.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(rows.schema).parquet(path)
@@ -140,9 +144,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         runs.add(lines.where(F.col("batch") == b).select("key"))
     common = written(runs.found_in(min_docs), "common")
     runs.close()
-    drop = lines.join(common, "key").groupBy("id").agg(F.collect_set("key").alias("drop"))
-    left, right = df.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), drop
-    both = left.join(right, left["id"].eqNullSafe(right["id"]), "left").select("row", "drop")
+    drop = lines.join(common, "key").groupBy("id", "mark").agg(F.collect_set("key").alias("drop"))
+    left, right = df.select(F.col(id_col).alias("id"), mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), drop
+    both = left.join(right, left["id"].eqNullSafe(right["id"]) & (left["mark"] == right["mark"]), "left").select("row", "drop")
     both = both.withColumn("out", _kept(min_chars)(F.col("row").getField(text_col), F.col("drop")))
     own = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     return both.select(*[(F.col("out.kept") if c == text_col else F.col("row").getField(c)).alias(c) for c in own], F.col("out.n_lines").alias("n_lines"), F.col("out.n_dropped").alias("n_dropped"))

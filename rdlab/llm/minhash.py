@@ -281,6 +281,8 @@ def _links(percent: int):
 
         out: set[tuple[int, int]] = set()
         for ids, sets in _groups(batches, ["cluster", "block"], read):
+            once = [*{(i, x.tobytes()): k for k, (i, x) in enumerate(zip(ids.tolist(), sets, strict=True))}.values()]
+            ids, sets = ids[once], sets[once]
             size = np.array([len(x) for x in sets])
             both = _shared(list(sets))
             linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) | (ids[:, None] == ids[None, :])
@@ -312,6 +314,21 @@ def _sets(size: int):
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, found), in which those of an id follow each other, without repeats: an id that many equal rows have is one set."""
+    of, seen = None, set()
+    for b in batches:
+        keep = []
+        for k, (i, x) in enumerate(zip(b.column("id").to_pylist(), b.column("found"), strict=True)):
+            if i != of:
+                of, seen = i, set()
+            digest = xxhash.xxh3_128_digest(x.as_buffer())
+            if digest not in seen:
+                seen.add(digest)
+                keep.append(k)
+        yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
+
+
 def _more(first: int, trees: int):
     """(key, id) of the nodes after START levels in the trees first to trees - 1, for documents that deeper nodes must tell apart."""
 
@@ -410,7 +427,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the same plan at every size: the number of candidates has no bound, so neither side of the exact join is broadcast
     ids = members.select("id")
     near = passing(docs, "id", ids).mapInArrow(_sets(size), "id long, found binary").where("octet_length(found) > 0")
-    found = tables.written(near.hint("merge").join(ids, "id", "left_semi"), "found")
+    found = near.hint("merge").join(ids, "id", "left_semi").select("id", "found")  # comes sorted by id
+    found = tables.written(found.mapInArrow(_once, "id long, found binary"), "found")
     links, groups = [_confirmed(tables, _dealt(members), found, percent)], None
     big = members.where(F.col("m") > min(BLOCK, LEAF))
     if not big.isEmpty():

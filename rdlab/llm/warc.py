@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rdlab.llm.common import written
+
 END = "\r\n\r\n"
 MEMBER_BYTES = 1 << 24  #: members of fewer bytes before compression end in a byte 0
 _START = re.compile(rb"WARC/\d\.\d\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
+_GZIP, _STOP = re.compile(re.escape(_MEMBER)), re.compile(rb"\r?\n\r?\n")
 READ = "file string, offset long, length long, kind string, headers map<string,string>, payload binary, reason string"
 
 
@@ -46,8 +49,10 @@ def with_revisits(df: DataFrame, id_col: str, payload_col: str, min_bytes: int =
     """
     body = F.coalesce(F.col(payload_col), F.lit("").cast("binary"))
     narrow = df.select(F.col(id_col).alias("id"), F.octet_length(body).alias("size"), F.unhex(F.sha1(body)).alias("sha")).where(F.col("size") >= min_bytes).select("id", "sha")
-    last = narrow.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("m")).where("m > 1").select("sha", "last")
-    old = narrow.join(last, "sha").where("id < last").select("id", "sha", "last").distinct()
+    narrow = written(narrow, "hashes")
+    # written, so that the join with a hash that many rows have can be split, and what follows reads it as often as it likes
+    last = written(narrow.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("m")).where("m > 1").select("sha", "last"), "last")
+    old = written(narrow.join(last, "sha").where("id < last").select("id", "sha", "last").distinct(), "older")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("own"), F.sha1(body).alias("hex"), (F.octet_length(body) >= min_bytes).alias("large"))
     both = rows.join(old, (rows["own"] == old["id"]) & (F.unhex("hex") == old["sha"]) & F.col("large"), "left")
     own = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("digest", "record_type", "refers_to")]
@@ -110,12 +115,24 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
-def _record(data: bytes, at: int, last: bool = False) -> tuple[int, dict[str, str], bytes] | str:
+class _Marks:
+    """The next place of a pattern at or behind a place that only grows: each byte is searched once, however often it is asked for."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern):
+        self.data, self.pattern, self.found = data, pattern, pattern.search(data)
+
+    def at(self, place: int) -> re.Match | None:
+        if self.found and self.found.start() < place:
+            self.found = self.pattern.search(self.data, place)
+        return self.found
+
+
+def _record(data: bytes, at: int, stops: _Marks, last: bool = False) -> tuple[int, dict[str, str], bytes] | str:
     """(end, headers, payload) of the plain record at a place, or why it can't be taken. With `last` a record up to the very end of data may lack its line ends."""
     m = _START.match(data, at)
     if not m:
         return "no version line"
-    stop = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 1)
+    stop = stops.at(m.end() - 1)
     if not stop:
         return "no end of headers"
     head = _headers(data[m.end() : stop.start()])
@@ -125,7 +142,8 @@ def _record(data: bytes, at: int, last: bool = False) -> tuple[int, dict[str, st
     end = stop.end() + int(size)
     if end > len(data):
         return "cut short"
-    if data[end : end + 4] != END.encode() and not (last and end == len(data)):
+    ends = 4 if data[end : end + 4] == END.encode() else 2 if data[end : end + 2] == b"\n\n" else 0
+    if not ends and not (last and end == len(data)):
         return "no end of record"
     block = data[stop.end() : end]
     if head.get("content-type", "").startswith("application/http"):
@@ -138,7 +156,7 @@ def _record(data: bytes, at: int, last: bool = False) -> tuple[int, dict[str, st
     if said.lower().startswith("sha1:") and head.get("warc-type") != "revisit":
         if base64.b32encode(hashlib.sha1(block).digest()).decode() != said[5:].upper():
             return "wrong digest"
-    return min(end + 4, len(data)), head, block
+    return end + ends, head, block
 
 
 def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
@@ -160,10 +178,11 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str,
     A record that fails a check (version line, lengths, line ends, payload digest, gzip checksum) is left, and the
     search goes on at the next version line or gzip member behind its first byte. A member may hold several
     records, searched in the same way: its records and gaps all have its offset, the first of them its length, the
-    others length 0. A member without any record is a gap; only its last record may lack its line ends. With members false no gzip
+    others length 0. Lines and records may end in LF alone. A member without any record is a gap; only its last record may lack its line ends. With members false no gzip
     members are looked for: data is the content of one. Data without a byte gives no row.
     """
     at, gap, why, n = 0, None, "", len(data)
+    starts, zipped, stops = _Marks(data, _START), _Marks(data, _GZIP), _Marks(data, _STOP)
     while at < n:
         got: str | Iterator = "no record"
         end = None
@@ -182,7 +201,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str,
                 else:
                     got = early[0][5] if early else "empty member"
         elif data.startswith(b"WARC/", at):
-            r = _record(data, at, not members)
+            r = _record(data, at, stops, not members)
             if isinstance(r, str):
                 got = r
             else:
@@ -192,8 +211,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str,
             if gap is None:
                 gap, why = at, got
             if end is None:
-                a, b = _START.search(data, at + 1), data.find(_MEMBER, at + 1) if members else -1
-                end = min([x for x in (a.start() if a else -1, b) if x > 0], default=n)
+                end = min([m.start() for m in (starts.at(at + 1), zipped.at(at + 1) if members else None) if m], default=n)
             at = end
             continue
         if gap is not None:

@@ -6,12 +6,13 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rdlab.llm import phrases, quality, queries, spelling, toxicity
+from rdlab.llm import langid, line_dedup, minhash, phrases, quality, queries, spelling, toxicity, warc
 from rdlab.llm.common import Tables
 
 SF = "/root/testdata/sf0.01"
@@ -282,3 +283,105 @@ def test_queries_equal_their_sql(spark, name):
     names = [d[0] for d in want.description]
     got = queries.queries()[name](spark, SF).select(*names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+# --- mends of earlier operators
+
+
+def test_only_letters_make_words():
+    assert [langid.core(t) for t in ("²", "½", "ⅷ", "x²", "A_b1", "É.", "漢字", "")] == ["", "", "", "x", "ab", "é", "漢字", ""]
+
+
+def test_numbers_are_und(spark):
+    rows = [(i, ("der hund und die katze " if i % 2 else "the dog and the cat ") * 20, "de" if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = spark.sparkContext.broadcast(langid.train(docs))
+    odd = spark.createDataFrame([(1, "²"), (2, "½ ⅷ 12"), (3, None), (4, ""), (5, "hund katze und")], "doc_id long, text string")
+    got = {r["doc_id"]: r["x"]["lang"] for r in odd.select("doc_id", langid.detect_document("text", model).alias("x")).collect()}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "und", 5: "de"}
+
+
+@pytest.mark.parametrize("labels", [1, 3])
+def test_marginals_equal_all_label_sequences(labels):
+    draw = np.random.default_rng(labels)
+    crf = langid.Crf([f"l{i}" for i in range(labels)])
+    crf.move, crf.start = draw.standard_normal((labels, labels)) * 2, draw.standard_normal(labels) * 2
+    for t in (1, 2, 3, 5):
+        scores = draw.standard_normal((t, labels)) * 3
+        total, want = 0.0, np.zeros((t, labels))
+        for tags in product(range(labels), repeat=t):
+            weight = np.exp(crf.start[tags[0]] + sum(scores[i, g] for i, g in enumerate(tags)) + sum(crf.move[a, b] for a, b in zip(tags, tags[1:], strict=False)))
+            total += weight
+            want[range(t), tags] += weight
+        p, _ = crf.marginals(scores[None], np.array([t]))
+        assert np.allclose(p[0], want / total)
+        assert np.allclose(crf.long_marginals(scores), want / total)
+
+
+@pytest.mark.parametrize("t", [2, 7, 16, 17, 1000, 4099])
+def test_windows_equal_single_steps(t):
+    draw = np.random.default_rng(t)
+    crf = langid.Crf(list("abcd"))
+    crf.move, crf.start, scores = draw.standard_normal((4, 4)) * 2, draw.standard_normal(4), draw.standard_normal((t, 4)) * 4
+    p, _ = crf.marginals(scores[None], np.array([t]))
+    assert np.allclose(p[0], crf.long_marginals(scores), atol=1e-9)
+
+
+def test_damaged_plain_archives_are_salvaged_in_linear_time():
+    import time
+
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1900\r\n\r\n" + b"x" * 2000 + b"\r\n\r\n"
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    began = time.time()
+    rows = list(warc.salvage(bad * 20_000 + good))
+    assert time.time() - began < 10
+    assert [r[2] for r in rows] == ["gap", "record"]
+    assert rows[0][1] == 20_000 * len(bad)
+    # no end of headers anywhere
+    began = time.time()
+    assert [r[2] for r in warc.salvage(b"WARC/1.1\r\nx: y\r\n" * 100_000)] == ["gap"]
+    assert time.time() - began < 10
+
+
+def test_line_feeds_alone_end_records():
+    one = b"WARC/1.0\nWARC-Type: resource\nContent-Length: 3\n\nabc\n\n"
+    rows = list(warc.salvage(one * 3))
+    assert [(r[2], r[4]) for r in rows] == [("record", b"abc")] * 3
+
+
+def test_copies_of_one_id_are_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text)] * 1500 + [(8, text + " w40"), (9, "else")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 7, True), (8, 7, False), (9, 9, True)}
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2], pa.int64()), pa.array([b"a", b"b", b"a", b"a"], pa.binary())], ["id", "found"]), pa.RecordBatch.from_arrays([pa.array([2, 2], pa.int64()), pa.array([b"a", b"c"], pa.binary())], ["id", "found"])]
+    assert [(i, x) for b in minhash._once(iter(batches)) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)] == [(1, b"a"), (1, b"b"), (2, b"a"), (2, b"c")]
+
+
+def test_runs_are_never_shuffled(spark):
+    runs = line_dedup.LineRuns(spark, settled=3, fanout=2)
+    keys = lambda lo, hi: spark.range(lo, hi).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"))
+    plans = []
+    write = runs._write
+
+    def seen(df, level):
+        plans.append((level, df._jdf.queryExecution().executedPlan().toString()))
+        write(df, level)
+
+    runs._write = seen
+    for _ in range(5):
+        runs.add(keys(0, 100).union(keys(0, 50)))
+    for level, plan in plans:
+        assert plan.count("Exchange") == (1 if level == 0 else 0)  # the batch's own shuffle
+    assert any(level > 0 for level, _ in plans[:-1])  # later batches use what is compacted
+    assert {len(x) <= 1 for x in runs.levels} == {True}
+    want = {bytes(r["key"]) for r in keys(0, 100).collect()}
+    assert {bytes(r["key"]) for r in runs.found_in(3).collect()} == want
+    runs.close()
+
+
+def test_rows_without_an_id_drop_their_own_lines_only(spark):
+    rows = [(None, f"common {i % 40}\nown {i}") for i in range(2000)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10)
+    assert {(r["n_lines"], r["n_dropped"]) for r in out.collect()} == {(2, 1)}
+    assert out.where("text like 'own%'").count() == 2000
