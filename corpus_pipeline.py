@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rdlab.llm import langid, line_dedup, minhash, packing, toxicity
-from rdlab.llm.common import written
+from rdlab.llm.common import Tables
 
 MIN_LANGUAGE_SCORE = 0.4
 TOXIC = 0.5
+ARROW_BYTES = "16m"  #: of texts handed to Python at once; long texts make batches of 64 MB otherwise, on both sides of each worker
+
+
+def bounded(spark: SparkSession) -> None:
+    """The session's Arrow batches for the stages that run models over texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def spare(docs: DataFrame, name: str) -> str:
@@ -26,6 +32,7 @@ def spare(docs: DataFrame, name: str) -> str:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (or text), or whose words can't be labelled surely, go; those that switch languages stay. Each row is judged by itself, whatever its id."""
+    bounded(spark)
     model = spark.sparkContext.broadcast(langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
     x = spare(docs, "found")
     found = docs.withColumn(x, langid.detect_document("text", model))
@@ -34,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of TOXIC or more go; a null or empty text stays. Each row is judged by itself, whatever its id."""
+    bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
     model = spark.sparkContext.broadcast(toxicity.train(docs, labels))
     x = spare(docs, "score")
@@ -53,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of the training sequences: one row for each piece of a document."""
+    """The bins of the training sequences: one row for each piece of a document. A null or empty text has one piece of length 0; rows that repeat an id are documents of their own; no rows give no bins."""
     return packing.best_fit_packing(docs.select("doc_id", "source", *packing.sizes(docs)))
 
 
@@ -64,7 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The bins made of all documents of a folder that every stage keeps; nulls, repeats and empty tables are as the stages say. Each stage's table is removed once the next is written."""
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = tables.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        tables.only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
