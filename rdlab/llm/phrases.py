@@ -25,6 +25,8 @@ from rdlab.llm.common import Tables, small_batches
 SHARD_BYTES = 3_000_000  #: text of a shard
 HELD_SHARDS = 4  #: text of all unfinished shards of a task, in shards
 BITS = 26  #: places of a bitmap, as a power of two: 8 MB
+RANGE_BITS = 15
+RANGE = 1 << RANGE_BITS  #: places whose counts meet in a task
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)  #: odd numbers that spread a word's hash by its place in a phrase
 #: A-Z in lower case, what ends a piece as a line feed, a tab as a space.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -190,6 +192,79 @@ def _bitmap(often: DataFrame) -> np.ndarray:
     return out
 
 
+def _blocks(places: np.ndarray, counts: np.ndarray, most: int) -> pa.RecordBatch:
+    """Counts by place as a row (range, block) for each range of places that has any: 2 bytes of place and a count, capped at `most`, for each."""
+    order = np.argsort(places)
+    places = places[order]
+    kind = np.dtype([("place", "<u2"), ("n", np.min_scalar_type(most).newbyteorder("<"))])
+    rows = np.empty(len(places), kind)
+    rows["place"], rows["n"] = places & (RANGE - 1), np.minimum(counts[order], most)
+    first = np.flatnonzero(np.r_[True, places[1:] >> RANGE_BITS != places[:-1] >> RANGE_BITS])[: len(places)]
+    ends = (np.r_[first, len(places)] * kind.itemsize).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array((places[first] >> RANGE_BITS).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(rows)])], ["range", "block"])
+
+
+def _often(most: int):
+    """(range, bits): a bit for each place whose counts reach `most`, from blocks sorted by range, added up as they come."""
+    kind = np.dtype([("place", "<u2"), ("n", np.min_scalar_type(most).newbyteorder("<"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = None, np.zeros(RANGE, np.int64)
+
+        def done() -> pa.RecordBatch:
+            bits = np.packbits(total >= most, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([bits], pa.binary())], ["range", "bits"])
+
+        for b in batches:
+            for r, block in zip(b.column("range").to_pylist(), b.column("block"), strict=True):
+                if r != of:
+                    if of is not None:
+                        yield done()
+                    of, total[:] = r, 0
+                rows = np.frombuffer(block.as_buffer(), kind)
+                np.add.at(total, rows["place"], rows["n"])
+        if of is not None:
+            yield done()
+
+    return run
+
+
+def _likely_pairs(shards: DataFrame, words: np.ndarray, min_count: int) -> np.ndarray:
+    """A bitmap of the places where the pairs of all shards together may reach min_count: all pairs that do, and few others.
+
+    Most pairs of frequent words are rare. Their counts are summed by place, in a few bytes each, so that only likely pairs are shuffled as texts. With
+    many more occurrences than 2^BITS * min_count nearly all pairs are likely; then they are shuffled as they are.
+    """
+    shared = shards.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, hashes, ids, f in _phrases_of(batches, [shared.value]):
+            if len(f):
+                yield _blocks(place(hashes, ids), f, min_count)
+
+    blocks = shards.select(*COLUMNS).mapInArrow(run, "range int, block binary").repartition("range").sortWithinPartitions("range")
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in blocks.mapInArrow(_often(min_count), "range int, bits binary").collect():
+        out[r["range"] * RANGE // 8 :][: RANGE // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared.unpersist()
+    return out
+
+
+COLUMNS = ("lang", "words", "counts", "hashes", "before", "after")
+
+
+def _phrases_of(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[tuple[pa.Scalar, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Language, words, their hashes, and the phrases of len(bitmaps) + 1 words with their counts, of each shard."""
+    number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+    for b in batches:
+        for i in range(b.num_rows):
+            lang, words, counts, hashes, before, after = (b.column(c)[i] for c in COLUMNS)
+            hashes = number(hashes, np.uint32).astype(np.uint64)
+            kind = _kind(len(hashes))
+            ids, f = enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, kind), number(after, kind), hashes, bitmaps)
+            yield lang, words.values, hashes, ids, f
+
+
 def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_words: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """For each length up to max_words a table (lang, phrase, f) of the phrases that occur min_count times, and (lang, n) with the number of words.
 
@@ -205,23 +280,24 @@ def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_wor
     bitmaps: list[np.ndarray] = []
     for _ in range(1, max_words):
         bitmaps = [*bitmaps, _bitmap(out[-1])]
-        shared = spark.sparkContext.broadcast(bitmaps)
+        with small_batches(spark):
+            likely = _likely_pairs(shards, bitmaps[0], min_count) if len(bitmaps) == 1 else None
+        shared = spark.sparkContext.broadcast((bitmaps, likely))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    lang, words, counts, hashes, before, after = (b.column(c)[i] for c in ("lang", "words", "counts", "hashes", "before", "after"))
-                    number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-                    hashes = number(hashes, np.uint32).astype(np.uint64)
-                    ids, f = enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, _kind(len(hashes))), number(after, _kind(len(hashes))), hashes, shared.value)
-                    at = place(hashes, ids)
-                    for lo in range(0, len(f), 50_000):
-                        part = ids[lo : lo + 50_000] - 1
-                        phrase = pc.binary_join_element_wise(*[words.values.take(pa.array(part[:, k])) for k in range(part.shape[1])], " ")
-                        n = len(part)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.cast(pa.string()), pa.array(f[lo : lo + n], pa.int64()), pa.array(at[lo : lo + n], pa.int32())], ["lang", "phrase", "f", "place"])
-
-        rows = shards.select("lang", "words", "counts", "hashes", "before", "after").mapInArrow(run, "lang string, phrase string, f long, place int")
+            bitmaps, likely = shared.value
+            for lang, words, hashes, ids, f in _phrases_of(batches, bitmaps):
+                at = place(hashes, ids)
+                if likely is not None:
+                    ok = marked(likely, at)
+                    ids, f, at = ids[ok], f[ok], at[ok]
+                for lo in range(0, len(f), 50_000):
+                    part = ids[lo : lo + 50_000] - 1
+                    phrase = pc.binary_join_element_wise(*[words.take(pa.array(part[:, k])) for k in range(part.shape[1])], " ")
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.cast(pa.string()), pa.array(f[lo : lo + n], pa.int64()), pa.array(at[lo : lo + n], pa.int32())], ["lang", "phrase", "f", "place"])
+
+        rows = shards.select(*COLUMNS).mapInArrow(run, "lang string, phrase string, f long, place int")
         with small_batches(spark):
             out.append(tables.written(sums(rows), "phrases"))
         shared.unpersist()
