@@ -12,7 +12,7 @@ from rdlab.functions import paths
 from rdlab.operators import analysis, bdrate, isolated, pixels, report, tiles, totals, trials
 from rdlab.plans import catalog, grid
 from rdlab.schema import BD_METRICS
-from rdlab.sources import buckets, files, logs, raw, store
+from rdlab.sources import buckets, database, files, logs, raw, store
 from rdlab.sources.scratch import new_path, written
 from rdlab.streaming import totals as streaming
 
@@ -182,6 +182,14 @@ def read_encodes(spark, sf_dir):
     return store.read_encodes(spark, path)
 
 
+@query(E_ + " SELECT * FROM encodes")
+def read_database(spark, sf_dir):
+    # SQLite files, read back in ranges smaller than a file
+    path = new_path(spark, "database")
+    database.write_database(encodes(spark, sf_dir), path, rows=5000)
+    return database.read_database(spark, path, rows=2000)
+
+
 @query(E_ + " SELECT sub_sampling, count(*)::BIGINT AS trials FROM encodes GROUP BY sub_sampling")
 def create_encodes(spark, sf_dir):
     path = new_path(spark, "store")

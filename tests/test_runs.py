@@ -2,13 +2,15 @@
 
 import json
 import os
+import sqlite3
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rdlab.operators import isolated, trials
-from rdlab.sources import buckets, logs, scratch
+from rdlab.schema import ENCODES
+from rdlab.sources import buckets, database, logs, scratch
 from rdlab.streaming import totals as streaming
 
 
@@ -159,3 +161,37 @@ def test_psnr_files_with_faults(spark, tmp_path):
     assert got[("part", "psnr_avg")] == (20.0, 2, 1)
     assert got[("bad", None)] == (None, 0, 1)
     assert len(got) == 6
+
+
+def _trial(i):
+    return tuple(f"{f.name}{i}" if f.dataType.simpleString() == "string" else i if f.dataType.simpleString() == "int" else i / 2 for f in ENCODES)
+
+
+def test_databases_come_back(spark, tmp_path):
+    rows = [_trial(i) for i in range(250)]
+    database.write_database(spark.createDataFrame(rows, ENCODES).repartition(3), str(tmp_path / "db"), rows=40)
+    assert len(list((tmp_path / "db").glob("*.db"))) >= 7
+    assert not list((tmp_path / "db").glob("_*"))
+    for size in (7, 1000):
+        got = database.read_database(spark, str(tmp_path / "db"), rows=size)
+        assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert got.schema == ENCODES
+
+
+def test_a_database_of_another_program_is_read(spark, tmp_path):
+    path = tmp_path / "results.db"
+    db = sqlite3.connect(path)
+    names = [database._stored(f.name) for f in ENCODES]
+    db.execute(f"CREATE TABLE ENCODES (ENCODED_FILE TEXT, {', '.join(reversed(names))}, TEMP_FOLDER TEXT)")  # other order, no kinds
+    for i in range(5):
+        row = dict(zip(names, _trial(i), strict=True)) | {"WIDTH": float(i), "VMAF": str(i / 2)}
+        db.execute(f"INSERT INTO ENCODES ({', '.join(row)}) VALUES ({', '.join('?' * len(row))})", list(row.values()))
+    db.execute("DELETE FROM ENCODES WHERE ID = 'id2'")
+    db.commit()
+    assert sorted(map(tuple, database.read_database(spark, str(path), rows=2).collect())) == sorted(_trial(i) for i in (0, 1, 3, 4))
+    db.execute("DELETE FROM ENCODES")
+    db.commit()
+    db.close()
+    assert database.read_database(spark, str(path)).isEmpty()
+    with pytest.raises(Exception, match="nothing-here"):
+        database.read_database(spark, str(tmp_path / "nothing-here")).collect()
