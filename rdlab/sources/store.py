@@ -33,7 +33,7 @@ def new_trials(arrived: DataFrame, stored: DataFrame, arrival: str) -> DataFrame
 
 
 def insert_trials(spark: SparkSession, path: str, arrived: DataFrame, arrival: str = "arrival") -> None:
-    """Append what is new; rows whose id is taken are left out and the run goes on."""
+    """Append what is new; rows whose id is taken are left out and the run goes on. One writer at a time: two that run at once may both find an id missing."""
     rows = new_trials(arrived, read_encodes(spark, path), arrival)
     rows.select(*[F.col(f.name).cast(f.dataType) for f in ENCODES]).write.mode("append").partitionBy("sub_sampling").parquet(path)
 
