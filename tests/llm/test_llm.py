@@ -92,8 +92,7 @@ def test_toxicity_reads_long_tokens_whole(spark):
     assert got[6] > got[2]
 
 
-def test_toxicity_keeps_all_terms_and_trigrams(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_TERMS", 1, raising=False)
+def test_toxicity_keeps_terms_with_support_and_all_trigrams(spark):
     rows = [(i, "fine words" + (" idiot scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert {"idiot", "scum", "#diot"} <= toxicity.train(df, df).odds.keys()
