@@ -14,6 +14,8 @@ from pyspark.sql.types import Row
 
 from rdlab.operators.trials import PACKERS
 from rdlab.plans.grid import numbered
+from rdlab.sources import buckets
+from rdlab.sources.scratch import written
 
 SCHEMA = "id string, codec string, param int, source_bytes long, file_size_bytes long, seconds double, status string, error string"
 #: What a codec takes for a byte, against zlib; only the order in which trials are dealt depends on them.
@@ -117,3 +119,13 @@ def run_dealt(plan: DataFrame, payloads: DataFrame, bins: int, function: str = "
     spark = plan.sparkSession
     rows = dealt(plan, bins).join(payloads, "source").select(F.col("trial").alias("id"), "codec", "param", "payload", "cost", "bin")
     return spark.sql(f"SELECT t.* FROM {function}(TABLE(SELECT * FROM {{rows}}) PARTITION BY bin ORDER BY cost DESC) AS t", rows=rows)
+
+
+def resume(plan: DataFrame, payloads: DataFrame, table: str, bins: int, run: int, function: str = "run_trial") -> None:
+    """Run what a bucketed store of results lacks of a plan, and append it with the number of the run; failures are results too, so they aren't run again.
+
+    The store needs the columns of SCHEMA and run (int). Results are written before they are appended, so that a lost task never repeats finished trials of others.
+    """
+    lacking = buckets.missing(plan.withColumn("id", F.col("trial")), table).select(*[F.col(f"`{c}`") for c in plan.columns])
+    done = written(run_dealt(lacking, payloads, bins, function), "results")
+    buckets.insert(table, done.withColumns({"run": F.lit(run), "arrival": F.lit(1)}))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rdlab import fixtures
 from rdlab.functions import paths
@@ -540,17 +541,37 @@ def target_search_trials(spark, sf_dir):
     return found.select("id", "target", "param", r6("quality").alias("quality"), "status")
 
 
-@query("SELECT doc_id::VARCHAR || ' ' || codec AS id, codec, octet_length(encode(text))::BIGINT AS source_bytes, CASE WHEN codec = 'unknown' OR text IS NULL THEN 'error' ELSE 'ok' END AS status FROM documents CROSS JOIN (VALUES ('zlib'), ('bz2'), ('lzma'), ('unknown')) t(codec)")
-def trials_udtf(spark, sf_dir):
-    isolated.register(spark)
+TRIED = "SELECT doc_id::VARCHAR || ' ' || codec AS id, codec, octet_length(encode(text))::BIGINT AS source_bytes, CASE WHEN codec = 'unknown' OR text IS NULL THEN 'error' ELSE 'ok' END AS status{more} FROM documents CROSS JOIN (VALUES ('zlib'), ('bz2'), ('lzma'), ('unknown')) t(codec)"
+
+
+def _trial_plan(spark, sf_dir):
     docs = fixtures.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").cast("binary").alias("payload"))
     codec = F.explode(F.array(*map(F.lit, ("zlib", "bz2", "lzma", "unknown")))).alias("codec")
     plan = docs.select("source", codec, F.octet_length("payload").alias("size"))
     cost = F.col("size") * F.coalesce(*[F.when(F.col("codec") == k, v) for k, v in isolated.COST.items()], F.lit(0.0))
-    plan = plan.select(F.concat_ws(" ", "source", "codec").alias("trial"), "source", "codec", F.lit(1).alias("param"), cost.alias("cost"))
+    return docs, plan.select(F.concat_ws(" ", "source", "codec").alias("trial"), "source", "codec", F.lit(1).alias("param"), cost.alias("cost"))
+
+
+@query(TRIED.format(more=""))
+def trials_udtf(spark, sf_dir):
+    isolated.register(spark)
+    docs, plan = _trial_plan(spark, sf_dir)
     return isolated.run_dealt(plan, docs, 16).select("id", "codec", "source_bytes", "status")
 
 
+@query(TRIED.format(more=", CASE WHEN codec = 'zlib' THEN 1 ELSE 2 END AS run"))
+def trials_resumed(spark, sf_dir):
+    # a run that stops after the trials of one codec; the next one runs only the others
+    isolated.register(spark)
+    docs, plan = _trial_plan(spark, sf_dir)
+    path = new_path(spark, "results")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets.create(spark, table, path, T.StructType([*T.StructType.fromDDL(isolated.SCHEMA), T.StructField("run", T.IntegerType())]), 16)
+    isolated.resume(plan.where("codec = 'zlib'"), docs, table, 16, 1)
+    isolated.resume(plan, docs, table, 16, 2)
+    return spark.table(table).select("id", "codec", "source_bytes", "status", "run")
+
+
 @query(E_ + " SELECT sub_sampling, codec, source, codec_param, psnr_avg AS quality, abs(psnr_avg - 33) < 1 AS inside FROM (SELECT *, row_number() OVER (PARTITION BY sub_sampling, codec, source ORDER BY abs(psnr_avg - 33), codec_param, id) AS n FROM encodes) WHERE n = 1")
 def target_pick(spark, sf_dir):
     return trials.target_pick(encodes(spark, sf_dir), "psnr_avg", 33.0, 1.0)

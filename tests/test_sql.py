@@ -13,7 +13,7 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = ("avg_reduction", "bd_rate", "bd_matrix", "pchip_slopes", "target_search", "plane_psnr", "trial_id", "frame_batches", "read_psnr_log", "stream_totals", "source_alignment")
 NAMES += ("bd_blacklist_lines", "bd_mean_lines", "bd_rate_strict", "create_encodes", "measured_trials", "payload_lossless", "stream_upsert_first", "target_search_rounds", "image_reduction", "distinct_sources", "fixed_frames", "read_vmaf_json_means", "psnr_wide", "sequence_psnr_planes", "trial_grid_16bit", "param_sweep_tables")
 NAMES += ("raw_frames", "plane_psnr_tiles", "plane_mse_tiles", "depth_shift_psnr_tiles", "field_merge_psnr_tiles", "frame_digest", "frame_digest_tiles", "sequence_psnr", "bits_by_type", "bitrate", "read_vmaf_files", "read_psnr_files", "insert_trials_bucketed", "missing_trials_bucketed")
-NAMES += ("target_search_trials", "trials_udtf", "stream_upsert", "read_database", "slice_blocks", "metric_over_images", "trial_modes", "report_matrix", "bd_mean")
+NAMES += ("target_search_trials", "trials_udtf", "trials_resumed", "stream_upsert", "read_database", "slice_blocks", "metric_over_images", "trial_modes", "report_matrix", "bd_mean")
 
 
 def rows(names, values):
