@@ -3,7 +3,7 @@
 A shard is the text of one language in a partition, up to a bounded number of bytes. Its index holds the words that come
 before (and, reversed, after) each suffix in the order of the suffixes. Intervals of phrases are extended by a word on
 either side in both indexes at once; counts of shards are summed by phrase. Each length is one pass: a phrase is extended
-only if all shards together have it often enough, which a bitmap of fixed size tells the shards.
+only if all shards together may have it often enough, which a bitmap of fixed size tells the shards.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -158,8 +157,8 @@ def marked(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bitmap[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def enumerate_phrases(counts: np.ndarray, before: np.ndarray, after: np.ndarray, hashes: np.ndarray, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of len(bitmaps) + 1 words, as rows of word ids, and their counts: those all of whose shorter parts the bitmaps of their lengths hold.
+def enumerate_phrases(counts: np.ndarray, before: np.ndarray, after: np.ndarray, hashes: np.ndarray, bitmaps: list[np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 2 to longest the phrases, as rows of word ids, and their counts: those that the bitmap of their length holds, if there is one, and all of whose shorter parts are held by theirs.
 
     A phrase comes from its end by a word on the left and from its begin by a word on the right; both lead to the same interval.
     """
@@ -170,16 +169,16 @@ def enumerate_phrases(counts: np.ndarray, before: np.ndarray, after: np.ndarray,
     left, right = Side(before), Side(after)
     lo = other = begins[words[:, 0]]
     size = counts[words[:, 0] - 1].astype(np.int64)
-    for k in range(1, len(bitmaps) + 1):
+    for k in range(2, longest + 1):
         owner, word, begin, twin, many = left.extend(lo, size, other)
         ok = often[word]
-        if k > 1:
+        if k > 2:
             ok &= np.isin(begin, right.extend(other, size, lo)[3])
         words, lo, other, size = np.c_[word[ok], words[owner[ok]]], begin[ok], twin[ok], many[ok]
-        if k < len(bitmaps):
-            ok = marked(bitmaps[k], place(hashes, words))
+        if k <= len(bitmaps):
+            ok = marked(bitmaps[k - 1], place(hashes, words))
             words, lo, other, size = words[ok], lo[ok], other[ok], size[ok]
-    return words, size
+        yield words, size
 
 
 def _bitmap(often: DataFrame) -> np.ndarray:
@@ -229,16 +228,17 @@ def _often(most: int):
     return run
 
 
-def _likely_pairs(shards: DataFrame, words: np.ndarray, min_count: int) -> np.ndarray:
-    """A bitmap of the places where the pairs of all shards together may reach min_count: all pairs that do, and few others.
+def _likely(shards: DataFrame, bitmaps: list[np.ndarray], min_count: int) -> np.ndarray:
+    """A bitmap of the places where the phrases of len(bitmaps) + 1 words of all shards together may reach min_count: all phrases that do, and few others.
 
-    Most pairs of frequent words are rare. Their counts are summed by place, in a few bytes each, so that only likely pairs are shuffled as texts. With
-    many more occurrences than 2^BITS * min_count nearly all pairs are likely; then they are shuffled as they are.
+    Most phrases of frequent words are rare. Their counts are summed by place, in a few bytes each, so that only likely phrases are shuffled as texts. With
+    many more occurrences than 2^BITS * min_count nearly all phrases are likely; then they are shuffled as they are.
     """
-    shared = shards.sparkSession.sparkContext.broadcast(words)
+    shared = shards.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes, ids, f in _phrases_of(batches, [shared.value]):
+        for _, _, hashes, found in _phrases_of(batches, shared.value, len(shared.value) + 1):
+            *_, (ids, f) = found
             if len(f):
                 yield _blocks(place(hashes, ids), f, min_count)
 
@@ -253,56 +253,50 @@ def _likely_pairs(shards: DataFrame, words: np.ndarray, min_count: int) -> np.nd
 COLUMNS = ("lang", "words", "counts", "hashes", "before", "after")
 
 
-def _phrases_of(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[tuple[pa.Scalar, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Language, words, their hashes, and the phrases of len(bitmaps) + 1 words with their counts, of each shard."""
+def _phrases_of(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], longest: int) -> Iterator[tuple[pa.Scalar, pa.Array, np.ndarray, Iterator]]:
+    """Language, words, their hashes, and the phrases by length, of each shard."""
     number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
     for b in batches:
         for i in range(b.num_rows):
             lang, words, counts, hashes, before, after = (b.column(c)[i] for c in COLUMNS)
             hashes = number(hashes, np.uint32).astype(np.uint64)
             kind = _kind(len(hashes))
-            ids, f = enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, kind), number(after, kind), hashes, bitmaps)
-            yield lang, words.values, hashes, ids, f
+            yield lang, words.values, hashes, enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, kind), number(after, kind), hashes, bitmaps, longest)
 
 
-def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_words: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[list[DataFrame], DataFrame]:
-    """For each length up to max_words a table (lang, phrase, f) of the phrases that occur min_count times, and (lang, n) with the number of words.
+def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_words: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, phrase, f) of the words, and of the phrases of 2 to max_words words, that occur min_count times, and (lang, n) with the number of all words.
 
-    All occurrences within pieces count, overlaps included, over all documents. Each table is written; an index row holds one shard.
+    All occurrences within pieces count, overlaps included, over all documents. Each table is written; an index row holds one shard. Bitmaps of what is
+    likely come length by length; one last pass gives the phrases of all lengths, whose counts are summed over shards.
     """
     spark = docs.sparkSession
     with small_batches(spark):
         shards = tables.written(index(docs, lang_col, text_col, max_words, shard_bytes), "fm-index")
     total = tables.written(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    sums = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("place").alias("place")).where(F.col("f") >= min_count)
     single = shards.select("lang", F.explode(F.arrays_zip("words", "counts", "places")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").cast("long").alias("f"), F.col("x.places").alias("place"))
-    out = [tables.written(sums(single), "phrases")]
-    bitmaps: list[np.ndarray] = []
-    for _ in range(1, max_words):
-        bitmaps = [*bitmaps, _bitmap(out[-1])]
-        with small_batches(spark):
-            likely = _likely_pairs(shards, bitmaps[0], min_count) if len(bitmaps) == 1 else None
-        shared = spark.sparkContext.broadcast((bitmaps, likely))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bitmaps, likely = shared.value
-            for lang, words, hashes, ids, f in _phrases_of(batches, bitmaps):
-                at = place(hashes, ids)
-                if likely is not None:
-                    ok = marked(likely, at)
-                    ids, f, at = ids[ok], f[ok], at[ok]
-                for lo in range(0, len(f), 50_000):
-                    part = ids[lo : lo + 50_000] - 1
-                    phrase = pc.binary_join_element_wise(*[words.take(pa.array(part[:, k])) for k in range(part.shape[1])], " ")
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.cast(pa.string()), pa.array(f[lo : lo + n], pa.int64()), pa.array(at[lo : lo + n], pa.int32())], ["lang", "phrase", "f", "place"])
-
-        rows = shards.select(*COLUMNS).mapInArrow(run, "lang string, phrase string, f long, place int")
-        with small_batches(spark):
-            out.append(tables.written(sums(rows), "phrases"))
-        shared.unpersist()
+    words = single.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("place").alias("place")).where(F.col("f") >= min_count)
+    words = tables.written(words, "phrases")
+    bitmaps = [_bitmap(words)]
+    with small_batches(spark):
+        for _ in range(1, max_words):
+            bitmaps = [*bitmaps, _likely(shards, bitmaps, min_count)]
+        shared = spark.sparkContext.broadcast(bitmaps)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for lang, known, _, found in _phrases_of(batches, shared.value, len(shared.value)):
+                for ids, f in found:
+                    for lo in range(0, len(f), 50_000):
+                        part = ids[lo : lo + 50_000] - 1
+                        phrase = pc.binary_join_element_wise(*[known.take(pa.array(part[:, k])) for k in range(part.shape[1])], " ")
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.cast(pa.string()), pa.array(f[lo : lo + n], pa.int64())], ["lang", "phrase", "f"])
+
+        rows = shards.select(*COLUMNS).mapInArrow(run, "lang string, phrase string, f long")
+        longer = tables.written(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), "phrases")
+    shared.unpersist()
     tables.drop(shards)
-    return [x.drop("place") for x in out], total
+    return words.select("lang", "phrase", "f"), longer, total
 
 
 def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, inside: int = 100, top: int | None = 2000, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -313,10 +307,9 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, insi
     Order: score and a descending, phrase ascending by bytes; the first `top` of a language, or all for None. Null languages are `und`, null and empty texts have no words, repeated rows count as often as they occur; an empty table gives an empty one.
     """
     tables = Tables(docs.sparkSession)
-    by_length, total = phrase_counts(docs, tables, min_count, max_words, lang_col, text_col, shard_bytes)
-    phrases = reduce(DataFrame.unionByName, by_length)
-    words = F.split("phrase", " ")
-    longer = reduce(DataFrame.unionByName, by_length[1:], phrases.limit(0)).select("lang", "phrase", F.col("f").alias("a"), words.alias("w"))
+    words, longer, total = phrase_counts(docs, tables, min_count, max_words, lang_col, text_col, shard_bytes)
+    phrases = words.unionByName(longer)
+    longer = longer.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     part = lambda lo, many: F.array_join(F.slice("w", lo, many), " ")
     size = F.size("w")
     cuts = longer.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))

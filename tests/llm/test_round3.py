@@ -150,8 +150,8 @@ def test_an_index_finds_all_phrases():
     text = "\n".join(" ".join(draw.choice("abcd") for _ in range(draw.randint(1, 30))) for _ in range(40))
     words, counts, before, after = phrases.build(text.encode(), 4)
     everything = np.full(1 << (phrases.BITS - 3), 255, np.uint8)
-    for k in (2, 3, 4):
-        ids, f = phrases.enumerate_phrases(counts[1:].astype(np.int64), before, after, np.arange(len(words), dtype=np.uint64), [everything] * (k - 1))
+    found = phrases.enumerate_phrases(counts[1:].astype(np.int64), before, after, np.arange(len(words), dtype=np.uint64), [everything], 4)
+    for k, (ids, f) in zip((2, 3, 4), found, strict=True):
         got = {tuple(words[i - 1].decode() for i in row): n for row, n in zip(ids.tolist(), f.tolist(), strict=True)}
         want = Counter(tuple(p[i : i + k]) for p in (line.split() for line in text.split("\n")) for i in range(len(p) - k + 1))
         assert got == want
