@@ -4,7 +4,7 @@ A run is a table of (key, n_docs), bucketed and sorted by key, as many buckets a
 batch of documents first merge-anti-joins the runs' settled keys (found in enough documents by the sum of all runs), then
 adds its own counts as a run of level 0. When a level has `fanout` runs they are merged into one run of the next level.
 A batch is shuffled into the buckets once and merges with one run after the other, bucket by bucket; merges of runs
-meet in the same way: what runs hold is never shuffled.
+meet in the same way: what runs hold is not shuffled. (Where more than two meet, the sums of the first ones are.)
 """
 
 from __future__ import annotations
@@ -47,7 +47,10 @@ class LineRuns:
         """(key, n_docs) over some runs."""
         if not names:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return functools.reduce(DataFrame.union, map(self.spark.table, names)).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+        # a union of bucketed tables passes for partitioned by key, but its scans no longer go by buckets: keys would stay apart
+        both = (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs")
+        join = lambda a, b: a.hint("merge").join(b.withColumnRenamed("n_docs", "more"), "key", "full_outer").select("key", both)
+        return functools.reduce(join, map(self.spark.table, names))
 
     def _write(self, df: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
