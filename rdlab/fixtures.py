@@ -27,8 +27,8 @@ m AS (
     (2800 + 115 * lvl + cents % 121 + CASE WHEN sk % 50 = 49 AND cx = 6 THEN 4000 ELSE 0 END) / 100e0 AS psnr_avg,
     CAST(floor((6000 + 1500 * lvl + 250 * lvl * lvl) * (110 - 7 * cx) / 100e0) AS DOUBLE) + q % 97 AS file_size_bytes
   FROM v)
-SELECT concat('IMG_', lpad(CAST(sk AS STRING), 4, '0'), '_png_768x512_', codec, '_psnr_avg_', CAST(CAST(20 + 5 * lvl AS DOUBLE) AS STRING), '_', sub_sampling, '_0_') AS id,
-  concat('IMG_', lpad(CAST(sk AS STRING), 4, '0'), '.png') AS source, 768 AS width, 512 AS height, 8 AS depth, codec,
+SELECT concat('IMG_', lpad(CAST(sk AS STRING), CAST(greatest(4, length(CAST(sk AS STRING))) AS INT), '0'), '_png_768x512_', codec, '_psnr_avg_', CAST(CAST(20 + 5 * lvl AS DOUBLE) AS STRING), '_', sub_sampling, '_0_') AS id,
+  concat('IMG_', lpad(CAST(sk AS STRING), CAST(greatest(4, length(CAST(sk AS STRING))) AS INT), '0'), '.png') AS source, 768 AS width, 512 AS height, 8 AS depth, codec,
   CAST(CASE WHEN cx IN (3, 4, 5) THEN 60 - 5 * lvl ELSE 5 + 9 * lvl END AS DOUBLE) AS codec_param, 'psnr_avg' AS target_metric, CAST(20 + 5 * lvl AS DOUBLE) AS target_value,
   vmaf, ssim, ms_ssim, vif, adm2, psnr_y, psnr_y + 1.5e0 AS psnr_u, psnr_y + 2e0 AS psnr_v, psnr_avg,
   round(65025e0 / power(10e0, psnr_y / 10e0), 6) AS mse_y, round(65025e0 / power(10e0, (psnr_y + 1.5e0) / 10e0), 6) AS mse_u, round(65025e0 / power(10e0, (psnr_y + 2e0) / 10e0), 6) AS mse_v,
