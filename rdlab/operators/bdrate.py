@@ -6,6 +6,7 @@ all codecs, the baseline's among them; all later steps are expressions on arrays
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rdlab.schema import BD_METRICS
@@ -66,20 +68,31 @@ def _end_slope(h1: Column, h2: Column, d1: Column, d2: Column) -> Column:
     return F.when(e * d1 < 0, F.lit(0.0)).when((d1 * d2 < 0) & (F.abs(e) > F.abs(3 * d1)), 3 * d1).otherwise(e)
 
 
-def _pieces(points: Column) -> Column:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _logs(rates: pa.Array) -> pa.Array:
+    """log10 of each rate by the C library, null where there is none. Java's may differ in the last bit, which cubic terms that nearly cancel make large."""
+    flat = rates.flatten()
+    coded = flat.dictionary_encode()
+    logs = pa.array([math.log10(x) if x is not None and x > 0 else None for x in coded.dictionary.to_pylist()], pa.float64())
+    ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(rates), 0).to_numpy(zero_copy_only=False))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), logs.take(coded.indices), mask=rates.is_null() if rates.null_count else None)
+
+
+def _pieces(points: Column, logs: Column) -> Column:
     """The steps (x, y, h, delta) of log10(rate) over quality; nulls where a curve can't have them."""
     return F.transform(
         _steps(points),
-        lambda s: F.struct(
-            s["a"]["quality"].alias("x"), F.log10(s["a"]["rate"]).alias("y"), (s["b"]["quality"] - s["a"]["quality"]).alias("h"),
-            F.try_divide(F.log10(s["b"]["rate"]) - F.log10(s["a"]["rate"]), s["b"]["quality"] - s["a"]["quality"]).alias("delta"),
+        lambda s, i: F.struct(
+            s["a"]["quality"].alias("x"), F.get(logs, i).alias("y"), (s["b"]["quality"] - s["a"]["quality"]).alias("h"),
+            F.try_divide(F.get(logs, i + 1) - F.get(logs, i), s["b"]["quality"] - s["a"]["quality"]).alias("delta"),
         ),
     )
 
 
 def pchip(valid: DataFrame) -> DataFrame:
     """Curves with good (they passed their checks) and parts: for the good ones an array of (x, y, h, delta, d, c, b), the cubic pieces of the monotone interpolation."""
-    with_steps = valid.withColumn("steps", _pieces(F.when(F.col("good"), F.col("points"))))
+    points = F.when(F.col("good"), F.col("points"))
+    with_steps = valid.withColumn("logs", _logs(F.transform(points, lambda p: p["rate"]))).withColumn("steps", _pieces(points, F.col("logs")))
     s, n = F.col("steps"), F.size("steps")
     first = _end_slope(s[0]["h"], s[1]["h"], s[0]["delta"], s[1]["delta"])
     last = _end_slope(F.get(s, n - 1)["h"], F.get(s, n - 2)["h"], F.get(s, n - 1)["delta"], F.get(s, n - 2)["delta"])
@@ -98,7 +111,7 @@ def pchip(valid: DataFrame) -> DataFrame:
             ((F.get(d, i) - 2 * p["delta"] + F.get(d, i + 1)) / (p["h"] * p["h"])).alias("b"),
         ),
     )
-    return sloped.withColumn("parts", parts).drop("steps", "slopes")
+    return sloped.withColumn("parts", parts).drop("logs", "steps", "slopes")
 
 
 def clipped_integral(parts: Column, lo: Column, hi: Column) -> Column:
