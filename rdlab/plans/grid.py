@@ -15,8 +15,10 @@ MAX_ID = 255
 def trial_grid(images: DataFrame, catalog: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Every image with every codec row, and with every target if given (customize); else target 0 of psnr_avg.
 
-    Catalog and targets are code tables of a few hundred rows, so each image is repeated in place, without a shuffle.
+    Catalog and targets are code tables of a few hundred rows, so each image is repeated in place and the grid is never shuffled. The images are, before
+    they are repeated: a table of them is small against the grid, and the few tasks that scan it would make all of the grid.
     """
+    images = images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     codecs = F.broadcast(catalog.select(F.col("name").alias("codec"), "inverse", "param_start", "param_end", "ab_tol", F.col("subsampling").alias("sub_sampling")))
     grid = images.crossJoin(codecs)
     if targets is None:
@@ -30,9 +32,14 @@ def param_sweep(catalog: DataFrame, steps: int) -> DataFrame:
     return rows.withColumn("param", F.col("param_start") + F.col("step") * (F.col("param_end") - F.col("param_start")) / max(1, steps - 1))
 
 
-def trial_id(path: Column, size: list[Column], codec: Column, metric: Column, target: Column, sub: Column, param: Column) -> Column:
-    """{stem}_{ext}_{w}x{h}[x{frames}]_{codec}_{metric}_{target}_{sub}_{param}_"""
-    return F.concat_ws("_", stem(path), F.substring(extension(path), 2, 1000), F.concat_ws("x", *[s.cast("string") for s in size]), codec, metric, target.cast("string"), sub, param.cast("string"), F.lit(""))
+def image_part(path: Column, size: list[Column]) -> Column:
+    """{stem}_{ext}_{w}x{h}[x{frames}]: the part of a trial's id that all trials of an image share; it takes patterns, so it is best made before the grid."""
+    return F.concat_ws("_", stem(path), F.substring(extension(path), 2, 1000), F.concat_ws("x", *[s.cast("string") for s in size]))
+
+
+def trial_id(image: Column, codec: Column, metric: Column, target: Column, sub: Column, param: Column) -> Column:
+    """{image}_{codec}_{metric}_{target}_{sub}_{param}_ from image_part"""
+    return F.concat_ws("_", image, codec, metric, target.cast("string"), sub, param.cast("string"), F.lit(""))
 
 
 def id_status(name: Column) -> Column:
