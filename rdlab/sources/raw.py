@@ -25,7 +25,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Ranges(InputPartition):
-    """Frames [first, last) of some files."""
+    """Frames [first, last) of some files, by their names in the folder."""
 
     parts: list[tuple[str, int, int]]
 
@@ -58,15 +58,16 @@ class FrameReader(DataSourceReader):
                 if held and room < (hi - lo) * self.size:
                     out.append(Ranges(held))
                     held, room = [], self.partition_bytes
-                held.append((f.path, lo, hi))
+                held.append((f.base_name, lo, hi))
                 room -= (hi - lo) * self.size
         return [*out, Ranges(held)] if held else out or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        where, _ = _open(self.path)
+        where, root = _open(self.path)
+        folder = root if where.get_file_info(root).type == fs.FileType.Directory else posixpath.dirname(root)
         many = max(1, BATCH_BYTES // self.size)
-        for path, lo, hi in partition.parts:
-            name = unquote(posixpath.basename(path))
+        for base, lo, hi in partition.parts:
+            path, name = posixpath.join(folder, base), unquote(base)
             with where.open_input_file(path) as f:
                 for at in range(lo, hi, many):
                     n = min(many, hi - at)
@@ -79,7 +80,10 @@ class FrameReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """Files to move into place, by (present, later) path; or a folder all of whose files keep their names, so that the message doesn't grow with them."""
+
     files: list[tuple[str, str]]
+    folder: str | None = None
 
 
 class FileWriter(DataSourceArrowWriter):
@@ -90,23 +94,24 @@ class FileWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         where, root = _open(self.path)
-        hidden = f"{root}/_new-{self.job}"
+        folder = uuid.uuid4().hex  # of this try only
+        hidden = f"{root}/_new-{self.job}/{folder}"
         where.create_dir(hidden)
-        out: list[tuple[str, str]] = []
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
-                part = f"{hidden}/{uuid.uuid4().hex}"
-                with where.open_output_stream(part) as f:
+                with where.open_output_stream(f"{hidden}/{quote(name, safe=' ')}") as f:
                     if content.is_valid:
                         f.write(content.as_buffer())
-                out.append((part, f"{root}/{quote(name, safe=' ')}"))
-        return Written(out)
+        return Written([], folder)
 
     def commit(self, messages: list[Written | None]) -> None:
         where, root = _open(self.path)
         for m in messages:
             for part, name in m.files if m else []:
                 where.move(part, name)
+            if m and m.folder:
+                for f in where.get_file_info(fs.FileSelector(f"{root}/_new-{self.job}/{m.folder}")):
+                    where.move(f.path, f"{root}/{f.base_name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
