@@ -4,7 +4,8 @@ A document's path in a tree picks positions of its signature, the same ones for
 documents that agree there share the child. Small nodes are compared exhaustively, large ones branch on,
 and independent trees repeat this to the target recall. Documents of a node whose signatures look similar, and those of a node
 that stays large, become candidates: their connected groups hold every true link. Each group is then compared on the full sets, all
-pairs of a small one. A large group is dealt to blocks, then its unlinked representatives, and what stays unlinked walks deeper trees.
+pairs of a small one. A large group is dealt to blocks, then its unlinked representatives. If it stays in pieces, all pairs of its blocks are
+compared, or, in a very large group, its documents walk deeper trees.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ WIDTH = 128  #: positions of a signature
 START = 2  #: levels walked before nodes are counted
 LEAF = 2048  #: documents of a node that one task compares
 BLOCK = 256  #: documents of a group that are compared on full sets at once, at most LEAF
+PAIRED = 32  #: blocks of a group up to which all pairs of them are compared; a set is shuffled as many times for that, while a document of deeper trees comes to 119 nodes
 DEEP = 4  #: levels after which the documents of a large node are candidates as they are
 DEPTH = 14  #: levels after which a large node of the deeper trees is compared in blocks
 _RNG = np.random.default_rng(20)
@@ -251,8 +253,8 @@ def _clusters(cut: int):
     return run
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections: the product of the 0/1 matrix of shingles found in two sets or more with its transpose."""
+def _shared(sets: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
+    """Sizes of all pairwise intersections, or those of `rows` with all: the product of the 0/1 matrix of shingles found in two sets or more with its transpose."""
     n, flat = len(sets), np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     kinds, at, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -261,12 +263,12 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     owner, at = owner[keep], place[at[keep]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    out, width = np.zeros((n, n)), max(64, 4_000_000 // n)
+    out, width = np.zeros((n if rows is None else len(rows), n)), max(64, 4_000_000 // n)
     for lo in range(0, int((times > 1).sum()), width):
         a, b = np.searchsorted(at, [lo, lo + width])
         m = np.zeros((n, width), np.float32)
         m[owner[a:b], at[a:b] - lo] = 1
-        out += m @ m.T
+        out += (m if rows is None else m[rows]) @ m.T
     return out
 
 
@@ -298,6 +300,37 @@ def _links(percent: int):
     return run
 
 
+def _joins(percent: int):
+    """Links (root, smallest root) of the roots that confirmed pairs connect within each block of a cluster. Documents of the most frequent root aren't compared with each other: they are linked already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(b: pa.RecordBatch) -> list[np.ndarray]:
+            sets = np.empty(b.num_rows, object)
+            sets[:] = [np.frombuffer(x, np.uint64) for x in b.column("found").to_pylist()]
+            return [b.column("root").to_numpy(), sets]
+
+        out: set[tuple[int, int]] = set()
+        for roots, sets in _groups(batches, ["cluster", "block"], read):
+            names, at, many = np.unique(roots, return_inverse=True, return_counts=True)
+            rows = np.flatnonzero(at != many.argmax())
+            if not len(rows):
+                continue
+            size = np.array([len(x) for x in sets])
+            both = _shared(list(sets), rows)
+            i, j = np.nonzero(100 * both >= percent * (size[rows][:, None] + size[None, :] - both))
+            touch = np.zeros((len(names), len(names)), bool)
+            touch[at[rows[i]], at[j]] = touch[at[j], at[rows[i]]] = True
+            for group in _reached(lambda k, touch=touch: touch[k], len(names)):
+                out.update((int(names[k]), int(names[group[0]])) for k in group[1:])
+            if len(out) > 20_000:
+                yield _batch(out)
+                out = set()
+        if out:
+            yield _batch(out)
+
+    return run
+
+
 def _batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -379,10 +412,19 @@ def _dealt(items: DataFrame) -> DataFrame:
     return items.withColumn("block", F.when(F.col("m") > most, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / most))).otherwise(F.lit(0)).cast("long"))
 
 
+def _between(tables: Tables, rooted: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between the roots of rooted (cluster, id, root, size), size the number of documents of the cluster: each pair of blocks of a cluster is compared on the full sets."""
+    spread = rooted.withColumn("blocks", F.ceil(F.col("size") / min(BLOCK, LEAF))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spread = spread.select("cluster", "id", "root", "blocks", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    items = spread.select("cluster", (F.greatest("own", "other") * F.col("blocks") + F.least("own", "other")).alias("block"), "id", "root")
+    sets = items.join(found, "id").select("cluster", "block", "root", "found").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    return tables.written(sets.mapInArrow(_joins(percent), "a long, b long").distinct(), "links")
+
+
 def _rooted(tables: Tables, members: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The components of the links so far, and members (cluster, id) with root, the smallest id reached from it, and m, the number of roots of the cluster."""
+    """The components of the links so far, and members (cluster, id, size) with root, the smallest id reached from it, and m, the number of roots of the cluster."""
     groups = tables.written(components(functools.reduce(DataFrame.union, links)), "groups")
-    rooted = tables.written(members.join(groups, members["id"] == groups["node"], "left").select("cluster", "id", F.coalesce("component", "id").alias("root")), "rooted")
+    rooted = tables.written(members.join(groups, members["id"] == groups["node"], "left").select("cluster", "id", "size", F.coalesce("component", "id").alias("root")), "rooted")
     m = rooted.where("id = root").groupBy("cluster").agg(F.count("*").alias("m"))
     return groups, rooted.join(m, "cluster")
 
@@ -432,7 +474,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links, groups = [_confirmed(tables, _dealt(members), found, percent)], None
     big = members.where(F.col("m") > min(BLOCK, LEAF))
     if not big.isEmpty():
-        big, before = big.select("cluster", "id"), None
+        big, before = big.select("cluster", "id", F.col("m").alias("size")), None
         while True:  # rounds over the roots of large groups, as long as these get far fewer
             groups, rooted = _rooted(tables, big, links)
             left = rooted.where("m > 1")
@@ -442,11 +484,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             before = most, n
             links.append(_confirmed(tables, _dealt(left.where("id = root").select("cluster", "id", "m")), found, percent))
         if n or large is not None:
-            # groups with several roots: their documents walk more and deeper trees
-            again = left.select("id", "root").join(sigs.select("id", "sig"), "id")
+            # groups with several roots: all pairs of their blocks; documents of very large ones walk more and deeper trees
+            paired = F.col("size") <= PAIRED * min(BLOCK, LEAF)
+            links, groups = [*links, _between(tables, left.where(paired), found, percent)], None
+            again = left.where(~paired).select("id", "root").join(sigs.select("id", "sig"), "id")
             more = _deeper(tables, again, found, max(few, many), cut, percent)
             if more is not None:
-                links, groups = [*links, more], None
+                links = [*links, more]
     if groups is None:
         groups = tables.written(components(functools.reduce(DataFrame.union, links)), "groups")
     tables.only(sketch, classes, groups)
