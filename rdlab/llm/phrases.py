@@ -133,11 +133,19 @@ class Side:
         self.seen = np.sort(self.next_to << 32 | np.arange(len(next_to)))
         self.bits = max(1, int(self.next_to.max()).bit_length())
 
+    def _keys(self, lo: np.ndarray, size: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The interval and the next word of each row of the intervals, in place, as there are as many rows as words in a shard."""
+        rows = np.repeat(lo - (end - size), size)
+        rows += np.arange(len(rows))
+        key = np.repeat(np.arange(len(lo)), size)
+        key <<= self.bits
+        key |= self.next_to[rows]
+        return key
+
     def extend(self, lo: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
         """All extensions of disjoint intervals by a word: their phrase, word, interval here, begin of the interval in the other index, and count."""
         end = np.cumsum(size)
-        rows = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(lo - (end - size), size)
-        key, many = np.unique(np.repeat(np.arange(len(lo)), size) << self.bits | self.next_to[rows], return_counts=True)
+        key, many = np.unique(self._keys(lo, size, end), return_counts=True)
         owner, word = key >> self.bits, key & ((1 << self.bits) - 1)
         smaller = np.cumsum(many) - many - (end - size)[owner]  # rows of the interval whose word is smaller
         begin = np.searchsorted(self.seen, word << 32 | lo[owner])
@@ -164,7 +172,7 @@ def enumerate_phrases(counts: np.ndarray, before: np.ndarray, after: np.ndarray,
     """
     hashes = hashes.astype(np.uint64)
     often = np.r_[False, marked(bitmaps[0], place(hashes, np.arange(1, len(counts) + 1)[:, None]))]
-    words = np.flatnonzero(often)[:, None]
+    words = np.flatnonzero(often).astype(np.int32)[:, None]
     begins = np.cumsum(np.r_[len(before) - counts.sum(), counts]) - np.r_[0, counts]
     left, right = Side(before), Side(after)
     lo = other = begins[words[:, 0]]
@@ -174,7 +182,8 @@ def enumerate_phrases(counts: np.ndarray, before: np.ndarray, after: np.ndarray,
         ok = often[word]
         if k > 2:
             ok &= np.isin(begin, right.extend(other, size, lo)[3])
-        words, lo, other, size = np.c_[word[ok], words[owner[ok]]], begin[ok], twin[ok], many[ok]
+        words, lo, other, size = np.c_[word[ok].astype(np.int32), words[owner[ok]]], begin[ok], twin[ok], many[ok]
+        del owner, word, begin, twin, many, ok
         if k <= len(bitmaps):
             ok = marked(bitmaps[k - 1], place(hashes, words))
             words, lo, other, size = words[ok], lo[ok], other[ok], size[ok]
@@ -238,7 +247,8 @@ def _likely(shards: DataFrame, bitmaps: list[np.ndarray], min_count: int) -> np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, hashes, found in _phrases_of(batches, shared.value, len(shared.value) + 1):
-            *_, (ids, f) = found
+            for ids, f in found:  # noqa: B007  only the last length is kept
+                pass
             if len(f):
                 yield _blocks(place(hashes, ids), f, min_count)
 
