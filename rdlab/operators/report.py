@@ -34,7 +34,8 @@ def fixed(value: Column, places: int) -> Column:
 
 
 def mean_metric_text(metric: Column, value: Column, vmaf: Column) -> Column:
-    """Two decimals; SSIM has five and the mean VMAF beside it."""
+    """Two decimals; SSIM has five and the mean VMAF beside it. Means are taken to nine decimals first: the last bits of a sum depend on the order of its rows, which must not decide a tie like 29.665."""
+    value, vmaf = F.round(value, 9), F.round(vmaf, 9)
     return F.when(F.upper(metric) == "SSIM", F.concat(fixed(value, 5), F.lit(" (mean VMAF "), fixed(vmaf, 2), F.lit(")"))).otherwise(fixed(value, 2))
 
 

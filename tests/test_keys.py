@@ -35,3 +35,8 @@ def test_same_rows_as_sql(spark, tables, name):
     got = queries.QUERIES[name](spark, tables).select(*[f"`{n}`" for n in names]).collect()
     key = lambda r: repr([round(x, 6) if isinstance(x, float) else x for x in r])
     assert sorted(map(key, got)) == sorted(map(key, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["report_options", "slice_blocks", "extrema", "image_reduction", "insert_trials", "insert_trials_bucketed"])
+def test_other_queries_give_the_same_rows_as_sql(spark, tables, name):
+    test_same_rows_as_sql(spark, tables, name)
