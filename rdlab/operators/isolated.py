@@ -103,6 +103,11 @@ def register(spark: SparkSession, name: str = "run_trial", run: Callable[[str, b
     spark.udtf.register(name, udtf(RunTrial, returnType=SCHEMA))
 
 
+def bins_for(spark: SparkSession) -> int:
+    """Bins for a session: 16 for each core. Bins are hashed to tasks, so with about as many bins as cores some tasks get several and some cores none."""
+    return max(16, 16 * spark.sparkContext.defaultParallelism)
+
+
 def dealt(plan: DataFrame, bins: int) -> DataFrame:
     """plan (trial, cost, ...) with its bin: trials in descending order of cost go to the bins in turn, there and back, so that bins cost about the same.
 
