@@ -26,6 +26,8 @@ HELD_SHARDS = 4  #: text of all unfinished shards of a task, in shards
 BITS = 26  #: places of a bitmap, as a power of two: 8 MB
 RANGE_BITS = 15
 RANGE = 1 << RANGE_BITS  #: places whose counts meet in a task
+PART_BITS = 8  #: a language's phrases are sent in 2^PART_BITS parts, a row each
+HELD_PHRASES = 16_000_000  #: bytes of phrases and counts that a task gathers before it sends them
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)  #: odd numbers that spread a word's hash by its place in a phrase
 #: A-Z in lower case, what ends a piece as a line feed, a tab as a space.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -274,11 +276,89 @@ def _phrases_of(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], lo
             yield lang, words.values, hashes, enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, kind), number(after, kind), hashes, bitmaps, longest)
 
 
+def _summed(rows: list[pa.Table]) -> pa.Table:
+    """(part, phrase, f) with one row for each phrase."""
+    got = pa.concat_tables(rows).group_by(["part", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    return got.select(["part", "phrase", "f_sum"]).rename_columns(["part", "phrase", "f"])
+
+
+PACKED = "lang string, part int, phrases array<string>, counts array<long>"
+
+
+def _packed_phrases(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The likely phrases of all lengths of a task's shards, a row (lang, part, phrases, counts) for each part of a language.
+
+    A frequent phrase is found in nearly every shard, and a larger corpus has more of them: a row for each phrase and shard would be the product of the two.
+    Shards of a language are summed first, and only then packed, so rows are as many as tasks; past HELD_PHRASES bytes what is held is sent.
+    """
+    held: dict[str, list[pa.Table]] = {}
+    size = 0
+
+    def send() -> Iterator[pa.RecordBatch]:
+        for lang in [*held]:
+            rows = _summed(held.pop(lang)).sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
+            part = rows["part"].to_numpy()
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = pa.array(np.r_[first, len(part)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in ("phrase", "f")]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(first)), pa.array(part[first]), *lists], ["lang", "part", "phrases", "counts"])
+
+    for lang, known, hashes, found in _phrases_of(batches, bitmaps, len(bitmaps)):
+        rows = held.setdefault(lang.as_py(), [])
+        for ids, f in found:
+            for lo in range(0, len(f), 50_000):
+                part = ids[lo : lo + 50_000]
+                at = (place(hashes, part) >> (BITS - PART_BITS)).astype(np.int32)
+                phrase = pc.binary_join_element_wise(*[known.take(pa.array(part[:, k] - 1)) for k in range(part.shape[1])], " ").cast(pa.string())
+                rows.append(pa.table([pa.array(at), phrase, pa.array(f[lo : lo + len(part)], pa.int64())], ["part", "phrase", "f"]))
+                size += rows[-1].nbytes
+                if size > HELD_PHRASES:
+                    rows[:] = [_summed(rows)]
+                    size = sum(t.nbytes for x in held.values() for t in x)
+                    if size > HELD_PHRASES // 2:
+                        yield from send()
+                        rows, size = held.setdefault(lang.as_py(), []), 0
+        if not rows:
+            held.pop(lang.as_py())
+    yield from send()
+
+
+def _merged_phrases(min_count: int):
+    """(lang, phrase, f) of the phrases found min_count times, from packed rows sorted by language and part, added up as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size, most = None, [], 0, HELD_PHRASES
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = _summed(held)
+            rows = rows.filter(pc.greater_equal(rows["f"], min_count))
+            if len(rows):
+                rows = rows.combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(of[0], pa.string()), len(rows)), rows["phrase"].combine_chunks(), rows["f"].combine_chunks()], ["lang", "phrase", "f"])
+
+        for b in batches:
+            for lang, part, phrases, counts in zip(b.column("lang").to_pylist(), b.column("part").to_pylist(), b.column("phrases"), b.column("counts"), strict=True):
+                if (lang, part) != of:
+                    if held:
+                        yield from done()
+                    of, held, size, most = (lang, part), [], 0, HELD_PHRASES
+                held.append(pa.table([pa.repeat(pa.scalar(part, pa.int32()), len(phrases)), phrases.values, counts.values], ["part", "phrase", "f"]))
+                size += held[-1].nbytes
+                if size > most:
+                    held = [_summed(held)]
+                    size = held[0].nbytes
+                    most = max(most, 2 * size)
+        if held:
+            yield from done()
+
+    return run
+
+
 def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_words: int = 5, lang_col: str = "lang", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, phrase, f) of the words, and of the phrases of 2 to max_words words, that occur min_count times, and (lang, n) with the number of all words.
 
     All occurrences within pieces count, overlaps included, over all documents. Each table is written; an index row holds one shard. Bitmaps of what is
-    likely come length by length; one last pass gives the phrases of all lengths, whose counts are summed over shards.
+    likely come length by length; one last pass gives the phrases of all lengths, whose counts are summed over the shards of a task and then over tasks, in packed rows.
     """
     spark = docs.sparkSession
     with small_batches(spark):
@@ -294,16 +374,10 @@ def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_wor
         shared = spark.sparkContext.broadcast(bitmaps)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for lang, known, _, found in _phrases_of(batches, shared.value, len(shared.value)):
-                for ids, f in found:
-                    for lo in range(0, len(f), 50_000):
-                        part = ids[lo : lo + 50_000] - 1
-                        phrase = pc.binary_join_element_wise(*[known.take(pa.array(part[:, k])) for k in range(part.shape[1])], " ")
-                        n = len(part)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.cast(pa.string()), pa.array(f[lo : lo + n], pa.int64())], ["lang", "phrase", "f"])
-
-        rows = shards.select(*COLUMNS).mapInArrow(run, "lang string, phrase string, f long")
-        longer = tables.written(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), "phrases")
+            yield from _packed_phrases(batches, shared.value)
+
+        rows = shards.select(*COLUMNS).mapInArrow(run, PACKED).repartition("lang", "part").sortWithinPartitions("lang", "part")
+        longer = tables.written(rows.mapInArrow(_merged_phrases(min_count), "lang string, phrase string, f long"), "phrases")
     shared.unpersist()
     tables.drop(shards)
     return words.select("lang", "phrase", "f"), longer, total
