@@ -168,10 +168,12 @@ def encode_decode_measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
             try:
                 encode, decode = CODECS[r.codec]
                 packed = encode(r.payload, r.param)
-                a, b = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (r.payload, decode(packed)))
+                a, b = (np.frombuffer(x, np.uint8) for x in (r.payload, decode(packed)))
                 if len(a) != len(b):
                     raise ValueError(f"{len(b)} bytes decoded")
-                sse = int(((a - b) ** 2).sum())
+                gap = a.astype(np.float64)
+                gap -= b
+                sse = int(np.dot(gap, gap))  # whole numbers, exact below 2^53: up to 138 GB
                 out.append((r.id, r.codec, r.param, size, len(packed), sse, 10 * math.log10(255 * 255 * size / sse) if sse else math.inf, "ok", None))
             except Exception as e:  # any failure of a trial is its result
                 out.append((r.id, r.codec, r.param, size, None, None, None, "error", repr(e)[:200]))

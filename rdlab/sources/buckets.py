@@ -18,6 +18,11 @@ def create(spark: SparkSession, table: str, path: str, schema: T.StructType, buc
     empty.write.format("parquet").option("path", path).bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
 
 
+def even(spark: SparkSession) -> int:
+    """Buckets whose tasks keep all cores of a session busy: 4 for each core, 16 at least. 16 buckets on 12 cores would take as long as 24."""
+    return max(16, 4 * spark.sparkContext.defaultParallelism)
+
+
 def of(spark: SparkSession, table: str) -> int:
     """The number of buckets of a table."""
     rows = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").collect()
