@@ -65,9 +65,9 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -27,7 +27,13 @@ BITS = 26  #: places of a bitmap, as a power of two: 8 MB
 RANGE_BITS = 15
 RANGE = 1 << RANGE_BITS  #: places whose counts meet in a task
 PART_BITS = 8  #: a language's phrases are sent in 2^PART_BITS parts, a row each
+SLICE_BITS = 4  #: the parts of a language are summed and sent in 2^SLICE_BITS slices
 HELD_PHRASES = 16_000_000  #: bytes of phrases and counts that a task gathers before it sends them
+HELD_MERGED = 4_000_000  #: bytes of a part that are gathered before they are summed
+ROWS = 1 << 16  #: rows of an index, or phrases, that are worked on at once
+#: A shard is a row of some MB: sizes of pages and row groups are looked at with each row, not first after a hundred, as writers and readers hold a row group and codecs a page.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": "16777216"}
+BATCH = "1m"  #: of rows passed to Python; a shard is then a batch
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)  #: odd numbers that spread a word's hash by its place in a phrase
 #: A-Z in lower case, what ends a piece as a line feed, a tab as a space.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -131,36 +137,45 @@ class Side:
     """One of the two indexes of a shard."""
 
     def __init__(self, next_to: np.ndarray):
-        self.next_to = next_to.astype(np.int64)
-        self.seen = np.sort(self.next_to << 32 | np.arange(len(next_to)))
-        self.bits = max(1, int(self.next_to.max()).bit_length())
-
-    def _keys(self, lo: np.ndarray, size: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The interval and the next word of each row of the intervals, in place, as there are as many rows as words in a shard."""
-        rows = np.repeat(lo - (end - size), size)
-        rows += np.arange(len(rows))
-        key = np.repeat(np.arange(len(lo)), size)
-        key <<= self.bits
-        key |= self.next_to[rows]
-        return key
-
-    def extend(self, lo: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
-        """All extensions of disjoint intervals by a word: their phrase, word, interval here, begin of the interval in the other index, and count."""
-        end = np.cumsum(size)
-        key, many = np.unique(self._keys(lo, size, end), return_counts=True)
-        owner, word = key >> self.bits, key & ((1 << self.bits) - 1)
-        smaller = np.cumsum(many) - many - (end - size)[owner]  # rows of the interval whose word is smaller
-        begin = np.searchsorted(self.seen, word << 32 | lo[owner])
-        some = word > 0
-        return owner[some], word[some], begin[some], (other[owner] + smaller)[some], many[some]
+        self.next_to = next_to
+        self.seen = next_to.astype(np.int64)
+        self.bits = max(1, int(next_to.max()).bit_length())
+        self.seen <<= 32
+        self.seen |= np.arange(len(next_to))
+        self.seen.sort()
+
+    def extend(self, lo: np.ndarray, size: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """All extensions of disjoint intervals by a word, some intervals at a time: their phrase, word, interval here, begin of the interval in the other index, and count."""
+        ends = np.cumsum(size, dtype=np.int64)
+        at = 0
+        while at < len(lo):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS, "right")))
+            some, many = lo[at:to], size[at:to]
+            end = np.cumsum(many, dtype=np.int64)
+            rows = np.repeat(some - (end - many), many)
+            rows += np.arange(len(rows))
+            key = np.repeat(np.arange(to - at), many)
+            key <<= self.bits
+            key |= self.next_to[rows]
+            key, found = np.unique(key, return_counts=True)
+            owner, word = key >> self.bits, key & ((1 << self.bits) - 1)
+            smaller = np.cumsum(found) - found - (end - many)[owner]  # rows of the interval whose word is smaller
+            begin = np.searchsorted(self.seen, word << 32 | some[owner])
+            ok = word > 0
+            yield tuple(x[ok].astype(np.int32) for x in (owner + at, word, begin, other[at:to][owner] + smaller, found))
+            at = to
 
 
 def place(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The place of each phrase (a row of word ids from 1) in a bitmap."""
-    total = np.zeros(len(words), np.uint64)
-    for k in range(words.shape[1]):
-        total += hashes[words[:, k] - 1] * np.uint64(_salt(k))
-    return ((total >> np.uint64(8)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    out = np.empty(len(words), np.int32)
+    for lo in range(0, len(words), ROWS):
+        some = words[lo : lo + ROWS]
+        total = np.zeros(len(some), np.uint64)
+        for k in range(words.shape[1]):
+            total += hashes[some[:, k] - 1] * np.uint64(_salt(k))
+        out[lo : lo + ROWS] = (total >> np.uint64(8)) & np.uint64((1 << BITS) - 1)
+    return out
 
 
 def marked(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -177,18 +192,26 @@ def enumerate_phrases(counts: np.ndarray, before: np.ndarray, after: np.ndarray,
     words = np.flatnonzero(often).astype(np.int32)[:, None]
     begins = np.cumsum(np.r_[len(before) - counts.sum(), counts]) - np.r_[0, counts]
     left, right = Side(before), Side(after)
-    lo = other = begins[words[:, 0]]
-    size = counts[words[:, 0] - 1].astype(np.int64)
+    lo = other = begins[words[:, 0]].astype(np.int32)
+    size = counts[words[:, 0] - 1].astype(np.int32)
     for k in range(2, longest + 1):
-        owner, word, begin, twin, many = left.extend(lo, size, other)
-        ok = often[word]
+        held = np.zeros(len(before) if k > 2 else 0, bool)  # begins of the intervals that an extension on the right leads to as well
         if k > 2:
-            ok &= np.isin(begin, right.extend(other, size, lo)[3])
-        words, lo, other, size = np.c_[word[ok].astype(np.int32), words[owner[ok]]], begin[ok], twin[ok], many[ok]
-        del owner, word, begin, twin, many, ok
-        if k <= len(bitmaps):
-            ok = marked(bitmaps[k - 1], place(hashes, words))
-            words, lo, other, size = words[ok], lo[ok], other[ok], size[ok]
+            for *_, twin, _ in right.extend(other, size, lo):
+                held[twin] = True
+        parts = [(np.empty((0, k), np.int32), *[np.empty(0, np.int32)] * 3)]
+        for owner, word, begin, twin, many in left.extend(lo, size, other):
+            ok = often[word]
+            if k > 2:
+                ok &= held[begin]
+            longer = np.c_[word[ok], words[owner[ok]]]
+            rest = begin[ok], twin[ok], many[ok]
+            if k <= len(bitmaps):
+                ok = marked(bitmaps[k - 1], place(hashes, longer))
+                longer, rest = longer[ok], [x[ok] for x in rest]
+            parts.append((longer, *rest))
+        words, lo, other, size = map(np.concatenate, zip(*parts, strict=True))
+        del parts, held
         yield words, size
 
 
@@ -248,13 +271,13 @@ def _likely(shards: DataFrame, bitmaps: list[np.ndarray], min_count: int) -> np.
     shared = shards.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes, found in _phrases_of(batches, shared.value, len(shared.value) + 1):
+        for _, hashes, found in _phrases_of(batches, shared.value, len(shared.value) + 1):
             for ids, f in found:  # noqa: B007  only the last length is kept
                 pass
             if len(f):
                 yield _blocks(place(hashes, ids), f, min_count)
 
-    blocks = shards.select(*COLUMNS).mapInArrow(run, "range int, block binary").repartition("range").sortWithinPartitions("range")
+    blocks = shards.select(*COLUMNS[2:]).mapInArrow(run, "range int, block binary").repartition("range").sortWithinPartitions("range")
     out = np.zeros(1 << (BITS - 3), np.uint8)
     for r in blocks.mapInArrow(_often(min_count), "range int, bits binary").collect():
         out[r["range"] * RANGE // 8 :][: RANGE // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -265,15 +288,15 @@ def _likely(shards: DataFrame, bitmaps: list[np.ndarray], min_count: int) -> np.
 COLUMNS = ("lang", "words", "counts", "hashes", "before", "after")
 
 
-def _phrases_of(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], longest: int) -> Iterator[tuple[pa.Scalar, pa.Array, np.ndarray, Iterator]]:
-    """Language, words, their hashes, and the phrases by length, of each shard."""
+def _phrases_of(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], longest: int) -> Iterator[tuple[dict[str, pa.Scalar], np.ndarray, Iterator]]:
+    """Columns, hashes of the words, and the phrases by length, of each shard. Language and words are not needed."""
     number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
     for b in batches:
         for i in range(b.num_rows):
-            lang, words, counts, hashes, before, after = (b.column(c)[i] for c in COLUMNS)
-            hashes = number(hashes, np.uint32).astype(np.uint64)
+            row = {name: b.column(name)[i] for name in b.schema.names}
+            hashes = number(row["hashes"], np.uint32).astype(np.uint64)
             kind = _kind(len(hashes))
-            yield lang, words.values, hashes, enumerate_phrases(counts.values.to_numpy().astype(np.int64), number(before, kind), number(after, kind), hashes, bitmaps, longest)
+            yield row, hashes, enumerate_phrases(row["counts"].values.to_numpy().astype(np.int64), number(row["before"], kind), number(row["after"], kind), hashes, bitmaps, longest)
 
 
 def _summed(rows: list[pa.Table]) -> pa.Table:
@@ -289,37 +312,50 @@ def _packed_phrases(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]
     """The likely phrases of all lengths of a task's shards, a row (lang, part, phrases, counts) for each part of a language.
 
     A frequent phrase is found in nearly every shard, and a larger corpus has more of them: a row for each phrase and shard would be the product of the two.
-    Shards of a language are summed first, and only then packed, so rows are as many as tasks; past HELD_PHRASES bytes what is held is sent.
+    Shards of a language are summed first, and only then packed, so rows are as many as tasks; past HELD_PHRASES bytes what is held is sent. Slices of the
+    parts are summed and sent one after the other, so that little is held besides.
     """
-    held: dict[str, list[pa.Table]] = {}
+    held: dict[str, list[list[pa.Table]]] = {}
     size = 0
 
     def send() -> Iterator[pa.RecordBatch]:
         for lang in [*held]:
-            rows = _summed(held.pop(lang)).sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
-            part = rows["part"].to_numpy()
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = pa.array(np.r_[first, len(part)].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in ("phrase", "f")]
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(first)), pa.array(part[first]), *lists], ["lang", "part", "phrases", "counts"])
-
-    for lang, known, hashes, found in _phrases_of(batches, bitmaps, len(bitmaps)):
-        rows = held.setdefault(lang.as_py(), [])
+            slices = held.pop(lang)
+            while slices:
+                if not (tables := slices.pop(0)):
+                    continue
+                rows = _summed(tables).sort_by([("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
+                del tables
+                part = rows["part"].to_numpy()
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ends = pa.array(np.r_[first, len(part)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in ("phrase", "f")]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(first)), pa.array(part[first]), *lists], ["lang", "part", "phrases", "counts"])
+
+    for row, hashes, found in _phrases_of(batches, bitmaps, len(bitmaps)):
+        lang, known = row["lang"].as_py(), row["words"].values
         for ids, f in found:
             for lo in range(0, len(f), 50_000):
                 part = ids[lo : lo + 50_000]
-                at = (place(hashes, part) >> (BITS - PART_BITS)).astype(np.int32)
+                at = place(hashes, part) >> (BITS - PART_BITS)
+                by = np.argsort(at, kind="stable")
+                part, at = part[by], at[by]
                 phrase = pc.binary_join_element_wise(*[known.take(pa.array(part[:, k] - 1)) for k in range(part.shape[1])], " ").cast(pa.string())
-                rows.append(pa.table([pa.array(at), phrase, pa.array(f[lo : lo + len(part)], pa.int64())], ["part", "phrase", "f"]))
-                size += rows[-1].nbytes
+                rows = pa.table([pa.array(at), phrase, pa.array(f[lo : lo + len(part)][by], pa.int64())], ["part", "phrase", "f"])
+                slices = held.setdefault(lang, [[] for _ in range(1 << SLICE_BITS)])
+                cuts = np.searchsorted(at, np.arange((1 << SLICE_BITS) + 1) << (PART_BITS - SLICE_BITS))
+                for tables, a, b in zip(slices, cuts[:-1], cuts[1:], strict=True):
+                    if a < b:
+                        tables.append(rows.slice(a, b - a))
+                size += rows.nbytes
+                del rows
                 if size > HELD_PHRASES:
-                    rows[:] = [_summed(rows)]
-                    size = sum(t.nbytes for x in held.values() for t in x)
+                    for tables in slices:
+                        tables[:] = [_summed(tables)] if tables else []
+                    size = sum(t.nbytes for x in held.values() for tables in x for t in tables)
                     if size > HELD_PHRASES // 2:
                         yield from send()
-                        rows, size = held.setdefault(lang.as_py(), []), 0
-        if not rows:
-            held.pop(lang.as_py())
+                        size = 0
     yield from send()
 
 
@@ -327,7 +363,7 @@ def _merged_phrases(min_count: int):
     """(lang, phrase, f) of the phrases found min_count times, from packed rows sorted by language and part, added up as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held, size, most = None, [], 0, HELD_PHRASES
+        of, held, size, most = None, [], 0, HELD_MERGED
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = _summed(held)
@@ -341,7 +377,7 @@ def _merged_phrases(min_count: int):
                 if (lang, part) != of:
                     if held:
                         yield from done()
-                    of, held, size, most = (lang, part), [], 0, HELD_PHRASES
+                    of, held, size, most = (lang, part), [], 0, HELD_MERGED
                 held.append(pa.table([pa.repeat(pa.scalar(part, pa.int32()), len(phrases)), phrases.values, counts.values], ["part", "phrase", "f"]))
                 size += held[-1].nbytes
                 if size > most:
@@ -361,14 +397,14 @@ def phrase_counts(docs: DataFrame, tables: Tables, min_count: int = 100, max_wor
     likely come length by length; one last pass gives the phrases of all lengths, whose counts are summed over the shards of a task and then over tasks, in packed rows.
     """
     spark = docs.sparkSession
-    with small_batches(spark):
-        shards = tables.written(index(docs, lang_col, text_col, max_words, shard_bytes), "fm-index")
+    with small_batches(spark, BATCH):
+        shards = tables.written(index(docs, lang_col, text_col, max_words, shard_bytes), "fm-index", **PAGES)
     total = tables.written(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "words")
     single = shards.select("lang", F.explode(F.arrays_zip("words", "counts", "places")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").cast("long").alias("f"), F.col("x.places").alias("place"))
     words = single.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("place").alias("place")).where(F.col("f") >= min_count)
     words = tables.written(words, "phrases")
     bitmaps = [_bitmap(words)]
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         for _ in range(1, max_words):
             bitmaps = [*bitmaps, _likely(shards, bitmaps, min_count)]
         shared = spark.sparkContext.broadcast(bitmaps)
